@@ -1 +1 @@
-"""."""
+"""Sources: log files, streams, raw archive, lake files."""
