@@ -130,3 +130,14 @@ def apart(column: str) -> str:
     column goes through the lambda.
     """
     return f"get(transform(array({column}), v -> v), 0) as {column}"
+
+
+def fenced(df, columns: dict[str, str], keep: list[str]):
+    """Add computed columns through a generator.
+
+    The optimiser substitutes a plain projected column into every filter or join key that
+    refers to it, which for the long expressions here means evaluating them again below (and,
+    for chains of them, plans that explode). Generator output is never substituted.
+    """
+    packed = ", ".join(f"{lit(name)}, {x}" for name, x in columns.items())
+    return df.selectExpr(*keep, f"named_struct({packed}) as _packed").selectExpr(*keep, "inline(array(_packed))")

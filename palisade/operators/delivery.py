@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palisade import fixed_values as fx
 from palisade.functions.text import lit
+from palisade.plans.checkpoints import checkpointed
 
 Sink = Callable[[DataFrame], None]
 LEDGER_COLUMNS = [
@@ -108,7 +109,7 @@ def retry_pending(
     force: bool = False,
 ) -> int:
     """Send due events to the sinks that have not acknowledged them; returns how many completed."""
-    due = due_for_retry(ledger, now, force).checkpoint()
+    due = checkpointed(due_for_retry(ledger, now, force))
     waiting = events.join(due.select("event_id", "search_ack", "lake_ack"), "event_id")
     failures = [
         _try(search_sink, waiting.filter("not search_ack").drop("search_ack", "lake_ack"), "Search"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from palisade import fixed_values as fx
-from palisade.functions.text import apart, case, coalesce, contains_any, item, lit, matches, strip
+from palisade.functions.text import apart, case, coalesce, contains_any, fenced, item, lit, matches, strip
 from palisade.operators.parsers import Definition, ordered_parsers, shape_list
 from palisade.operators.parsers.base import LOWER, OBJ, RAW, json_has
 
@@ -87,12 +87,9 @@ def detect_format(df: DataFrame) -> DataFrame:
 def apply_hints(df: DataFrame) -> DataFrame:
     """Detected vendor and product fill in only where the source gave none."""
     rest = [c for c in df.columns if c not in ("vendor", "product", "detection", "detected_format")]
-    return df.selectExpr(
-        *rest,
-        *[f"case when {n} = 'unknown' then detection.{n} else {n} end as {n}" for n in ("vendor", "product")],
-        "detection.detected_format as detected_format",
-        "detection.confidence as detection_confidence",
-    )
+    filled = {n: f"case when {n} = 'unknown' then detection.{n} else {n} end" for n in ("vendor", "product")}
+    return fenced(df, filled | {
+        "detected_format": "detection.detected_format", "detection_confidence": "detection.confidence"}, rest)
 
 
 def route_parser(df: DataFrame, definitions: list[Definition] | None = None) -> DataFrame:
@@ -105,7 +102,8 @@ def route_parser(df: DataFrame, definitions: list[Definition] | None = None) ->
     parsers = ordered_parsers(definitions)
     route = case(*[(p.match, str(i)) for i, p in enumerate(parsers)])
     rest = [c for c in df.columns if c != LOWER]
-    return with_shape(df.selectExpr(*rest, apart(LOWER), f"case when {RAW} != '' then {route} end as _route"), parsers)
+    split = df.selectExpr(*rest, apart(LOWER), f"case when {RAW} != '' then {route} end as _found")
+    return with_shape(fenced(split, {"_route": "_found"}, df.columns), parsers)
 
 
 def with_shape(df: DataFrame, parsers) -> DataFrame:

@@ -35,6 +35,7 @@ def make_envelope(
 
     keyed = df.selectExpr(
         f"{stable_uuid(position, payload)} as event_id",
+        f"cast({position} as string) as source_position",
         f"{ingest_ts} as ingest_ts",
         f"{payload} as raw_payload",
         f"{given('vendor_hint', lit('unknown'))} as vendor",

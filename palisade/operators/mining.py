@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade import fixed_values as fx
 from palisade.functions.text import lit, strip
+from palisade.plans.checkpoints import checkpointed
 
 LEAF_LINES = 20_000
 
@@ -94,7 +95,7 @@ def mine_templates(
     is clustered on its own. A leaf with more than ``leaf_lines`` distinct lines is clustered in
     chunks and the chunks' templates are clustered again, until one chunk holds the leaf.
     """
-    masked = _with_leaf(distinct_masked(lines, payload, order), max_children).checkpoint()
+    masked = checkpointed(_with_leaf(distinct_masked(lines, payload, order), max_children))
     schema = "leaf string, masked string, first_seen timestamp, template string"
     assigned = masked.selectExpr("leaf", "masked", "masked as template", "first_seen")
     while True:
@@ -106,8 +107,8 @@ def mine_templates(
             f"pmod(xxhash64(template), cast(ceil(n / {leaf_lines}D) as bigint)) as chunk")
         mined = chunked.groupBy("leaf", "chunk").applyInPandas(
             lambda rows: _mine_leaf(rows), schema).selectExpr("leaf", "masked as template", "template as wider")
-        assigned = assigned.join(mined, ["leaf", "template"]).selectExpr(
-            "leaf", "masked", "wider as template", "first_seen").checkpoint()
+        assigned = checkpointed(assigned.join(mined, ["leaf", "template"]).selectExpr(
+            "leaf", "masked", "wider as template", "first_seen"))
         if most <= leaf_lines:
             break
     found = masked.join(assigned.select("masked", "template"), "masked").groupBy("template").agg(

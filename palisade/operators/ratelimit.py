@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fx
+from palisade.plans.checkpoints import checkpointed
 
 CHUNK_ROWS = 2_000_000
 
@@ -81,11 +82,11 @@ def rate_limit(
             decided = rows.groupBy("client").applyInPandas(decide, out_schema)
         else:
             decided = rows.groupBy("client").cogroup(carried.groupBy("client")).applyInPandas(decide_after, out_schema)
-        decided = decided.checkpoint()
+        decided = checkpointed(decided)
         passed = decided.filter("admitted").select("client", "ts_us")
         passed = passed if carried is None else passed.union(carried)
         latest = passed.groupBy("client").agg(F.max("ts_us").alias("last"))
-        carried = passed.join(latest, "client").filter(f"ts_us >= last - {window_us}").select(
-            "client", "ts_us").checkpoint()
+        carried = checkpointed(passed.join(latest, "client").filter(f"ts_us >= last - {window_us}").select(
+            "client", "ts_us"))
         done = decided if done is None else done.union(decided)
     return done

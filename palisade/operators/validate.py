@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from palisade import fixed_values as fx
-from palisade.functions.text import case, isin, lit, matches, strip
+from palisade.functions.text import case, fenced, isin, lit, matches, strip
 from palisade.functions.values import IPV4_STRICT
 
 _UUID = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
@@ -84,11 +84,10 @@ def judge(df: DataFrame, on_parse_error: str = "deliver") -> DataFrame:
     ]
     df = validate_ocsf(df)
     rest = [c for c in df.columns if c not in ("ingestion_errors", "ocsf_errors")]
-    return df.selectExpr(
-        *rest,
-        case(*[(condition, lit(stage)) for condition, stage, _ in stages]) + " as error_stage",
-        case(*[(condition, errors) for condition, _, errors in stages]) + " as errors",
-    )
+    return fenced(df, {
+        "error_stage": case(*[(condition, lit(stage)) for condition, stage, _ in stages]),
+        "errors": case(*[(condition, errors) for condition, _, errors in stages]),
+    }, rest)
 
 
 def split_valid(processed: DataFrame) -> tuple[DataFrame, DataFrame]:
