@@ -56,10 +56,10 @@ def normalize_ocsf(df: DataFrame) -> DataFrame:
         f"cast(round(case when {number} > 1e11D then {number} * 1000 else {number} * 1000000 end) as bigint)"
         " as _number_us",
     )
-    rest = [c for c in df.columns if c != "_text_ts"]
+    rest = [c for c in df.columns if c != "ir_src_port"]
     df = df.selectExpr(
         *rest,
-        apart("_text_ts"),
+        apart("ir_src_port"),
         f"coalesce(ir_target_class_uid = {fx.CLASS_SECURITY_FINDING}, false) or ir_has_signature as _finding",
         f"coalesce(_number_ms, {epoch_millis('_moment')}) as time_epoch",
         f"{utc_text('coalesce(timestamp_micros(_number_us), _moment)')} as time_dt",

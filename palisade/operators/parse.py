@@ -95,13 +95,13 @@ def parse_lines(df: DataFrame, definitions: list[Definition] | None = None) -> D
         f"{_by_shape(shapes, _own_map)} as _own",
     )
     df = df.selectExpr("*", f"{_UNMAPPED} as unmapped").drop(TOKENS, SUBS, PAIRS, "_own", "_shape")
-    # The fields leave through a generator, so the optimiser never substitutes the parser
-    # expressions into whatever refers to a field (join keys, pushed filters): they run once.
+    # The fields leave through a generator, see ``fenced``. The lambda stops the pruning of
+    # single fields, which could leave a projection without a lambda but still too large.
     return df.selectExpr(
         *[c for c in df.columns if c not in ("_fields", "_error")],
         "case when _error is null then 1.0D else 0.5D end as confidence",
         f"{lit(fx.MAPPING_VERSION)} as mapping_version",
-        "inline(array(_fields))",
+        "inline(transform(array(_fields), f -> f))",
     )
 
 

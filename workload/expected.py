@@ -13,8 +13,8 @@ def _by_kind(default: str, **arms: str) -> str:
 
 
 _MS = "cast(floor(cast(epoch_us(ts) as double) / 1e6 * 1e3) as bigint)"
-_TEXT_MS = "cast(floor(cast(epoch_ms(ts) * 1000 as double) / 1e6 * 1e3) as bigint)"
-_SECOND_MS = "cast(floor(cast(epoch_ms(ts) // 1000 * 1000000 as double) / 1e6 * 1e3) as bigint)"
+_TEXT_MS = "cast(floor(cast(epoch_us(ts) // 1000 * 1000 as double) / 1e6 * 1e3) as bigint)"
+_SECOND_MS = "cast(floor(cast(epoch_us(ts) // 1000000 * 1000000 as double) / 1e6 * 1e3) as bigint)"
 _NUMBER_MS = "cast(trunc(cast(epoch_us(ts) as double) / 1e6 * 1000) as bigint)"
 _UNPARSED = ("blank", "short_cef", "unknown")
 
@@ -118,7 +118,7 @@ _COLUMNS2 = {
     "bytes_total": "case when kind2 = 'leef' then bytes_in end",
     "app_name": "case when kind2 = 'rfc3164' then 'daemon' end",
     "rule_name": "case when kind2 = 'leef' then concat('Policy-', event_id % 8) end",
-    "time_epoch": f"case kind2 when 'leef' then {_MS} when 'rfc3164' then {_SECOND_MS} else epoch_ms(ts) end",
+    "time_epoch": f"case kind2 when 'leef' then {_MS} when 'rfc3164' then {_SECOND_MS} else epoch_us(ts) // 1000 end",
     "meta_vendor": "case kind2 when 'rfc3164' then 'Generic-Syslog' else 'Acme' end",
 }
 

@@ -157,7 +157,7 @@ ORACLE = {
     "catalogue_parse": first(
         "select line_id, raw_src_ip as src_ip, raw_dst_ip as dst_ip, raw_bytes_in as bytes_total,"
         " 'BLOCK_SSH' as rule_name, 'TCP' as protocol_name, 1 as disposition_id,"
-        " cast(floor(cast(epoch_ms(ts) // 1000 * 1000000 as double) / 1e6 * 1e3) as bigint) as time_epoch,"
+        " cast(floor(cast(epoch_us(ts) // 1000000 * 1000000 as double) / 1e6 * 1e3) as bigint) as time_epoch,"
         f" concat('\"', event_type, '\"') as message from e where {_UNKNOWN}"),
     "pipeline_counters": first(
         f"select count(*) as total_ingested, count(*) filter (where {GOOD}) as total_normalized,"
