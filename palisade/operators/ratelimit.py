@@ -32,6 +32,15 @@ def admit(times, history: deque, limit: int, window_us: int) -> list[bool]:
     return decisions
 
 
+def decisions(rows: pd.DataFrame, history: deque, limit: int, window_us: int) -> pd.DataFrame:
+    """One client's requests in time order with their decisions."""
+    ordered = rows.sort_values(["ts_us", "tie"])
+    times = ordered["ts_us"].tolist()
+    return pd.DataFrame({
+        "client": ordered["client"].tolist(), "tie": ordered["tie"].tolist(), "ts_us": times,
+        "admitted": admit(times, history, limit, window_us)}).astype({"client": object, "tie": object})
+
+
 def rate_limit(
     df: DataFrame,
     client: str,
@@ -58,20 +67,13 @@ def rate_limit(
     keyed = requests.selectExpr("cast(client as string) as client", "cast(tie as string) as tie", "ts_us")
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_us", "tie"])
-        rows["admitted"] = admit(rows["ts_us"].tolist(), deque(), limit, window_us)
-        return rows[["client", "tie", "ts_us", "admitted"]]
+        return decisions(rows, deque(), limit, window_us)
 
     if rounds == 0:
         return keyed.groupBy("client").applyInPandas(decide, out_schema)
 
     def decide_after(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({"client": [], "tie": [], "ts_us": [], "admitted": []})
-        rows = rows.sort_values(["ts_us", "tie"])
-        history = deque(sorted(carried["ts_us"].tolist()))
-        rows["admitted"] = admit(rows["ts_us"].tolist(), history, limit, window_us)
-        return rows[["client", "tie", "ts_us", "admitted"]]
+        return decisions(rows, deque(sorted(carried["ts_us"].tolist())), limit, window_us)
 
     placed = keyed.withColumn("second", F.expr("ts_us div 1000000")).join(
         chunks.selectExpr("cast(client as string) as client", "second", "chunk"), ["client", "second"])

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from palisade import fixed_values as fx
-from palisade.operators.ratelimit import admit
+from palisade.operators.ratelimit import decisions
 
 _STATE = StructType([StructField("passes", ArrayType(LongType()))])
 _OUTPUT = "client string, tie string, ts_us long, admitted boolean"
@@ -30,10 +30,9 @@ class _Limiter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = self.passes.get()[0] if self.passes.exists() else []
         history = deque(kept)
-        batch = pd.concat(rows).sort_values(["ts_us", "tie"])
-        batch["admitted"] = admit(batch["ts_us"].tolist(), history, self.limit, self.window_us)
+        decided = decisions(pd.concat(rows), history, self.limit, self.window_us)
         self.passes.update((list(history),))
-        yield batch[["client", "tie", "ts_us", "admitted"]]
+        yield decided
 
     def close(self) -> None:
         pass
