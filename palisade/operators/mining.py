@@ -95,7 +95,8 @@ def mine_templates(
     is clustered on its own. A leaf with more than ``leaf_lines`` distinct lines is clustered in
     chunks and the chunks' templates are clustered again, until one chunk holds the leaf.
     """
-    masked = checkpointed(_with_leaf(distinct_masked(lines, payload, order), max_children))
+    # The distinct lines are cut off here: filters of the next steps must not reach the raw lines.
+    masked = _with_leaf(checkpointed(distinct_masked(lines, payload, order)), max_children)
     schema = "leaf string, masked string, first_seen timestamp, template string"
     assigned = masked.selectExpr("leaf", "masked", "masked as template", "first_seen")
     while True:

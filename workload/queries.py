@@ -22,6 +22,7 @@ from palisade.operators.parsers import Definition
 from palisade.operators.ratelimit import rate_limit
 from palisade.operators.search import facet_counts, matching, search, totals
 from palisade.operators.sinks import dedupe_events, latest_per_key
+from palisade.plans.checkpoints import checkpointed
 from palisade.plans.ingest import run
 from palisade.sources.archive import dataset_manifest, lake_files, read_raw_archive, verify_integrity
 from palisade.sources.logs import from_dataframe
@@ -205,7 +206,7 @@ def dead_letter_stages(spark, sf_dir):
 
 def _published(spark, sf_dir) -> list[Definition]:
     """The parser a reviewer would publish for the corpus' unknown lines."""
-    sessions = onboarding_sessions(_unknown(spark, sf_dir))
+    sessions = checkpointed(onboarding_sessions(_waiting(spark, sf_dir)))
     first = sessions.orderBy(F.desc("size")).first()
     entry, _, _ = publish(sessions, empty_catalogue(spark), first.session_id, "reviewer", "appliance-parser")
     return load_definitions(entry)
@@ -363,6 +364,11 @@ def _unknown(spark, sf_dir):
     return _judged(spark, sf_dir).filter("error_stage = 'UNKNOWN_FORMAT'")
 
 
+def _waiting(spark, sf_dir):
+    """The unknown lines as a table of their own, as the dead-letter table would hold them."""
+    return checkpointed(_unknown(spark, sf_dir).select("line_id", "raw_payload", "ingest_ts", "vendor", "product"))
+
+
 def mask_lines(spark, sf_dir):
     return _unknown(spark, sf_dir).selectExpr("line_id", f"{mask_line('raw_payload')} as masked")
 
@@ -372,17 +378,17 @@ def mask_documents(spark, sf_dir):
 
 
 def templates(spark, sf_dir):
-    return mine_templates(_unknown(spark, sf_dir))[0].select("template_id", "template", "size")
+    return mine_templates(_waiting(spark, sf_dir))[0].select("template_id", "template", "size")
 
 
 def template_params(spark, sf_dir):
-    lines = _unknown(spark, sf_dir)
+    lines = _waiting(spark, sf_dir)
     return match_template(lines, mine_templates(lines)[0]).selectExpr(
         "line_id", "template_id", "array_join(parameters, '|') as parameters")
 
 
 def inferred_fields(spark, sf_dir):
-    return onboarding_sessions(_unknown(spark, sf_dir)).selectExpr(
+    return onboarding_sessions(_waiting(spark, sf_dir)).selectExpr(
         "size", "arrays_zip(names, variables) as z").selectExpr("size", "inline(z)").selectExpr(
         "size", "names as name", "variables.placeholder as placeholder", "variables.inferred_type as inferred_type",
         "variables.suggested_ocsf_field as ocsf_field", "variables.confidence as confidence")
