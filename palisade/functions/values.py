@@ -98,9 +98,8 @@ def utc_timestamp(ntz: str) -> str:
 def utc_text(ts: str) -> str:
     """ISO-8601 UTC text of a timestamp."""
     plain = f"cast({plain_utc(ts)} as string)"
-    fraction = f"substring({plain}, 20, 7)"
-    shown = case((f"{fraction} = ''", "''"), default=f"rpad({fraction}, 7, '0')")
-    return f"concat(substring({plain}, 1, 10), 'T', substring({plain}, 12, 8), {shown}, '+00:00')"
+    fraction = f"if(length({plain}) > 19, rpad(substring({plain}, 20), 7, '0'), '')"
+    return f"concat(translate(substring({plain}, 1, 19), ' ', 'T'), {fraction}, '+00:00')"
 
 
 def utc_date(ts: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.text import apart
 from palisade.functions.values import ipv4_to_long, is_loopback, is_private
 from palisade.operators.dimensions import (
     BROADCAST_ROWS, BUCKET_BITS, broadcast_if_small, default_assets, default_geo_intervals, geo_intervals,
@@ -47,7 +48,8 @@ def _intervals(geo: DataFrame) -> DataFrame:
 def enrich_geo(df: DataFrame, geo: DataFrame | None = None, networks=None, exceptions=None) -> DataFrame:
     """Location and autonomous system of public IPv4 addresses."""
     intervals = default_geo_intervals(df.sparkSession) if geo is None else _intervals(geo)
-    df = df.selectExpr("*", *[f"{ipv4_to_long(f'{s}_ip')} as _{s}" for s in SIDES])
+    rest = [c for c in df.columns if c != "src_ip"]
+    df = df.selectExpr(*rest, apart("src_ip"), *[f"{ipv4_to_long(f'{s}_ip')} as _{s}" for s in SIDES])
     public = [
         f"case when not {is_private(f'_{s}', networks, exceptions)} and not {is_loopback(f'_{s}')}"
         f" then _{s} end as _{s}_public"

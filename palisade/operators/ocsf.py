@@ -43,8 +43,10 @@ def normalize_ocsf(df: DataFrame) -> DataFrame:
     """Flat OCSF columns from parsed rows; the ``ir_*`` columns are consumed."""
     ir = {name: f"ir_{name}" for name in SLOTS}
     text = {name: truthy(f"ir_{name}") for name in SLOTS}
+    rest = [c for c in df.columns if c != "ir_src_port"]
     df = df.selectExpr(
-        "*",
+        *rest,
+        apart("ir_src_port"),
         f"{strip(text['time_text'])} as _time_text",
         f"cast(year({utc_date('ingest_ts')}) as string) as _year",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from palisade import fixed_values as fx
-from palisade.functions.text import case, fenced, isin, lit, matches, strip
+from palisade.functions.text import apart, case, fenced, isin, lit, matches, strip
 from palisade.functions.values import IPV4_STRICT
 
 _UUID = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
@@ -18,7 +18,8 @@ UNKNOWN_FORMAT_ERROR = "Unrecognized log format routed to template onboarding"
 
 
 def _errors(*rules: tuple[str, str]) -> str:
-    return "array_compact(array(" + ", ".join(case(rule) for rule in rules) + "))"
+    # array_except drops the nulls of rules that hold; unlike array_compact it needs no lambda.
+    return f"array_except(array({', '.join(case(rule) for rule in rules)}), array(cast(null as string)))"
 
 
 def ingestion_errors() -> str:
@@ -82,7 +83,8 @@ def judge(df: DataFrame, on_parse_error: str = "deliver") -> DataFrame:
         (bad_parse, "PARSER", "parse_errors"),
         ("size(ocsf_errors) > 0", "OCSF_VALIDATION", "ocsf_errors"),
     ]
-    df = validate_ocsf(df)
+    df = df.selectExpr(
+        *[c for c in df.columns if c != "time_epoch"], apart("time_epoch"), f"{ocsf_errors()} as ocsf_errors")
     rest = [c for c in df.columns if c not in ("ingestion_errors", "ocsf_errors")]
     return fenced(df, {
         "error_stage": case(*[(condition, lit(stage)) for condition, stage, _ in stages]),
