@@ -18,7 +18,11 @@ def _hinted(df: DataFrame, vendor_hint: str | None, product_hint: str | None, tr
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    """Stripped, non-blank, non-comment lines with a position in their file split."""
+    """Stripped, non-blank, non-comment lines with their position.
+
+    The position is the file split and the row's place in the scan: it repeats when the same
+    files are read again with the same split settings, as a retry or a restarted job does.
+    """
     placed = df.selectExpr(
         f"{strip('value')} as raw_payload",
         "concat_ws('#', _metadata.file_path, _metadata.file_block_start, monotonically_increasing_id())"
@@ -65,12 +69,13 @@ def read_log_stream(
     """Stream of lines that collectors land as text files, newline-framed; empty lines dropped.
 
     The files take the place of socket listeners: they can be read again after a failure.
+    ``source_split`` names the file split; the ingest stream adds the line's place in its batch,
+    so equal lines stay separate events.
     """
     stream = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(path)
     placed = stream.selectExpr(
         f"{strip('value')} as raw_payload",
-        "concat_ws('#', _metadata.file_path, _metadata.file_block_start, _metadata.file_modification_time,"
-        " sha2(value, 256)) as source_position",
+        "concat_ws('#', _metadata.file_path, _metadata.file_block_start) as source_split",
         f"{lit(transport)} as transport",
         "'127.0.0.1' as client_ip",
     )

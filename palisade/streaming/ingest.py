@@ -34,6 +34,9 @@ def start(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if "source_split" in batch.columns:
+            batch = batch.selectExpr(
+                "*", "concat_ws('#', source_split, monotonically_increasing_id()) as source_position")
         folder = f"{staging}/batch={batch_id}"
         run(batch, definitions(), **options).write.mode("overwrite").parquet(folder)
         staged = spark.read.parquet(folder)

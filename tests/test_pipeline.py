@@ -153,3 +153,32 @@ def test_fuzzed_prefixes(spark):
         assert all(r.error_stage or r.class_uid for r in judged)
 
     every_line_ends_somewhere()
+
+
+def test_plan_is_one_narrow_pass(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    payload_frame(spark, L.ALL).write.parquet(path)
+    plan = run(spark.read.parquet(path), position="i")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert plan.count("FileScan") == 1 and "BatchEvalPython" not in plan and "NestedLoop" not in plan
+
+
+def test_filters_do_not_copy_parser_expressions(spark):
+    from palisade import fixed_values as fx
+
+    judged = run(payload_frame(spark, L.ALL), position="i").filter("src_ip = '8.8.8.8' and error_stage is null")
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    # One copy of the captures expression: the match test, the replacement, and one extract for
+    # each of the nine groups in the branch for text that holds the separator.
+    assert plan.count(fx.ASA_BUILT) == 2 + 9
+
+
+def test_search_filters_reach_the_scan(spark, tmp_path):
+    from palisade.operators.search import matching
+
+    path = str(tmp_path / "silver")
+    run(payload_frame(spark, L.ALL), position="i").write.parquet(path)
+    found = matching(spark.read.parquet(path), vendor="Cisco", severity_id=3).select("event_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(vendor,Cisco)" in plan and "EqualTo(severity_id,3)" in plan and "raw_payload" not in plan
+    assert found.count() == 1

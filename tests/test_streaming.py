@@ -22,7 +22,7 @@ def test_stream_equals_batch(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
     lines = [x for x in L.ALL if x.strip() and "\u0000" not in x]
-    (landing / "a.log").write_text("\n".join(lines[::2]) + "\n")
+    (landing / "a.log").write_text("\n".join([*lines[::2], lines[0], lines[0]]) + "\n")
     (landing / "b.log").write_text("\n".join(lines[1::2]) + "\n")
     lake, events, ledger = (str(tmp_path / n) for n in ("lake", "events", "ledger"))
 
