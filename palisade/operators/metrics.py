@@ -57,8 +57,11 @@ def exact_percentiles(
         F.avg("_v").alias("mean"),
         F.expr(f"percentile_approx(_v, array({cuts}), {_ACCURACY})").alias("cuts"),
     )
-    brackets = grouped.selectExpr(*by, f"inline(array({', '.join(places)}))")
-    joined = rows.join(brackets, by) if by else rows.join(F.broadcast(brackets))
+    marks = f"array({', '.join(places)})"
+    if by:
+        joined = rows.join(grouped.selectExpr(*by, f"inline({marks})"), by)
+    else:
+        joined = rows.select("_v", grouped.selectExpr(f"{marks} as m").scalar().alias("m")).selectExpr("_v", "inline(m)")
     counted = joined.filter("_v <= high").selectExpr(
         *by, "q", "place", "case when _v >= low then _v end as _v"
     ).groupBy(*by, "q", "place", "_v").agg(F.count("*").alias("c"))
@@ -66,15 +69,25 @@ def exact_percentiles(
     ranked = counted.selectExpr(*by, "q", "place", "_v", f"sum(c) over ({over}) as upto", "c")
     picked = ranked.filter("upto > place and upto - c <= place").groupBy(*by).agg(
         *[F.max(F.expr(f"case when q = {i} then _v end")).alias(name) for i, name in enumerate(quantiles)])
-    whole = grouped.drop("cuts")
-    out = whole.join(picked, by, "left") if by else whole.join(F.broadcast(picked), F.lit(True), "left")
+    if by:
+        out = grouped.drop("cuts").join(picked, by, "left")
+    else:
+        out = _beside(picked, grouped.drop("cuts"))
     checked = [
-        f"case when {name} is null then raise_error('percentile bracket missed its value') else {name} end as {name}"
+        f"case when {name} is null and n > 0 then raise_error('percentile bracket missed its value')"
+        f" else {name} end as {name}"
         for name in quantiles
     ]
     return out.selectExpr(*by, "n", "mean", *checked)
 
 
+def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Columns of two one-row frames in one row, through a scalar subquery."""
+    names = [c for c in other.columns if c not in one.columns]
+    packed = other.selectExpr(f"struct({', '.join(names)}) as _other")
+    return one.select("*", packed.scalar().alias("_other")).select(*one.columns, *[f"_other.{n}" for n in names])
+
+
 LATENCY_QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
@@ -100,8 +113,7 @@ def throughput_report(run_log: DataFrame, started: str, byte_length: str, latenc
     )
     spread = exact_percentiles(rows, "_l", [], LATENCY_QUANTILES).selectExpr(
         "round(mean, 3) as latency_avg_ms", *[f"round({q}, 3) as latency_{q}_ms" for q in LATENCY_QUANTILES])
-    # Both sides are single rows.
-    return base.join(F.broadcast(spread)).selectExpr(
+    return _beside(base, spread).selectExpr(
         "total_events_processed", "total_data_bytes", "round(seconds, 3) as duration_seconds",
         "round(total_events_processed / seconds, 1) as throughput_eps",
         "round(total_data_bytes / 1048576D / seconds, 2) as throughput_mb_sec",
