@@ -21,20 +21,27 @@ def mask_line(column: str) -> str:
     return masked
 
 
-class Leaf:
-    """Clusters of one leaf of the Drain tree: all lines have the same token count."""
+class Tree:
+    """Drain clusters of lines with one token count; the first token picks the child node."""
 
-    def __init__(self, similarity: float = fx.DRAIN_SIMILARITY):
+    def __init__(self, max_children: int = fx.DRAIN_MAX_CHILDREN, similarity: float = fx.DRAIN_SIMILARITY):
+        self.max_children = max_children
         self.similarity = similarity
+        self.children: dict[str, list[int]] = {}
         self.templates: list[list[str]] = []
 
     def add(self, tokens: list[str]) -> int:
-        """Join the most similar cluster (more wildcards win a tie) or open a new one."""
+        """Join the most similar cluster of the child (more wildcards win a tie) or open a new one.
+
+        A first token without a child of its own is looked for under the wildcard child.
+        """
+        head = tokens[0] if tokens else ""
+        known = self.children.get(head, self.children.get(fx.WILDCARD, []))
         best, best_key = -1, (-1.0, -1)
-        for i, template in enumerate(self.templates):
+        for i in known:
+            template = self.templates[i]
             same = sum(a == b for a, b in zip(template, tokens) if a != fx.WILDCARD)
-            wild = template.count(fx.WILDCARD)
-            key = (same / len(tokens) if tokens else 1.0, wild)
+            key = (same / len(tokens) if tokens else 1.0, template.count(fx.WILDCARD))
             if key > best_key:
                 best, best_key = i, key
         if best >= 0 and best_key[0] >= self.similarity:
@@ -42,15 +49,23 @@ class Leaf:
                 a if a == b else fx.WILDCARD for a, b in zip(self.templates[best], tokens)]
             return best
         self.templates.append(list(tokens))
+        self.children.setdefault(self._child_for(head), []).append(len(self.templates) - 1)
         return len(self.templates) - 1
 
+    def _child_for(self, head: str) -> str:
+        """Child of a new cluster: tokens with digits, and those beyond the children bound, share one."""
+        if head in self.children:
+            return head
+        room = self.max_children if fx.WILDCARD in self.children else self.max_children - 1
+        return fx.WILDCARD if any(c.isdigit() for c in head) or len(self.children) >= room else head
+
 
-def _mine_leaf(rows: pd.DataFrame) -> pd.DataFrame:
+def _mine_leaf(rows: pd.DataFrame, max_children: int) -> pd.DataFrame:
     """Cluster the lines of one leaf chunk in first-seen order."""
     rows = rows.sort_values(["first_seen", "masked"])
-    leaf = Leaf()
-    rows["cluster"] = [leaf.add(m.split()) for m in rows["masked"]]
-    rows["template"] = [" ".join(leaf.templates[c]) for c in rows["cluster"]]
+    tree = Tree(max_children)
+    rows["cluster"] = [tree.add(m.split()) for m in rows["masked"]]
+    rows["template"] = [" ".join(tree.templates[c]) for c in rows["cluster"]]
     return rows[["leaf", "masked", "first_seen", "template"]]
 
 
@@ -62,23 +77,20 @@ def distinct_masked(lines: DataFrame, payload: str = "raw_payload", order: str =
 
 
 def _with_leaf(masked: DataFrame, max_children: int) -> DataFrame:
-    """Leaf of each masked line: token count and first token.
+    """Group of lines that can meet in the tree.
 
-    First tokens with a digit, and those that come after the node has its share of children
-    in first-seen order, go to the wildcard child.
+    Without a wildcard child, lines meet only under the same token count and first token.
+    Where a token count has one (a first token with a digit, or too many first tokens), its
+    lines can meet there and stay together.
     """
     blanks = lit(r"\s+")
     split = masked.selectExpr(
         "*", f"size(split(masked, {blanks})) as token_count", f"get(split(masked, {blanks}), 0) as head")
-    heads = split.filter("not head rlike '[0-9]'").groupBy("token_count", "head").agg(
-        F.min("first_seen").alias("head_seen"))
-    kept = heads.selectExpr(
-        "token_count", "head",
-        "row_number() over (partition by token_count order by head_seen, head) as place"
-    ).filter(f"place <= {max_children - 1}").selectExpr("token_count", "head", "true as own")
-    return split.join(kept, ["token_count", "head"], "left").selectExpr(
+    shared = split.groupBy("token_count", "head").count().groupBy("token_count").agg(
+        F.expr(f"bool_or(head rlike '[0-9]') or count(*) >= {max_children}").alias("shared"))
+    return split.join(shared, "token_count").selectExpr(
         "masked", "lines", "first_seen", "sample",
-        f"concat(token_count, ' ', case when own then head else {lit(fx.WILDCARD)} end) as leaf")
+        "if(shared, cast(token_count as string), concat(token_count, ' ', head)) as leaf")
 
 
 def mine_templates(
@@ -91,8 +103,8 @@ def mine_templates(
     """Templates and the assignment of masked lines to them.
 
     Templates: template_id (first-seen rank), template, size, sample. Assignment: masked,
-    template. Lines are reduced to distinct masked lines first; leaves never interact, so each
-    is clustered on its own. A leaf with more than ``leaf_lines`` distinct lines is clustered in
+    template. Lines are reduced to distinct masked lines first; groups that cannot meet in the
+    tree are clustered on their own. A leaf with more than ``leaf_lines`` distinct lines is clustered in
     chunks and the chunks' templates are clustered again, until one chunk holds the leaf.
     """
     # The distinct lines are cut off here: filters of the next steps must not reach the raw lines.
@@ -107,7 +119,7 @@ def mine_templates(
             "leaf", "template as masked", "first_seen",
             f"pmod(xxhash64(template), cast(ceil(n / {leaf_lines}D) as bigint)) as chunk")
         mined = chunked.groupBy("leaf", "chunk").applyInPandas(
-            lambda rows: _mine_leaf(rows), schema).selectExpr("leaf", "masked as template", "template as wider")
+            lambda rows: _mine_leaf(rows, max_children), schema).selectExpr("leaf", "masked as template", "template as wider")
         assigned = checkpointed(assigned.join(mined, ["leaf", "template"]).selectExpr(
             "leaf", "masked", "wider as template", "first_seen"))
         if most <= leaf_lines:

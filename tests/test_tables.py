@@ -225,13 +225,21 @@ def test_mining_in_chunks_covers_every_line(spark):
     assert matched.count() == 600 and len(matched.first().parameters) == 2
 
 
-def test_first_token_rules_of_the_tree(spark):
+def _templates(spark, texts, **options):
     lines = spark.createDataFrame(
-        [(f"{w} aa bb", T0 + datetime.timedelta(seconds=i)) for i, w in enumerate(["x1", "x2", "one", "two", "three"])],
-        "raw_payload string, ingest_ts timestamp")
-    found, _ = mining.mine_templates(lines, max_children=3)
-    assert {r.template: r.size for r in found.collect()} == {
-        "<*> aa bb": 3, "one aa bb": 1, "two aa bb": 1}
+        [(t, T0 + datetime.timedelta(seconds=i)) for i, t in enumerate(texts)], "raw_payload string, ingest_ts timestamp")
+    return {r.template: r.size for r in mining.mine_templates(lines, **options)[0].collect()}
+
+
+def test_first_token_rules_of_the_tree(spark):
+    # A first token with a digit opens the wildcard child; a new first token is looked for there.
+    assert _templates(spark, ["k1x a b", "one a b", "one x y", "one x z", "three q r s"]) == {
+        "<*> a b": 2, "one x <*>": 2, "three q r s": 1}
+    # The third first token finds no room and shares the wildcard child with the fourth.
+    assert _templates(spark, ["one p", "two p", "three p", "four p"], max_children=3) == {
+        "one p": 1, "two p": 1, "<*> p": 2}
+    assert _templates(spark, ["one p", "two p", "three p", "four p"]) == {
+        "one p": 1, "two p": 1, "three p": 1, "four p": 1}
 
 
 def test_delivery_ledger(spark, tmp_path):
