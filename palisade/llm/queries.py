@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate
-from palisade.llm.common import table
+from palisade.llm import decontaminate, quality
+from palisade.llm.common import table, text_remainder
+
+#: The score from which a document passes.
+PASS = 0.7
+
+
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), text_remainder("doc_id", 4) != 2)
+    return quality.score(docs, model, keep=["doc_id"]).select(
+        "doc_id",
+        (text_remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= PASS).cast("int").alias("predicted"),
+    )
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +40,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_gam": op5_quality_gam,
     "op10_decontaminate": op10_decontaminate,
 }
