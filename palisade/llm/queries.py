@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, quality
+from palisade.llm import decontaminate, quality, tokencount
 from palisade.llm.common import table, text_remainder
 
 #: The score from which a document passes.
 PASS = 0.7
+#: The tokens that a context may hold.
+TOKEN_LIMIT = 2048
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    counted = tokencount.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "n_bytes"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_counts": op4_token_counts,
     "op5_quality_gam": op5_quality_gam,
     "op10_decontaminate": op10_decontaminate,
 }
