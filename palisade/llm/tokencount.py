@@ -107,7 +107,7 @@ class Counting:
             unknown = {p for _, own in split for p in own.keys() - self.proven}
         merge, spell = self.tokenizer.model.tokenize, self.spelling
         for p in unknown:
-            self.rest[p] = len(merge(p if p.isascii() else p.encode().decode("latin-1").translate(spell)))
+            self.rest[p] = len(merge(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(spell)))
         proven, rest = self.proven, self.rest
         for i, own in split:
             out[i] = sum(n if p in proven else n * rest[p] for p, n in own.items())
