@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, quality, tokencount
+from palisade.llm import decontaminate, neighbours, quality, tokencount
 from palisade.llm.common import table, text_remainder
 
 #: The score from which a document passes.
@@ -34,6 +34,10 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = decontaminate.scan(docs, decontaminate.item_windows(table(spark, sf_dir, "benchmark")))
@@ -51,5 +55,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_quality_gam": op5_quality_gam,
+    "op7_cross_polytope": op7_cross_polytope,
     "op10_decontaminate": op10_decontaminate,
 }
