@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, neighbours, quality, tokencount
+from palisade.llm import decontaminate, neardup, neighbours, quality, tokencount
 from palisade.llm.common import table, text_remainder
 
 #: The score from which a document passes.
@@ -17,6 +17,10 @@ PASS = 0.7
 TOKEN_LIMIT = 2048
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     counted = tokencount.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "n_bytes"])
@@ -53,6 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op4_token_counts": op4_token_counts,
     "op5_quality_gam": op5_quality_gam,
     "op7_cross_polytope": op7_cross_polytope,
