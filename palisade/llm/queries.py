@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, neardup, neighbours, quality, tokencount
+from palisade.llm import decontaminate, mixing, neardup, neighbours, quality, tokencount
 from palisade.llm.common import table, text_remainder
 
 #: The score from which a document passes.
@@ -42,6 +42,16 @@ def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = mixing.allot(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
+    name = dealt.columns[-1]
+    return dealt.select(
+        "doc_id", f"{name}.size", f"{name}.source_size", f"{name}.target",
+        (F.col(f"{name}.size") * F.size(f"{name}.shards")).alias("taken"),
+        F.array_join(F.col(f"{name}.shards").cast("array<string>"), ",").alias("shards"),
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = decontaminate.scan(docs, decontaminate.item_windows(table(spark, sf_dir, "benchmark")))
@@ -61,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_quality_gam": op5_quality_gam,
     "op7_cross_polytope": op7_cross_polytope,
+    "op9_source_mix": op9_source_mix,
     "op10_decontaminate": op10_decontaminate,
 }
