@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from palisade.llm import licenses
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -33,6 +35,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN names USING (r)
 """
 
+def _values(rows: list[tuple]) -> str:
+    quoted = (", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) for row in rows)
+    return ", ".join(f"({row})" for row in quoted)
+
+
+OP6 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_words('text')} AS w FROM documents),
+phrases(phrase, label) AS (VALUES {_values(list(licenses.PHRASES.items()))}),
+split AS (SELECT label, string_split(phrase, ' ') AS p FROM phrases),
+places AS (
+  SELECT r, label, i - 1 AS word FROM (SELECT r, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM docs, split WHERE len(w) >= len(p))
+  WHERE w[i:i + len(p) - 1] = p),
+base AS (
+  SELECT r, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY r),
+templates(t, label, text) AS (VALUES {_values([(f'{k} {i}', k, t) for k, v in licenses.TEMPLATES.items() for i, t in enumerate(v)])}),
+wanted AS (SELECT DISTINCT t, label, unnest({_words('text')}) AS word FROM templates),
+sizes AS (SELECT t, count(*) AS n FROM wanted GROUP BY t),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+numbered AS (SELECT r, row_number() OVER () AS b, line FROM lines),
+held AS (SELECT DISTINCT r, b, unnest({_words('line')}) AS word FROM numbered),
+common AS (SELECT r, b, t, label, count(*) AS c FROM held JOIN wanted USING (word) GROUP BY ALL),
+found AS (SELECT r, label, c / n AS share FROM common JOIN sizes USING (t) WHERE 100 * c >= {licenses.THRESHOLD} * n),
+best AS (SELECT r, max(share) AS score FROM found GROUP BY r),
+named AS (
+  SELECT r, string_agg(label, ',' ORDER BY label) AS labels
+  FROM (SELECT r, label FROM found UNION SELECT r, label FROM places) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+  CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN base USING (r) LEFT JOIN best USING (r) LEFT JOIN named USING (r)
+"""
+
 ORACLE: dict[str, str] = {
+    "op6_license_scan": OP6,
     "op10_decontaminate": OP10,
 }

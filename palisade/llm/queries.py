@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, mixing, neardup, neighbours, quality, tokencount
+from palisade.llm import decontaminate, licenses, mixing, neardup, neighbours, quality, tokencount
 from palisade.llm.common import table, text_remainder
 
 #: The score from which a document passes.
@@ -38,6 +38,18 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    base, found = F.col("hits.label"), F.col("matches.label")
+    return scanned.select(
+        "doc_id", "n_words", F.size("hits").cast("long").alias("n_base"),
+        F.array_min("hits.word").alias("first_word"), F.array_max("hits.word").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, found)), ",").alias("labels"),
+        F.coalesce(F.array_max("matches.share"), F.lit(0.0)).alias("score"),
+    )
+
+
 def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -70,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op4_token_counts": op4_token_counts,
     "op5_quality_gam": op5_quality_gam,
+    "op6_license_scan": op6_license_scan,
     "op7_cross_polytope": op7_cross_polytope,
     "op9_source_mix": op9_source_mix,
     "op10_decontaminate": op10_decontaminate,
