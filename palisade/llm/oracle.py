@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palisade.llm import licenses
+from palisade.llm import licenses, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -68,7 +68,67 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 FROM docs LEFT JOIN base USING (r) LEFT JOIN best USING (r) LEFT JOIN named USING (r)
 """
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _decoded(text: str) -> str:
+    for entity, plain in warc.ENTITIES.items():
+        text = f"replace({text}, {_literal(entity)}, {_literal(plain)})"
+    return text
+
+
+def _plain(html: str) -> str:
+    text = html
+    for pattern, plain in ((warc.DROPPED, "' '"), (warc.BREAKS, "chr(10)"), (warc.TAGS, "''")):
+        text = f"regexp_replace({text}, {_literal(pattern)}, {plain}, 'g')"
+    text = f"regexp_replace({_decoded(text)}, '[ \\t\\r\\f]+', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def _digest(text: str) -> str:
+    parts = [f"to_base(('0x' || substr(sha1({text}), {1 + 10 * k}, 10))::BIGINT, 32, 8)" for k in range(4)]
+    return f"('sha1:' || translate({' || '.join(parts)}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'))"
+
+
+def _uuid(keys: str) -> str:
+    h = f"sha1(concat_ws(chr(10), {keys}))"
+    return (f"('<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-a' || substr({h}, 18, 3) "
+            f"|| '-' || substr({h}, 21, 12) || '>')")
+
+
+_CRLF = "chr(13) || chr(10)"
+OP2 = f"""
+WITH pages_ AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
+source AS (
+  SELECT page_id, {_uuid("'response', coalesce(CAST(page_id AS VARCHAR), ''), target_uri, payload")} AS refers_to, target_uri, payload,
+    {_digest('payload')} AS payload_digest, {_plain('payload')} AS text,
+    {_plain(f"('<p>' || regexp_extract(payload, {_literal(warc.TITLE)}, 1))")} AS title,
+    regexp_extract_all(payload, {_literal(warc.HREF)}, 1) AS links FROM pages_),
+made AS (
+  SELECT *, 'conversion' AS record_type, 'text/plain; charset=utf-8' AS content_type, text AS block FROM source
+  UNION ALL
+  SELECT *, 'metadata', 'application/warc-fields',
+    'title: ' || replace(title, chr(10), ' ') || {_CRLF} || 'language: ' || regexp_extract(payload, {_literal(warc.LANG)}, 1) || {_CRLF}
+    || 'sourcePayloadDigest: ' || payload_digest || {_CRLF} || 'sourceLength: ' || strlen(payload) || {_CRLF}
+    || 'textLength: ' || strlen(text) || {_CRLF}
+    || coalesce(array_to_string([ 'outlink: ' || {_decoded('u')} || {_CRLF} for u in links ], ''), '')
+    || 'sourceHeader: HTTP/1.1 200 OK' || {_CRLF} || 'sourceHeader: Content-Type: text/html; charset=utf-8' || {_CRLF}
+    || 'sourceHeader: Content-Length: ' || strlen(payload) || {_CRLF}
+  FROM source),
+digested AS (
+  SELECT *, {_digest('block')} AS block_digest, {_uuid('record_type, refers_to, payload_digest')} AS derived_id FROM made)
+SELECT page_id, record_type, derived_id, refers_to, target_uri, '{warc.DATE}' AS date, content_type, payload_digest, block_digest,
+  CAST(strlen(block) AS BIGINT) AS content_length, block,
+  'WARC/1.1' || {_CRLF} || 'WARC-Type: ' || record_type || {_CRLF} || 'WARC-Record-ID: ' || derived_id || {_CRLF}
+  || 'WARC-Refers-To: ' || refers_to || {_CRLF} || 'WARC-Target-URI: ' || target_uri || {_CRLF} || 'WARC-Date: {warc.DATE}' || {_CRLF}
+  || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || 'Content-Type: ' || content_type || {_CRLF}
+  || 'Content-Length: ' || strlen(block) || {_CRLF} AS header
+FROM digested
+"""
+
 ORACLE: dict[str, str] = {
+    "op2_warc_derivatives": OP2,
     "op6_license_scan": OP6,
     "op10_decontaminate": OP10,
 }
