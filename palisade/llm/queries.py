@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, licenses, mixing, neardup, neighbours, quality, tokencount, warc
+from palisade.llm import decontaminate, katz, licenses, mixing, neardup, neighbours, quality, tokencount, warc
 from palisade.llm.common import table, text_remainder
 
 #: The score from which a document passes.
@@ -25,6 +25,12 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages")))
 
 
+def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs, text_remainder("doc_id", 7) != 2).select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     counted = tokencount.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "n_bytes"])
@@ -85,6 +91,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_warc_derivatives": op2_warc_derivatives,
+    "op3_katz_scores": op3_katz_scores,
     "op4_token_counts": op4_token_counts,
     "op5_quality_gam": op5_quality_gam,
     "op6_license_scan": op6_license_scan,
