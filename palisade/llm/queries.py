@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, katz, licenses, mixing, neardup, neighbours, quality, tokencount, warc
+from palisade.llm import decontaminate, katz, licenses, mixing, neardup, neighbours, quality, repeats, tokencount, warc
 from palisade.llm.common import table, text_remainder
 
 #: The score from which a document passes.
@@ -64,6 +64,11 @@ def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.spans(docs, keep=["doc_id"], finish=repeats.digest, schema=repeats.DIGEST)
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = mixing.allot(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
     name = dealt.columns[-1]
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_gam": op5_quality_gam,
     "op6_license_scan": op6_license_scan,
     "op7_cross_polytope": op7_cross_polytope,
+    "op8_repeated_bytes": op8_repeated_bytes,
     "op9_source_mix": op9_source_mix,
     "op10_decontaminate": op10_decontaminate,
 }
