@@ -27,6 +27,8 @@ TABLES, HASHES, PROBES = 16, 1, 6
 POINT_BLOCK, QUERY_BLOCK = 256, 256
 #: Queries that one task turns into blocks.
 QUERIES_PER_TASK = 4096
+#: Found rows that a task holds before it keeps only the nearest of each query.
+HELD_ROWS = 400_000
 
 
 class Rotations:
@@ -100,30 +102,53 @@ def _blocks(vectors: DataFrame, dim: int, rotations: Rotations, probes: int, mos
     return vectors.mapInArrow(run, _BLOCKS)
 
 
+_FOUND = np.dtype([("query_id", np.int64), ("vec_id", np.int64), ("score", np.float64)])
+
+
+def _kept(found: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest of each query among the rows a task holds, each partner once."""
+    found = found[np.lexsort((found["vec_id"], found["score"], found["query_id"]))]
+    again = np.zeros(len(found), bool)
+    again[1:] = (found["query_id"][1:] == found["query_id"][:-1]) & (found["vec_id"][1:] == found["vec_id"][:-1])
+    found = found[~again]
+    first = np.searchsorted(found["query_id"], found["query_id"])
+    return found[np.arange(len(found)) - first < k]
+
+
+def _batch(held: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(held[0][c]) for c in _FOUND.names], names=list(_FOUND.names))
+
+
 def _nearest(points: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
-    """Join blocks of the same bucket; the k nearest of each pair of blocks, exactly measured."""
+    """Join blocks of the same bucket, measure exactly, and keep the k nearest of each query in a task."""
     joined = points.join(queries.select(
         "bucket_table", "bucket", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")), ["bucket_table", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        rows = 0
         for batch in batches:
-            out: list[list] = [[], [], []]
             for row in batch.to_pylist():
                 ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
                 x = np.frombuffer(row["vectors"]).reshape(-1, dim)
                 q = np.frombuffer(row["query_vectors"]).reshape(-1, dim)
                 for lo in range(0, len(q), 16):
-                    away = ((x[None] - q[lo:lo + 16, None]) ** 2).sum(-1)
+                    away = np.sqrt(((x[None] - q[lo:lo + 16, None]) ** 2).sum(-1))
                     for i, own in enumerate(query_ids[lo:lo + 16]):
-                        d = np.where(ids == own, np.inf, away[i])
-                        best = np.lexsort((ids, d))[:k]
-                        best = best[np.isfinite(d[best])]
-                        out[0].append(np.full(len(best), own))
-                        out[1].append(ids[best])
-                        out[2].append(np.sqrt(d[best]))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+                        best = np.lexsort((ids, away[i]))[:k + 1]
+                        best = best[ids[best] != own][:k]
+                        found = np.empty(len(best), _FOUND)
+                        found["query_id"], found["vec_id"], found["score"] = own, ids[best], away[i][best]
+                        held.append(found)
+                        rows += len(found)
+            if rows > HELD_ROWS:
+                held = [_kept(np.concatenate(held), k)]
+                rows = len(held[0])
+                if rows > HELD_ROWS // 2:  # many queries: hand on what is held
+                    yield _batch(held)
+                    held, rows = [], 0
+        if held:
+            yield _batch([_kept(np.concatenate(held), k)])
 
     return joined.select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(run, "query_id long, vec_id long, score double")
 
