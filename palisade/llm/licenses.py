@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import ALNUM, Hasher, LOWER, bounded_batches, row_bounds, text_slices, words
+from palisade.llm.common import ALNUM, Hasher, LOWER, bounded_batches, fresh, row_bounds, text_slices, words
 
 #: Phrases that give a label wherever their words stand consecutively.
 PHRASES = {
@@ -147,10 +147,11 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, phr
     join = Join(templates, own, frequencies(docs, own, text), threshold)
     sequences = [([own.index(w) for w in word_list(p)], label) for p, label in phrases.items()]
     keep = docs.columns if keep is None else keep
-    slim = docs.select(*keep, F.col(text).alias("__text"))
+    names = fresh(docs.select(*keep), "n_words", "hits", "matches")
+    slim = docs.select(*keep, F.col(text).alias(fresh(docs, "text")[0]))
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(keep)]]
-    kinds = ("hits array<struct<word:bigint,label:string>>",
-             "matches array<struct<byte_start:bigint,byte_end:bigint,label:string,share:double>>")
+    kinds = (f"`{names[0]}` long", f"`{names[1]}` array<struct<word:bigint,label:string>>",
+             f"`{names[2]}` array<struct<byte_start:bigint,byte_end:bigint,label:string,share:double>>")
     arrow = (pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())])), pa.list_(pa.struct([
         ("byte_start", pa.int64()), ("byte_end", pa.int64()), ("label", pa.string()), ("share", pa.float64())])))
 
@@ -186,6 +187,6 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, phr
                                            "label": label, "share": share})
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(k).slice(first, n) for k in range(len(keep))), pa.array(np.diff(bounds)),
-                    pa.array(hits, arrow[0]), pa.array(matches, arrow[1])], names=[*keep, "n_words", "hits", "matches"])
+                    pa.array(hits, arrow[0]), pa.array(matches, arrow[1])], names=[*keep, *names])
 
-    return slim.mapInArrow(run, ", ".join([*head, "n_words long", *kinds]))
+    return slim.mapInArrow(run, ", ".join([*head, *kinds]))

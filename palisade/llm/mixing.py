@@ -197,16 +197,17 @@ def allot(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         F.coalesce("whole", F.array().cast("array<bigint>")),
         F.when(F.exists("rules", lambda r: (F.col("size") <= r["gap"]) & (F.col("hash") <= r["high"]) & (
             r["low"].isNull() | (F.col("hash") > r["low"]))), F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    return with_place(sized).join(dealt, ["place", "block"], "left").select(
-        "row.*", F.struct("size", "source_size", "target", "hash", taken.alias("shards")).alias(name))
+    rows = with_place(sized).join(dealt, ["place", "block"], "left")
+    rows = rows.select("row", F.struct("size", "source_size", "target", "hash", taken.alias("shards")).alias("own"))
+    return rows.select("row.*", F.col("own").alias(name))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
         most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mixed rows: every document as often as it is taken, with its shard and its place in the shard's own shuffle."""
-    shard, order = fresh(docs, "shard", "shard_order")
+    shard, order, copy, hashed = fresh(docs, "shard", "shard_order", "copy", "hash")
     dealt = allot(docs, doc_id, text, source, None, weights, most, block_words, shard_words)
     name = dealt.columns[-1]
-    rows = dealt.select(*docs.columns, F.posexplode(f"{name}.shards").alias("__copy", shard), F.col(f"{name}.hash").alias("__hash"))
-    rows = rows.withColumn(order, F.xxhash64("__hash", shard, "__copy"))
+    rows = dealt.select(*docs.columns, F.posexplode(f"{name}.shards").alias(copy, shard), F.col(f"{name}.hash").alias(hashed))
+    rows = rows.withColumn(order, F.xxhash64(hashed, shard, copy))
     return rows.repartition(shard).sortWithinPartitions(shard, order).select(*docs.columns, shard, order)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import BLANK, Hasher, bounded_batches, text_slices, words
+from palisade.llm.common import BLANK, Hasher, bounded_batches, fresh, text_slices, words
 
 #: Labelled documents that a fit may use: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 50_000
@@ -205,7 +205,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray) -> Model:
 
 def with_features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    slim = docs.select(*keep, F.col(text).alias("__text"))
+    slim = docs.select(*keep, F.col(text).alias(fresh(docs, "text")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -239,10 +239,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The `keep` columns (all by default) and the model's probability of label 1, by vectorised bin additions."""
+    """The `keep` columns (all by default) and, last, the model's probability of label 1, by vectorised bin additions."""
     bounded_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    slim = docs.select(*keep, F.col(text).alias("__text"))
+    (name,) = fresh(docs.select(*keep), name)
+    slim = docs.select(*keep, F.col(text).alias(fresh(docs, "text")[0]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import bounded_batches
+from palisade.llm.common import bounded_batches, fresh
 
 #: Rest pre-tokens that a worker remembers before it starts anew; the memory saves work and changes no count.
 REMEMBERED = 200_000
@@ -118,14 +118,15 @@ class Counting:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: list[str] | None = None,
                  name: str = "n_tokens") -> DataFrame:
-    """The `keep` columns (all by default) and the number of tokens of the whole text."""
+    """The `keep` columns (all by default) and, last, the number of tokens of the whole text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
     shared = spark.sparkContext.broadcast((tokenizer_json, prove(tokenizer_json) if supported(tokenizer_json) else frozenset()))
     keep = docs.columns if keep is None else keep
-    slim = docs.select(*keep, F.col(text).alias("__text"))
+    (name,) = fresh(docs.select(*keep), name)
+    slim = docs.select(*keep, F.col(text).alias(fresh(docs, "text")[0]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(keep)]), f"`{name}` long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,8 +80,10 @@ def derivatives(responses: DataFrame) -> DataFrame:
     names = dict(zip(own, fresh(responses.select(*others), *own), strict=True))
     payload, target = F.coalesce("payload", F.lit("")), F.coalesce("target_uri", F.lit(""))
     date, headers = F.coalesce("date", F.lit(DATE)), F.coalesce("http_headers", F.lit(""))
+    row = [F.struct(*others).alias("row_")] if others else []
+    kept = ["row_"] if others else []
     source = responses.select(
-        *others, F.coalesce("record_id", record_id(F.lit("response"), target, date, payload)).alias("refers_to_"),
+        *row, F.coalesce("record_id", record_id(F.lit("response"), target, date, payload)).alias("refers_to_"),
         target.alias("target_uri"), date.alias("date"), headers.alias("headers_"), payload.alias("payload_"),
         F.concat(F.lit("sha1:"), base32_sha1(payload)).alias("digest_"), plain_text(payload).alias("text_"),
         plain_text(F.concat(F.lit("<p>"), F.regexp_extract(payload, TITLE, 1))).alias("title_"))
@@ -97,7 +99,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("kind"), F.lit("application/warc-fields").alias("type"), block.alias("block")),
         F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain; charset=utf-8").alias("type"), F.col("text_").alias("block")))
     rows = source.select("*", F.inline(kinds)).select(
-        *others, F.col("kind").alias(names["record_type"]), record_id("kind", "refers_to_", "digest_").alias(names["derived_id"]),
+        *kept, F.col("kind").alias(names["record_type"]), record_id("kind", "refers_to_", "digest_").alias(names["derived_id"]),
         F.col("refers_to_").alias(names["refers_to"]), "target_uri", "date", F.col("type").alias(names["content_type"]),
         F.col("digest_").alias(names["payload_digest"]), F.concat(F.lit("sha1:"), base32_sha1(F.col("block"))).alias(names["block_digest"]),
         F.octet_length("block").cast("long").alias(names["content_length"]), F.col("block").alias(names["block"]))
@@ -107,7 +109,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
         F.lit(f"{CRLF}WARC-Date: "), "date", F.lit(f"{CRLF}WARC-Block-Digest: "), names["block_digest"],
         F.lit(f"{CRLF}Content-Type: "), names["content_type"], F.lit(f"{CRLF}Content-Length: "),
         F.col(names["content_length"]).cast("string"), F.lit(CRLF))
-    return rows.withColumn(names["header"], header)
+    rows = rows.withColumn(names["header"], header)
+    return rows.select("row_.*", *rows.columns[1:]) if others else rows
 
 
 def write_warc(records: DataFrame, path: str) -> None:
