@@ -6,7 +6,7 @@ enough to leave out hopeless candidates and to try the most promising first. Eve
 
 First each class is compared with the smallest class of each of its buckets, best estimate first confirmed, which joins most of
 a group with few comparisons. Then what remains of each bucket, classes of different components, is compared in blocks, bitmap
-against bitmap, so no candidate is left out and no bucket's pairs are written out; only pairs that pass the bitmaps are rows.
+against bitmap and then set against set, so no candidate is left out and no pair is written out but the links that join components.
 
 A null text, and a text without words, has an empty set and is linked with nothing. Rows that repeat an id are separate rows of the
 same id. A row without an id is named by the smallest id it reaches; if there is none its component is null.
@@ -146,49 +146,101 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
                     for _, _, data, offsets in text_slices(part.column(side)):
                         sets += shingler.sets(data, offsets)
                     sides.append(sets)
-                keep = []
-                for x, y in zip(*sides, strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep = [_similar(x, y, percent) for x, y in zip(*sides, strict=True)]
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _across(members: DataFrame, floor: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose bitmaps pass, compared block against block.
+def _blocks(members: DataFrame) -> DataFrame:
+    """Pairs of blocks of the same bucket: rows (bucket, rows, rows_b, same), blocks of about BLOCK classes."""
+    blocks = members.groupBy("bucket", "part").agg(F.collect_list(F.struct(*(c for c in members.columns if c not in ("bucket", "part")))).alias("rows"))
+    other = blocks.select("bucket", F.col("part").alias("part_b"), F.col("rows").alias("rows_b"))
+    return blocks.join(other, "bucket").where("part <= part_b").select("bucket", "rows", "rows_b", (F.col("part") == F.col("part_b")).alias("same"))
+
+
+def _promising(bucket: int, a: dict, b: dict, same: bool, floor: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each class of block a the classes of b in other components whose bitmaps pass; a pair only in its first common bucket."""
+    bits, samples = 64 * SKETCH_WORDS, BANDS * BAND_ROWS
+    most = bits / 2 * (1 - np.exp((floor - 1) * 4 * samples / bits))  # differing bits at the floor
+    band = (a["bands"] == bucket).argmax(1)
+    for x in range(len(a["key"])):
+        good = (np.bitwise_count(b["sketch"] ^ a["sketch"][x]).sum(1) <= most) & (b["component"] != a["component"][x])
+        if same:
+            good[: x + 1] = False
+        near = np.flatnonzero(good)
+        near = near[~(b["bands"][near, : band[x]] == a["bands"][x, : band[x]]).any(1)]
+        if len(near):
+            yield x, near
+
+
+def _block(column: pa.Array, i: int) -> dict:
+    rows = column[i].values
+    wide = {c: rows.field(c).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) for c in ("sketch", "bands")}
+    return {"key": rows.field("set_key").to_pylist(), "component": np.array(rows.field("component").to_pylist(), object),
+            "sketch": wide["sketch"].view(np.uint64), "bands": wide["bands"], "rows": rows}
+
+
+def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, floor: float, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components that share a bucket: as many as join what a task has found to belong together.
 
-    members: bucket, set_key, component, sketch.
+    members: bucket, set_key, component. The bitmaps first tell which classes have a promising partner at all; only those come back with
+    their texts, and promising pairs are confirmed where the blocks meet, so pairs are never rows.
     """
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = mixed.where("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("long").alias("parts"))
-    split = members.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")))
-    blocks = split.groupBy("bucket", "part").agg(F.collect_list(F.struct("set_key", "component", "sketch")).alias("rows"))
-    other = blocks.select("bucket", F.col("part").alias("part_b"), F.col("rows").alias("rows_b"))
-    meet = blocks.join(other, "bucket").where("part <= part_b").select("rows", "rows_b")
-    bits, samples = 64 * SKETCH_WORDS, BANDS * BAND_ROWS
-    most = bits / 2 * (1 - np.exp((floor - 1) * 4 * samples / bits))  # differing bits at the floor
+    split = members.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts"))).drop("parts")
+    split = written(split.join(classes.select("set_key", "sketch", "bands"), "set_key"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (ka, ca, sa), (kb, cb, sb) = (_block(batch.column(c), i) for c in (0, 1))
-                out: list[list[bytes]] = [[], []]
-                for x in range(len(ka)):
-                    near = np.flatnonzero((np.bitwise_count(sb ^ sa[x]).sum(1) <= most) & (cb != ca[x]))
+                bucket, a, b = batch.column(0)[i].as_py(), _block(batch.column(1), i), _block(batch.column(2), i)
+                used: set[bytes] = set()
+                for x, near in _promising(bucket, a, b, batch.column(3)[i].as_py(), floor):
+                    used.add(a["key"][x])
+                    used.update(b["key"][y] for y in near.tolist())
+                yield pa.RecordBatch.from_pydict({"bucket": [bucket] * len(used), "set_key": sorted(used)}, schema=pa.schema([
+                    ("bucket", pa.int64()), ("set_key", pa.binary())]))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(shingle)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket, a, b = batch.column(0)[i].as_py(), _block(batch.column(1), i), _block(batch.column(2), i)
+                sets = []
+                for side in (a, b):
+                    own: list[np.ndarray] = []
+                    for _, _, data, offsets in text_slices(side["rows"].field("text")):
+                        own += shingler.sets(data, offsets)
+                    sets.append(own)
+                root: dict[bytes, bytes] = {}
+
+                def top(c: bytes, root=root) -> bytes:
+                    while root.get(c, c) != c:
+                        c = root[c]
+                    return c
+
+                links: list[list[bytes]] = [[], []]
+                for x, near in _promising(bucket, a, b, batch.column(3)[i].as_py(), floor):
                     for y in near.tolist():
-                        pair = sorted((ka[x], kb[y]))
-                        out[0].append(pair[0])
-                        out[1].append(pair[1])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], names=["a", "b"])
+                        one, two = top(a["component"][x]), top(b["component"][y])
+                        if one != two and _similar(sets[0][x], sets[1][y], percent):
+                            root[max(one, two)] = min(one, two)
+                            links[0].append(a["key"][x])
+                            links[1].append(b["key"][y])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()) for k in links], names=["a", "b"])
 
-    return meet.mapInArrow(run, "a binary, b binary").distinct()
+    needed = _blocks(split).mapInArrow(mark, "bucket long, set_key binary").distinct()
+    again = split.join(needed, ["bucket", "set_key"]).join(texts.withColumnRenamed("__text", "text"), "set_key")
+    return _blocks(again).mapInArrow(confirm, "a binary, b binary")
 
 
-def _block(column: pa.Array, i: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    rows = column[i].values
-    sketches = rows.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS)
-    return rows.field("set_key").to_pylist(), np.array(rows.field("component").to_pylist(), object), sketches
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    least = percent * (len(x) + len(y))
+    if (100 + percent) * min(len(x), len(y)) < least:
+        return False
+    return (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= least
 
 
 def classes_and_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -223,7 +275,7 @@ def classes_and_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     labels = members.select("bucket", "set_key").join(placed, F.col("set_key") == F.col("node"), "left").select(
         "bucket", "set_key", F.coalesce("component", "set_key").alias("component"))
-    more = _confirmed(_across(labels.join(sketches, "set_key"), floor).join(best, ["a", "b"], "left_anti"), texts, shingle, percent)
+    more = _across(labels, classes, texts, floor, shingle, percent)
     placed = components(linked.union(more))
     return rows.select("doc_id", "text_hash", "n_shingles", "set_key").join(
         placed.select(F.col("node").alias("set_key"), "component"), "set_key", "left"
