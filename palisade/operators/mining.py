@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from math import ceil
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +13,6 @@ from palisade import fixed_values as fx
 from palisade.functions.text import lit, strip
 from palisade.plans.checkpoints import checkpointed
 
-LEAF_LINES = 20_000
-
 
 def mask_line(column: str) -> str:
     """The line with IPs, ids, times, quoted text and numbers replaced by placeholders."""
@@ -22,13 +23,25 @@ def mask_line(column: str) -> str:
 
 
 class Tree:
-    """Drain clusters of lines with one token count; the first token picks the child node."""
+    """Drain clusters of lines with one token count; the first token picks the child node.
+
+    Only a cluster that shares enough tokens with a line can take it. Such a cluster holds at least one of any n - need + 1
+    of the line's n tokens, so the rarest of them, in an index by place and token, name all candidates.
+    """
 
     def __init__(self, max_children: int = fx.DRAIN_MAX_CHILDREN, similarity: float = fx.DRAIN_SIMILARITY):
         self.max_children = max_children
         self.similarity = similarity
-        self.children: dict[str, list[int]] = {}
+        self.children: dict[str, set[int]] = {}
         self.templates: list[list[str]] = []
+        self.holders: dict[tuple[int, str], list[int]] = {}
+
+    def _candidates(self, tokens: list[str], known: set[int]) -> list[int]:
+        need = max(1, ceil(self.similarity * len(tokens) - 1e-9))
+        if self.similarity <= 0 or not tokens:
+            return sorted(known)
+        posts = sorted((self.holders.get(key, ()) for key in enumerate(tokens)), key=len)
+        return sorted({i for post in posts[: len(tokens) - need + 1] for i in post if i in known})
 
     def add(self, tokens: list[str]) -> int:
         """Join the most similar cluster of the child (more wildcards win a tie) or open a new one.
@@ -36,9 +49,9 @@ class Tree:
         A first token without a child of its own is looked for under the wildcard child.
         """
         head = tokens[0] if tokens else ""
-        known = self.children.get(head, self.children.get(fx.WILDCARD, []))
+        known = self.children.get(head, self.children.get(fx.WILDCARD, set()))
         best, best_key = -1, (-1.0, -1)
-        for i in known:
+        for i in self._candidates(tokens, known):
             template = self.templates[i]
             same = sum(a == b for a, b in zip(template, tokens) if a != fx.WILDCARD)
             key = (same / len(tokens) if tokens else 1.0, template.count(fx.WILDCARD))
@@ -48,9 +61,12 @@ class Tree:
             self.templates[best] = [
                 a if a == b else fx.WILDCARD for a, b in zip(self.templates[best], tokens)]
             return best
+        number = len(self.templates)
         self.templates.append(list(tokens))
-        self.children.setdefault(self._child_for(head), []).append(len(self.templates) - 1)
-        return len(self.templates) - 1
+        for key in enumerate(tokens):
+            self.holders.setdefault(key, []).append(number)
+        self.children.setdefault(self._child_for(head), set()).add(number)
+        return number
 
     def _child_for(self, head: str) -> str:
         """Child of a new cluster: tokens with digits, and those beyond the children bound, share one."""
@@ -60,13 +76,41 @@ class Tree:
         return fx.WILDCARD if any(c.isdigit() for c in head) or len(self.children) >= room else head
 
 
-def _mine_leaf(rows: pd.DataFrame, max_children: int) -> pd.DataFrame:
-    """Cluster the lines of one leaf chunk in first-seen order."""
-    rows = rows.sort_values(["first_seen", "masked"])
-    tree = Tree(max_children)
-    rows["cluster"] = [tree.add(m.split()) for m in rows["masked"]]
-    rows["template"] = [" ".join(tree.templates[c]) for c in rows["cluster"]]
-    return rows[["leaf", "masked", "first_seen", "template"]]
+_CLUSTERED = "leaf string, cluster long, masked string, template string"
+
+
+def _clusters(max_children: int):
+    """Lines in the order of leaf and first sight: one row per line with its cluster, and one per cluster when a leaf ends.
+
+    A task holds the templates of one leaf, never its lines.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, tree = None, Tree(max_children)
+
+        def ended() -> pa.RecordBatch:
+            n = len(tree.templates)
+            return _clustered([leaf] * n, list(range(n)), [None] * n, [" ".join(t) for t in tree.templates])
+
+        for batch in batches:
+            leaves, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            numbers: list[int] = []
+            for own, line in zip(leaves, lines):
+                if own != leaf:
+                    if tree.templates:
+                        yield ended()
+                    leaf, tree = own, Tree(max_children)
+                numbers.append(tree.add(line.split()))
+            yield _clustered(leaves, numbers, lines, [None] * len(lines))
+        if tree.templates:
+            yield ended()
+
+    return run
+
+
+def _clustered(leaves: list, numbers: list, lines: list, templates: list) -> pa.RecordBatch:
+    columns = (pa.array(leaves, pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), pa.array(templates, pa.string()))
+    return pa.RecordBatch.from_arrays(list(columns), names=["leaf", "cluster", "masked", "template"])
 
 
 def distinct_masked(lines: DataFrame, payload: str = "raw_payload", order: str = "ingest_ts") -> DataFrame:
@@ -97,41 +141,28 @@ def mine_templates(
     lines: DataFrame,
     payload: str = "raw_payload",
     order: str = "ingest_ts",
-    leaf_lines: int = LEAF_LINES,
     max_children: int = fx.DRAIN_MAX_CHILDREN,
 ) -> tuple[DataFrame, DataFrame]:
     """Templates and the assignment of masked lines to them.
 
     Templates: template_id (first-seen rank), template, size, sample. Assignment: masked,
     template. Lines are reduced to distinct masked lines first; groups that cannot meet in the
-    tree are clustered on their own. A leaf with more than ``leaf_lines`` distinct lines is clustered in
-    chunks and the chunks' templates are clustered again, until one chunk holds the leaf.
+    tree are clustered on their own, each in one pass in first-seen order.
     """
     # The distinct lines are cut off here: filters of the next steps must not reach the raw lines.
     masked = _with_leaf(checkpointed(distinct_masked(lines, payload, order)), max_children)
-    schema = "leaf string, masked string, first_seen timestamp, template string"
-    assigned = masked.selectExpr("leaf", "masked", "masked as template", "first_seen")
-    while True:
-        level = assigned.groupBy("leaf", "template").agg(F.min("first_seen").alias("first_seen"))
-        sizes = level.groupBy("leaf").agg(F.count("*").alias("n"))
-        most = sizes.agg(F.max("n")).first()[0] or 0
-        chunked = level.join(sizes, "leaf").selectExpr(
-            "leaf", "template as masked", "first_seen",
-            f"pmod(xxhash64(template), cast(ceil(n / {leaf_lines}D) as bigint)) as chunk")
-        mined = chunked.groupBy("leaf", "chunk").applyInPandas(
-            lambda rows: _mine_leaf(rows, max_children), schema).selectExpr("leaf", "masked as template", "template as wider")
-        assigned = checkpointed(assigned.join(mined, ["leaf", "template"]).selectExpr(
-            "leaf", "masked", "wider as template", "first_seen"))
-        if most <= leaf_lines:
-            break
-    found = masked.join(assigned.select("masked", "template"), "masked").groupBy("template").agg(
+    ordered = masked.repartition("leaf").sortWithinPartitions("leaf", "first_seen", "masked").select("leaf", "masked")
+    rows = checkpointed(ordered.mapInArrow(_clusters(max_children), _CLUSTERED))
+    ended = rows.filter("masked is null").select("leaf", "cluster", "template")
+    assigned = rows.filter("masked is not null").drop("template").join(ended, ["leaf", "cluster"]).select("masked", "template")
+    found = masked.join(assigned, "masked").groupBy("template").agg(
         F.sum("lines").alias("size"), F.min("first_seen").alias("first_seen"),
         F.min_by("sample", F.struct("first_seen", "sample")).alias("sample"))
     # Ranking all templates needs one ordered run over them; templates are few by nature.
     ids = found.selectExpr(
         "cast(row_number() over (order by first_seen, template) as int) as template_id",
         "template", "size", "sample", "first_seen")
-    return ids, assigned.select("masked", "template")
+    return ids, assigned
 
 
 def match_template(lines: DataFrame, templates: DataFrame, payload: str = "raw_payload") -> DataFrame:

@@ -1,44 +1,39 @@
 """Sliding-window rate limit: a request passes if fewer than ``limit`` passed in the last 60 s.
 
-Rejected requests do not count, so a decision depends on the client's earlier decisions.
-A client's requests are therefore taken in order, in chunks of bounded size; between
-chunks only the passes of the last window are carried over, at most ``limit`` times.
+Rejected requests do not count, so a decision depends on the client's earlier decisions: request number ``limit``
+after a pass must come later than that pass plus the window. A client's time line is cut where it is silent for a
+window, since nothing carries over such a gap. Each stretch streams through one task in time order; the task
+holds one batch and the last ``limit`` passes, and jumps from pass to pass, whatever number of requests lies between.
+A null client is a client of its own; a request without a time never passes.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fx
-from palisade.plans.checkpoints import checkpointed
 
-CHUNK_ROWS = 2_000_000
 
-
-def admit(times, history: deque, limit: int, window_us: int) -> list[bool]:
-    """Decisions for ordered request times in micros; ``history`` is updated in place."""
-    decisions = []
-    for now in times:
-        while history and history[0] < now - window_us:
+def admit(times: np.ndarray, history: deque, limit: int, window_us: int) -> np.ndarray:
+    """Decisions for ordered request times in micros; ``history``, the last passes, is updated in place."""
+    passed = np.zeros(len(times), bool)
+    at = 0
+    while at < len(times) and limit > 0:
+        if len(history) == limit:
+            at = max(at, int(np.searchsorted(times, history[0] + window_us, side="right")))
+            if at == len(times):
+                break
             history.popleft()
-        passed = len(history) < limit
-        if passed:
-            history.append(now)
-        decisions.append(passed)
-    return decisions
-
-
-def decisions(rows: pd.DataFrame, history: deque, limit: int, window_us: int) -> pd.DataFrame:
-    """One client's requests in time order with their decisions."""
-    ordered = rows.sort_values(["ts_us", "tie"])
-    times = ordered["ts_us"].tolist()
-    return pd.DataFrame({
-        "client": ordered["client"].tolist(), "tie": ordered["tie"].tolist(), "ts_us": times,
-        "admitted": admit(times, history, limit, window_us)}).astype({"client": object, "tie": object})
+        passed[at] = True
+        history.append(int(times[at]))
+        at += 1
+    return passed
 
 
 def rate_limit(
@@ -48,47 +43,41 @@ def rate_limit(
     tie: str,
     limit: int,
     window_seconds: int = fx.RATE_WINDOW_SECONDS,
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """(client, tie, ts_us, admitted) for every request. ``tie`` orders equal times and is unique.
-
-    Clients with at most ``chunk_rows`` requests, normally all, finish in one parallel round.
-    A hotter client takes one more round per chunk; rounds run on its rows only.
-    """
+    """(client, tie, ts_us, admitted) for every request. ``tie`` orders equal times and is unique."""
     window_us = window_seconds * 1_000_000
-    requests = df.selectExpr(f"{client} as client", f"{tie} as tie", f"unix_micros({ts}) as ts_us")
-    seconds = requests.groupBy("client", F.expr("ts_us div 1000000").alias("second")).agg(F.count("*").alias("c"))
-    chunks = seconds.selectExpr(
-        "client", "second",
-        "coalesce(sum(c) over (partition by client order by second"
-        f" rows between unbounded preceding and 1 preceding), 0) div {chunk_rows} as chunk")
-    rounds = chunks.agg(F.max("chunk")).first()[0] or 0
-    out_schema = "client string, tie string, ts_us long, admitted boolean"
-    keyed = requests.selectExpr("cast(client as string) as client", "cast(tie as string) as tie", "ts_us")
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        return decisions(rows, deque(), limit, window_us)
-
-    if rounds == 0:
-        return keyed.groupBy("client").applyInPandas(decide, out_schema)
-
-    def decide_after(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-        return decisions(rows, deque(sorted(carried["ts_us"].tolist())), limit, window_us)
-
-    placed = keyed.withColumn("second", F.expr("ts_us div 1000000")).join(
-        chunks.selectExpr("cast(client as string) as client", "second", "chunk"), ["client", "second"])
-    done, carried = None, None
-    for i in range(rounds + 1):
-        rows = placed.filter(F.col("chunk") == i).select("client", "tie", "ts_us")
-        if carried is None:
-            decided = rows.groupBy("client").applyInPandas(decide, out_schema)
-        else:
-            decided = rows.groupBy("client").cogroup(carried.groupBy("client")).applyInPandas(decide_after, out_schema)
-        decided = checkpointed(decided)
-        passed = decided.filter("admitted").select("client", "ts_us")
-        passed = passed if carried is None else passed.union(carried)
-        latest = passed.groupBy("client").agg(F.max("ts_us").alias("last"))
-        carried = checkpointed(passed.join(latest, "client").filter(f"ts_us >= last - {window_us}").select(
-            "client", "ts_us"))
-        done = decided if done is None else done.union(decided)
-    return done
+    requests = df.selectExpr(
+        f"cast({client} as string) as client", f"cast({tie} as string) as tie", f"unix_micros({ts}) as ts_us",
+        f"floor(unix_micros({ts}) / {window_us}D) as slot")
+    # Slots of one window's length: an empty slot is silence for a window at least. The rows here are slots, not requests.
+    slots = requests.groupBy("client", "slot").agg(F.lit(1).alias("one"))
+    starts = slots.selectExpr(
+        "client", "slot", "slot - row_number() over (partition by client order by slot) as stretch")
+    placed = requests.join(
+        starts.selectExpr("client as c", "slot as s", "stretch"), F.expr("client <=> c and slot <=> s")).select(
+        "client", "stretch", "ts_us", "tie")
+    ordered = placed.repartition("client", "stretch").sortWithinPartitions("client", "stretch", "ts_us", "tie")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, history = None, deque()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            times = batch.column(2).fill_null(0).to_numpy()
+            passed = np.zeros(len(times), bool)
+            begin = 0
+            while begin < len(keys):
+                end = begin + 1
+                while end < len(keys) and keys[end] == keys[begin]:
+                    end += 1
+                if keys[begin] != current:
+                    current, history = keys[begin], deque()
+                if keys[begin][1] is not None:
+                    passed[begin:end] = admit(times[begin:end], history, limit, window_us)
+                begin = end
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(3), batch.column(2), pa.array(passed)],
+                names=["client", "tie", "ts_us", "admitted"])
+
+    return ordered.mapInArrow(decide, "client string, tie string, ts_us long, admitted boolean")

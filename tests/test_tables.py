@@ -170,16 +170,20 @@ def _brute(times, limit, window):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1_000_000, 50])
-def test_rate_limit(spark, chunk):
+def test_rate_limit(spark):
     rows = spark.range(400).selectExpr(
-        "lpad(cast(id as string), 5, '0') as id", "if(id % 4 = 0, 'cold', 'hot') as client",
-        "timestamp_micros(1700000000000000 + id * 700000 + pmod(xxhash64(id), 600000)) as ts")
-    got = ratelimit.rate_limit(rows, "client", "ts", "id", limit=5, chunk_rows=chunk).collect()
-    assert len(got) == 400
-    for client in ("hot", "cold"):
-        mine = sorted((r for r in got if r.client == client), key=lambda r: (r.ts_us, r.tie))
-        assert [r.admitted for r in mine] == _brute([r.ts_us for r in mine], 5, 60_000_000)
+        "lpad(cast(id as string), 5, '0') as id", "case when id % 4 = 0 then 'cold' when id % 4 = 1 then null else 'hot' end as client",
+        "timestamp_micros(1700000000000000 + id * 700000 + pmod(xxhash64(id), 600000) + if(id > 300, 300000000, 0)) as ts")
+    rows = rows.union(rows.limit(1).selectExpr("'x' as id", "'hot' as client", "cast(null as timestamp) as ts"))
+    # One record per Arrow batch boundary or many: the passes are carried from batch to batch.
+    for records in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        got = ratelimit.rate_limit(rows, "client", "ts", "id", limit=5).collect()
+        assert len(got) == 401 and [r.admitted for r in got if r.ts_us is None] == [False]
+        for client in ("hot", "cold", None):
+            mine = sorted((r for r in got if r.client == client and r.ts_us is not None), key=lambda r: (r.ts_us, r.tie))
+            assert mine and [r.admitted for r in mine] == _brute([r.ts_us for r in mine], 5, 60_000_000)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_mining_to_published_parser(spark):
@@ -211,20 +215,27 @@ def test_mining_to_published_parser(spark):
     sessions.unpersist()
 
 
-def test_mining_in_chunks_covers_every_line(spark):
+def test_mining_covers_every_line(spark):
     lines = spark.range(600).selectExpr(
         "concat('svc', chr(97 + id % 3), ' user ', repeat(chr(97 + id % 26), 1 + id div 26), ' did ',"
         " chr(97 + id % 5), ' ok') as raw_payload", "timestamp_seconds(id) as ingest_ts")
     whole, all_lines = mining.mine_templates(lines)
-    cut, cut_lines = mining.mine_templates(lines, leaf_lines=40)
-    assert sum(r.size for r in cut.collect()) == sum(r.size for r in whole.collect()) == 600
-    assert cut_lines.count() == all_lines.count()
+    assert sum(r.size for r in whole.collect()) == 600 and all_lines.count() == lines.distinct().count()
     assert {r.template for r in whole.collect()} == {f"svc{c} user <*> did <*> ok" for c in "abc"}
-    assert {r.template for r in cut.collect()} == {f"svc{c} user <*> did <*> ok" for c in "abc"}
     matched = mining.match_template(lines, whole).filter("template_id is not null")
     assert matched.count() == 600 and len(matched.first().parameters) == 2
 
 
+def test_mining_ends_on_lines_that_never_merge(spark):
+    word = "concat(chr(97 + {0} % 26), chr(97 + {0} div 26 % 26), chr(97 + {0} div 676 % 26))"
+    lines = spark.range(3000).selectExpr(
+        "concat_ws(' ', 'start', " + ", ".join(word.format(f"(id * 7 + {k} * 3001)") for k in range(4)) + ") as raw_payload",
+        "timestamp_seconds(id) as ingest_ts")
+    found, assigned = mining.mine_templates(lines)
+    assert found.count() == 3000 and assigned.count() == 3000
+    assert {r.size for r in found.collect()} == {1}
+
+
 def _templates(spark, texts, **options):
     lines = spark.createDataFrame(
         [(t, T0 + datetime.timedelta(seconds=i)) for i, t in enumerate(texts)], "raw_payload string, ingest_ts timestamp")

@@ -208,6 +208,16 @@ ORACLE = {
                          " round(round(n / s, 1) * 86400e0 / 1000000e0, 1) as million_events_per_day from r",
     "dedupe": "select event_type, count(*) as events, cast(sum(event_id) as bigint) as id_sum from events group by 1",
     "latest_events": "select event_id, 2 as version, value + 1 as value from events",
+    # Requests of each type one after the other, with the last three passes carried along.
+    "rate_limit": "with recursive r as (select event_type, event_id, epoch_us(ts) as ts_us,"
+                  " row_number() over (partition by event_type order by ts, cast(event_id as varchar)) as n from events),"
+                  " s as (select event_type, event_id, ts_us, n, true as admitted, [ts_us] as passes from r where n = 1"
+                  " union all select r.event_type, r.event_id, r.ts_us, r.n,"
+                  " len(s.passes) < 3 or r.ts_us > s.passes[1] + 1800000000,"
+                  " case when len(s.passes) < 3 then list_append(s.passes, r.ts_us)"
+                  " when r.ts_us > s.passes[1] + 1800000000 then list_append(s.passes[2:], r.ts_us) else s.passes end"
+                  " from s join r on r.event_type = s.event_type and r.n = s.n + 1)"
+                  " select event_type as client, cast(event_id as varchar) as tie, ts_us, admitted from s",
     "delivery_state": f"select case when {_OK1} or event_id % 10 != 0 or event_id % 5 != 0 then 'DELIVERY_COMPLETE'"
                       " else 'FAILED_RETRYABLE' end as state, count(*) as events from events group by 1",
     "retry_schedule": "select event_id, case when event_id % 5 = 4 then 'DEAD_LETTER' else 'FAILED_RETRYABLE' end as"
