@@ -171,6 +171,7 @@ JSON_DST_PORT = ["dst_port", "dpt", "dest_port", "destination_port", "server_por
 JSON_PROTOCOL = ["proto", "protocol", "proto_name"]
 JSON_BLOCK = ["deny", "drop", "block", "reject", "reset"]
 MINED_BLOCK = ["deny", "drop", "block", "reject", "reset"]
+IPV4_SHAPE = r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"
 IPV4_IN_TEXT = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 
 # --- fixed values: line masks for template mining, applied in this order ------------------------------
@@ -182,7 +183,6 @@ LINE_MASKS = [
     ("STR", r'"[^"]*"'),
     ("NUM", r"\b\d+\b"),
 ]
-DRAIN_DEPTH = 4
 DRAIN_SIMILARITY = 0.5
 DRAIN_MAX_CHILDREN = 100
 WILDCARD = "<*>"
@@ -196,6 +196,26 @@ GROUP_UUID = r"([0-9a-fA-F-]{36})"
 GROUP_TEXT = r"""("[^"]*"|'[^']*'|[^\s,;|]+)"""
 PROTOCOL_WORDS = ["TCP", "UDP", "ICMP", "GRE", "ESP", "AH", "HTTP", "HTTPS", "DNS", "SSH"]
 ACTION_WORDS = ["ALLOW", "DENY", "DROP", "BLOCK", "REJECT", "ACCEPT", "PERMIT", "PASS"]
+#: A variable's group in a template's pattern: mask, marks in the variable's name, group; the first row that fits.
+VARIABLE_GROUPS = [
+    ("IP", ["ip"], GROUP_IP),
+    ("NUM", ["port", "bytes"], GROUP_NUMBER),
+    ("TIMESTAMP", ["time", "date"], GROUP_TIME),
+    ("STR", ["reason", "msg"], GROUP_TEXT),
+    ("UUID", [], GROUP_UUID),
+]
+#: Fields by hints: marks in the variable's name, words its first value may be, a mask, a pattern of its first value;
+#: then type, OCSF field, confidence and transform. The first row of which one hint fits.
+FIELD_HINTS = [
+    (["proto"], PROTOCOL_WORDS, None, None, "protocol", "protocol", 0.95, "to_upper"),
+    (["action", "act"], ACTION_WORDS, None, None, "action", "action", 0.95, "to_lower"),
+    (["time", "date"], [], "<TIMESTAMP>", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", "timestamp", "timestamp", 0.90, None),
+    (["byte", "size"], [], None, None, "integer", "bytes", 0.90, "to_int"),
+    (["rule", "policy"], [], None, None, "string", "rule_name", 0.88, None),
+    (["user", "usr"], [], None, None, "string", "user_name", 0.85, None),
+    (["reason", "msg"], [], None, None, "string", "message", 0.80, None),
+]
+ADDRESS_CONFIDENCE, PORT_CONFIDENCE, NUMBER_CONFIDENCE, TEXT_CONFIDENCE = 0.95, 0.92, 0.70, 0.65
 SESSION_CONFIDENCE = 0.88
 
 # --- fixed values: default enrichment dimensions ------------------------------------------------------------

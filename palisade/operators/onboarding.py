@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fx
-from palisade.functions.text import lit, strip
+from palisade.functions.text import case, contains_any, lit, matches, strip
 from palisade.functions.values import stable_uuid
 from palisade.operators.audit import audit_rows
 from palisade.operators.mining import mask_line, mine_templates
@@ -23,111 +20,46 @@ _VARIABLES = (
 
 # --- template -> pattern --------------------------------------------------------------------
 
-_PAIR = re.compile(r"([A-Za-z0-9_]+)=([^\s,;|]+)")
-_MASK = re.compile(r"<([^>]+)>")
-_LABEL = re.compile(r"([a-zA-Z0-9_]+)[=:]\s*$")
-
 
 def _quoted(text: str) -> str:
-    return re.sub(r"([\\\[\](){}.*+?^$|])", r"\\\1", text)
-
-
-def _group_for(kind: str, name: str) -> str:
-    """Pattern group of a placeholder, by its mask and by marks in its name."""
-    choices = [
-        (kind == "IP" or "ip" in name, fx.GROUP_IP),
-        (kind == "NUM" or "port" in name or "bytes" in name, fx.GROUP_NUMBER),
-        (kind == "TIMESTAMP" or "time" in name or "date" in name, fx.GROUP_TIME),
-        (kind == "STR" or "reason" in name or "msg" in name, fx.GROUP_TEXT),
-        (kind == "UUID", fx.GROUP_UUID),
-    ]
-    return next((group for hit, group in choices if hit), fx.GROUP_TEXT)
+    special, escaped = lit(r"([\\\[\](){}.*+?^$|])"), lit(r"\\$1")
+    return f"regexp_replace({text}, {special}, {escaped})"
 
 
-def template_to_regex(template: str) -> tuple[str, list[str], list[str]]:
-    """Pattern with positional groups, the groups' names, and their placeholders.
-
-    Unmasked ``KEY=VALUE`` becomes ``KEY=<KEY>``: its value varies between lines to come.
-    """
-    open_template = _PAIR.sub(
-        lambda m: m[0] if m[2].startswith("<") and m[2].endswith(">") else f"{m[1]}=<{m[1]}>", template)
-    pattern, names, placeholders, last = "", [], [], 0
-    for i, mask in enumerate(_MASK.finditer(open_template)):
-        before = open_template[last:mask.start()]
-        label = _LABEL.search(before)
-        known = mask[1].lower() in fx.NAMED_PLACEHOLDERS
-        stem = label[1].lower() if label else mask[1].lower() if known else "var"
-        names.append(f"{stem}_{i}")
-        placeholders.append(mask[0])
-        pattern += _quoted(before) + _group_for(mask[1].upper(), names[-1])
-        last = mask.end()
-    return pattern + _quoted(open_template[last:]), names, placeholders
+def _marked(name: str, marks: list[str]) -> str:
+    return contains_any(name, marks) if marks else "false"
 
 
 def template_patterns(templates: DataFrame) -> DataFrame:
-    """Add pattern, names and placeholders to a template table."""
-    schema = "template string, pattern string, names array<string>, placeholders array<string>"
-
-    def build(batches):
-        for batch in batches:
-            made = [template_to_regex(t) for t in batch["template"]]
-            yield pd.DataFrame({
-                "template": batch["template"],
-                "pattern": [m[0] for m in made], "names": [m[1] for m in made], "placeholders": [m[2] for m in made]})
+    """Add pattern (positional groups), names of the groups and placeholders to a template table.
 
-    return templates.join(templates.select("template").distinct().mapInPandas(build, schema), "template")
+    An unmasked ``KEY=VALUE`` first becomes ``KEY=<KEY>``, since its value varies between lines to come. A template then is
+    text, placeholder, text, ..., text: a variable is named after the key before it, else after a known placeholder.
+    """
+    free_pair, masked = lit(r"([A-Za-z0-9_]+)=(?!<[^\s,;|]*>(?:[\s,;|]|$))[^\s,;|]+"), lit("<[^>]+>")
+    pieces = templates.selectExpr("*", f"regexp_replace(template, {free_pair}, '$1=<$1>') as _open").selectExpr(
+        "*", f"regexp_extract_all(_open, {masked}, 0) as placeholders", f"split(_open, {masked}, -1) as _texts")
+    label = lit(r"([a-zA-Z0-9_]+)[=:]\s*$")
+    key = f"nullif(lower(regexp_extract(_texts[i], {label}, 1)), '')"
+    mask = "lower(substring(p, 2, length(p) - 2))"
+    known = ", ".join(lit(n) for n in fx.NAMED_PLACEHOLDERS)
+    named = pieces.selectExpr(
+        "*", f"transform(placeholders, (p, i) -> concat(coalesce({key}, if({mask} in ({known}), {mask}, 'var')), '_', i)) as names")
+    group = case(
+        *[(f"upper(substring(p, 2, length(p) - 2)) = {lit(kind)} or {_marked('n', marks)}", lit(pattern))
+          for kind, marks, pattern in fx.VARIABLE_GROUPS], default=lit(fx.GROUP_TEXT))
+    groups = named.selectExpr("*", f"zip_with(placeholders, names, (p, n) -> {group}) as _groups")
+    rest = [c for c in templates.columns if c not in ("pattern", "names", "placeholders")]
+    return groups.selectExpr(
+        *rest,
+        f"concat(array_join(zip_with(slice(_texts, 1, size(_groups)), _groups, (t, g) -> concat({_quoted('t')}, g)), ''),"
+        f" {_quoted('element_at(_texts, -1)')}) as pattern",
+        "names", "placeholders")
 
 
 # --- field inference ------------------------------------------------------------------------
 
 
-def infer_field(
-    name: str, placeholder: str, first: str, ips_before: int, ports_before: int
-) -> tuple[str, str, float, str | None]:
-    """Type, OCSF field, confidence and transform of a variable, by ordered hints.
-
-    The n-th address or port decides between source and destination.
-    """
-    has = lambda *marks: any(m in name for m in marks)
-    is_ip = re.match(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$", first) or placeholder == "<IP>"
-    if (placeholder == "<IP>" or has("ip", "src", "dst")) and is_ip:
-        return "ipv4", "src_ip" if has("src") or ips_before == 0 else "dst_ip", 0.95, None
-    numeric = first.isdigit()
-    port_like = placeholder == "<NUM>" and numeric and 1 <= int(first) <= 65535 and has("src", "dst")
-    if has("port", "spt", "dpt") or port_like:
-        return "port", "src_port" if has("src") or ports_before == 0 else "dst_port", 0.92, "to_int"
-    word = first.upper()
-    hints = [
-        (has("proto") or word in fx.PROTOCOL_WORDS, ("protocol", "protocol", 0.95, "to_upper")),
-        (has("action", "act") or word in fx.ACTION_WORDS, ("action", "action", 0.95, "to_lower")),
-        (placeholder == "<TIMESTAMP>" or has("time", "date")
-         or re.match(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", first), ("timestamp", "timestamp", 0.90, None)),
-        (has("byte", "size"), ("integer", "bytes", 0.90, "to_int")),
-        (has("rule", "policy"), ("string", "rule_name", 0.88, None)),
-        (has("user", "usr"), ("string", "user_name", 0.85, None)),
-        (has("reason", "msg"), ("string", "message", 0.80, None)),
-        (numeric, ("integer", f"unmapped_{name}", 0.70, "to_int")),
-    ]
-    return next((found for hit, found in hints if hit), ("string", f"unmapped_{name}", 0.65, None))
-
-
-def _infer_template(names, placeholders, samples) -> tuple[list[dict], list[dict]]:
-    """Variables and rules of one template."""
-    variables, rules, ips, ports = [], [], 0, 0
-    for i, (name, placeholder) in enumerate(zip(names, placeholders)):
-        values = [] if samples is None or samples.get(i) is None else list(samples[i])
-        first = values[0].strip().strip('"').strip("'") if values else ""
-        kind, target, confidence, transform = infer_field(name, placeholder, first, ips, ports)
-        ips += kind == "ipv4"
-        ports += kind == "port"
-        variables.append({
-            "var_index": i, "placeholder": placeholder, "sample_values": values or [placeholder],
-            "inferred_type": kind, "suggested_ocsf_field": target, "confidence": confidence})
-        rules.append({
-            "field_name": name, "target_ocsf_field": target, "transform": transform, "default_value": None})
-    return variables, rules
-
-
 def sample_values(lines: DataFrame, keep: int = fx.DISCOVERED_SAMPLES) -> DataFrame:
     """First distinct values per variable in the order seen: template, var_index, values.
 
@@ -145,22 +77,57 @@ def sample_values(lines: DataFrame, keep: int = fx.DISCOVERED_SAMPLES) -> DataFr
         F.expr("transform(array_sort(collect_list(struct(place, value))), x -> x.value)").alias("values"))
 
 
+def _kind() -> str:
+    """Type, field, confidence and transform of a variable v (name, mask, first, digits); sides of addresses and ports come later."""
+    def found(kind: str, field: str, confidence: float, transform: str | None) -> str:
+        change = lit(transform) if transform else "cast(null as string)"
+        return f"named_struct('kind', {lit(kind)}, 'field', {field}, 'confidence', {confidence}D, 'transform', {change})"
+
+    address = f"(v.mask = '<IP>' or {_marked('v.name', ['ip', 'src', 'dst'])} and {matches('v.first', fx.IPV4_SHAPE)})"
+    side = _marked("v.name", ["src", "dst"])
+    port = (f"{_marked('v.name', ['port', 'spt', 'dpt'])} or v.mask = '<NUM>' and v.digits and {side}"
+            " and try_cast(v.first as decimal(38, 0)) between 1 and 65535")
+    rows = []
+    for marks, values, mask, pattern, *outcome in fx.FIELD_HINTS:
+        hints = [_marked("v.name", marks)]
+        hints += [f"upper(v.first) in ({', '.join(lit(w) for w in values)})"] if values else []
+        hints += [f"v.mask = {lit(mask)}"] if mask else []
+        hints += [matches("v.first", pattern)] if pattern else []
+        rows.append((" or ".join(hints), found(outcome[0], lit(outcome[1]), *outcome[2:])))
+    own = "concat('unmapped_', v.name)"
+    return case(
+        (address, found("ipv4", "'ip'", fx.ADDRESS_CONFIDENCE, None)),
+        (port, found("port", "'port'", fx.PORT_CONFIDENCE, "to_int")),
+        *rows,
+        ("v.digits", found("integer", own, fx.NUMBER_CONFIDENCE, "to_int")),
+        default=found("string", own, fx.TEXT_CONFIDENCE, None))
+
+
 def infer_fields(patterns: DataFrame, samples: DataFrame) -> DataFrame:
-    """template, pattern, names, variables, rules."""
+    """template, pattern, names, variables, rules.
+
+    Hints decide a variable's type; the first address or port of a template is the source, later ones the destination, unless
+    the name says source.
+    """
     per_template = samples.groupBy("template").agg(
-        F.expr("map_from_entries(collect_list(struct(var_index, values)))").alias("samples"))
+        F.expr("map_from_entries(collect_list(struct(var_index, values)))").alias("_samples"))
     table = patterns.select("template", "pattern", "names", "placeholders").join(per_template, "template", "left")
-    schema = f"template string, pattern string, names array<string>, variables {_VARIABLES}, rules {_RULES}"
-
-    def infer(batches):
-        for batch in batches:
-            made = [
-                _infer_template(n, p, None if s is None else dict(s))
-                for n, p, s in zip(batch["names"], batch["placeholders"], batch["samples"])]
-            yield batch[["template", "pattern", "names"]].assign(
-                variables=[m[0] for m in made], rules=[m[1] for m in made])
-
-    return table.mapInPandas(infer, schema)
+    first = "trim(both \"'\" from trim(both '\"' from " + strip("coalesce(try_element_at(_samples, i)[0], '')") + "))"
+    seen = table.selectExpr(
+        "*", "if(size(names) = 0, cast(array() as array<int>), sequence(0, size(names) - 1)) as _at").selectExpr(
+        "*", f"transform(_at, i -> struct(names[i] as name, placeholders[i] as mask, {first} as first)) as _v").selectExpr(
+        "*", "transform(_v, v -> struct(v.name, v.mask, v.first, v.first rlike '^[0-9]+$' as digits)) as _w").selectExpr(
+        "*", f"transform(_w, v -> {_kind()}) as _k")
+    earlier = "exists(slice(_k, 1, i), k -> k.kind = _k[i].kind)"
+    field = (f"if(_k[i].kind in ('ipv4', 'port'), concat(if(contains(names[i], 'src') or not {earlier}, 'src_', 'dst_'), _k[i].field),"
+             " _k[i].field)")
+    return seen.selectExpr("*", f"transform(_at, i -> {field}) as _f").selectExpr(
+        "template", "pattern", "names",
+        "transform(_at, i -> named_struct('var_index', i, 'placeholder', placeholders[i], 'sample_values',"
+        " coalesce(try_element_at(_samples, i), array(placeholders[i])), 'inferred_type', _k[i].kind,"
+        " 'suggested_ocsf_field', _f[i], 'confidence', _k[i].confidence)) as variables",
+        "transform(_at, i -> named_struct('field_name', names[i], 'target_ocsf_field', _f[i], 'transform', _k[i].transform,"
+        " 'default_value', cast(null as string))) as rules")
 
 
 # --- sessions -------------------------------------------------------------------------------
