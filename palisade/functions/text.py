@@ -25,6 +25,11 @@ def strip(x: str) -> str:
     return f"btrim({x}, {lit(WHITE_SPACE)})"
 
 
+def last_key_wins(spark) -> None:
+    """Read JSON objects that repeat a key by the key's last value, as most readers do, instead of refusing them."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def truthy(x: str) -> str:
     """The text itself, or null when it is empty."""
     return f"nullif({x}, '')"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from palisade import fixed_values as fx
 from palisade.functions.text import lit
 from palisade.plans.checkpoints import checkpointed
+from palisade.plans.ingest import with_step
 
 Sink = Callable[[DataFrame], None]
 LEDGER_COLUMNS = [
@@ -74,7 +75,7 @@ def _try(sink: Sink, events: DataFrame, name: str) -> str | None:
     try:
         sink(events)
     except Exception as failure:  # noqa: BLE001
-        return f"{name} delivery failed: {failure}"[:2000]
+        return f"{name} delivery failed: {failure}"
     return None
 
 
@@ -92,6 +93,20 @@ def deliver_dual(events: DataFrame, search_sink: Sink, lake_sink: Sink, ledger_p
     return not error
 
 
+def delivered(events: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Events whose both sinks have acknowledged, with the last label of their lineage."""
+    done = latest_ledger(ledger).filter("state = 'DELIVERY_COMPLETE'").select("event_id")
+    return with_step(events.join(done, "event_id", "left_semi"), "DELIVERY_COMPLETE_DUAL_ACK")
+
+
+def open_deliveries(events: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Dead-letter rows, stage OUTBOX_DELIVERY, of events that a sink has not taken."""
+    failed = latest_ledger(ledger).filter("state in ('FAILED_RETRYABLE', 'DEAD_LETTER')").select("event_id", "last_error")
+    rest = [c for c in events.columns if c not in ("error_stage", "errors")]
+    return events.join(failed, "event_id").selectExpr(
+        *rest, "'OUTBOX_DELIVERY' as error_stage", "array(last_error) as errors")
+
+
 def due_for_retry(ledger: DataFrame, now: str = "current_timestamp()", force: bool = False) -> DataFrame:
     """Latest rows that are open, below the attempt bound and past their time (or forced)."""
     rows = latest_ledger(ledger).filter(

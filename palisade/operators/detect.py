@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from palisade import fixed_values as fx
-from palisade.functions.text import apart, case, coalesce, contains_any, fenced, item, lit, matches, strip
+from palisade.functions.text import apart, case, coalesce, contains_any, fenced, item, last_key_wins, lit, matches, strip
 from palisade.operators.parsers import Definition, ordered_parsers, shape_list
 from palisade.operators.parsers.base import LOWER, OBJ, RAW, json_has
 
@@ -16,6 +16,7 @@ def prepare_lines(df: DataFrame) -> DataFrame:
     The JSON reader stops after the first value, so a braced line is read as the first
     element of an array with a sentinel behind it: trailing text breaks the array.
     """
+    last_key_wins(df.sparkSession)
     braced = f"(startswith({RAW}, '{{') and endswith({RAW}, '}}'))"
     df = df.selectExpr("*", f"{strip('raw_payload')} as {RAW}")
     df = df.selectExpr(

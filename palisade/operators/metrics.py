@@ -59,7 +59,8 @@ def exact_percentiles(
     )
     marks = f"array({', '.join(places)})"
     if by:
-        joined = rows.join(grouped.selectExpr(*by, f"inline({marks})"), by)
+        cut = grouped.selectExpr(*[f"{c} as _by{i}" for i, c in enumerate(by)], f"inline({marks})")
+        joined = rows.join(cut, _same(by)).drop(*[f"_by{i}" for i in range(len(by))])
     else:
         joined = rows.select("_v", grouped.selectExpr(f"{marks} as m").scalar().alias("m")).selectExpr("_v", "inline(m)")
     counted = joined.filter("_v <= high").selectExpr(
@@ -70,7 +71,8 @@ def exact_percentiles(
     picked = ranked.filter("upto > place and upto - c <= place").groupBy(*by).agg(
         *[F.max(F.expr(f"case when q = {i} then _v end")).alias(name) for i, name in enumerate(quantiles)])
     if by:
-        out = grouped.drop("cuts").join(picked, by, "left")
+        own = picked.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)})
+        out = grouped.drop("cuts").join(own, _same(by), "left").drop(*[f"_by{i}" for i in range(len(by))])
     else:
         out = _beside(picked, grouped.drop("cuts"))
     checked = [
@@ -81,6 +83,11 @@ def exact_percentiles(
     return out.selectExpr(*by, "n", "mean", *checked)
 
 
+def _same(by: list[str]):
+    """Group columns equal to their renamed copies; a null group is a group."""
+    return F.expr(" and ".join(f"{c} <=> _by{i}" for i, c in enumerate(by)))
+
+
 def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
     """Columns of two one-row frames in one row, through a scalar subquery."""
     names = [c for c in other.columns if c not in one.columns]

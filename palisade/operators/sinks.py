@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.ocsf import flatten_events
-from palisade.sources.archive import path_exists
+from palisade.sources.archive import of_days, path_exists
 
 
 def dedupe_events(df: DataFrame) -> DataFrame:
@@ -36,7 +36,9 @@ def write_lake(events: DataFrame, path: str) -> None:
         "*", f"{day.format('yyyy')} as year", f"{day.format('MM')} as month", f"{day.format('dd')} as day")
     flat = dedupe_events(flat)
     if path_exists(spark, path):
-        held = spark.read.schema(flat.schema).parquet(path).select("event_id", "year", "month", "day")
+        # Only the days of this batch: the history's size does not matter.
+        days = [tuple(r) for r in flat.select("year", "month", "day").distinct().collect()]
+        held = of_days(spark.read.schema(flat.schema).parquet(path), days).select("event_id", "year", "month", "day")
         flat = flat.join(held, ["event_id", "year", "month", "day"], "left_anti")
     flat.hint("rebalance", "year", "month", "day").write.mode("append").option(
         "compression", "snappy").partitionBy("year", "month", "day").parquet(path)
@@ -54,8 +56,6 @@ def upsert_events(events: DataFrame, path: str, batch_id: int, version: str = "b
 
 def current_events(table: DataFrame, version: str = "batch_version") -> DataFrame:
     """The event table as readers see it: the last written row per event_id."""
-    ranked = Window.partitionBy("event_id").orderBy(F.desc(version))
-    maps = [f.name for f in table.schema.fields if "map<" in f.dataType.simpleString()]
-    if maps:
-        return table.withColumn("_n", F.row_number().over(ranked)).filter("_n = 1").drop("_n")
-    return latest_per_key(table, "event_id", version)
+    rest = [c for c in table.columns if c != "event_id"]
+    return table.groupBy("event_id").agg(F.max_by(F.struct(*rest), version).alias("_last")).select(
+        "event_id", "_last.*").select(*table.columns)

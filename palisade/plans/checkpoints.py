@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,12 @@ def _folder(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="palisade-checkpoint-"))
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the checkpoint folder that all executors share."""
+    _folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, written to the reliable checkpoint folder and read back from there."""
     _folder(df.sparkSession)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palisade.functions.text import lit, strip
+from palisade.functions.text import last_key_wins, lit, strip
+from palisade.operators.dimensions import broadcast_if_small
 
 
 def _hinted(df: DataFrame, vendor_hint: str | None, product_hint: str | None, transport: str) -> DataFrame:
@@ -18,17 +20,27 @@ def _hinted(df: DataFrame, vendor_hint: str | None, product_hint: str | None, tr
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    """Stripped, non-blank, non-comment lines with their position.
+    """Stripped, non-blank, non-comment lines with their position, file and line number."""
+    placed = numbered_lines(df.selectExpr("value", "_metadata.file_path as _file", "_metadata.file_block_start as _block"))
+    return placed.selectExpr(f"{strip('value')} as raw_payload", "source_position").filter(
+        "raw_payload != '' and not startswith(raw_payload, '#')")
 
-    The position is the file split and the row's place in the scan: it repeats when the same
-    files are read again with the same split settings, as a retry or a restarted job does.
+
+def numbered_lines(df: DataFrame) -> DataFrame:
+    """Replace ``_file`` and ``_block`` (start of the split) by ``source_position``: file and line number.
+
+    A line's place in its split is counted from the split's first row, and the lines of earlier splits are added: the
+    number depends on the file alone, not on split size, cores, or what else is read. The extra pass counts lines; the
+    table that joins has a row for each split.
     """
-    placed = df.selectExpr(
-        f"{strip('value')} as raw_payload",
-        "concat_ws('#', _metadata.file_path, _metadata.file_block_start, monotonically_increasing_id())"
-        " as source_position",
-    )
-    return placed.filter("raw_payload != '' and not startswith(raw_payload, '#')")
+    rows = df.selectExpr("*", "monotonically_increasing_id() as _n")
+    splits = rows.groupBy("_file", "_block").agg({"_n": "min", "*": "count"}).withColumnsRenamed(
+        {"min(_n)": "_first", "count(1)": "_lines"}).selectExpr(
+        "_file as _f", "_block as _b", "_first",
+        "sum(_lines) over (partition by _file order by _block) - _lines as _before")
+    placed = rows.join(broadcast_if_small(splits), [rows["_file"] == splits["_f"], rows["_block"] == splits["_b"]])
+    return placed.selectExpr(
+        *[c for c in df.columns if c not in ("_file", "_block")], "concat_ws('#', _file, _before + _n - _first) as source_position")
 
 
 def read_log_lines(
@@ -46,6 +58,7 @@ def read_json_array_files(
     String elements are taken as they are, others as JSON text. A file must fit in a row;
     files that are not one array give no rows here and belong to ``read_log_lines``.
     """
+    last_key_wins(spark)
     whole = spark.read.text(path, wholetext=True).selectExpr(f"{strip('value')} as body", "_metadata.file_path as file")
     arrays = whole.filter("startswith(body, '[') and endswith(body, ']')").selectExpr(
         "file", "try_variant_get(try_parse_json(body), '$', 'array<variant>') as items")
@@ -57,6 +70,18 @@ def read_json_array_files(
     return _hinted(each, vendor_hint, product_hint, "file")
 
 
+def read_log_files(
+    spark: SparkSession, path: str, vendor_hint: str | None = None, product_hint: str | None = None
+) -> DataFrame:
+    """Files of either kind: elements of those that are one JSON array, lines of all others. Each file must fit in a row."""
+    arrays = read_json_array_files(spark, path, vendor_hint, product_hint)
+    files = arrays.selectExpr("substring_index(source_position, '#', 1) as array_file").distinct()
+    lines = read_log_lines(spark, path, vendor_hint, product_hint)
+    rest = lines.withColumn("array_file", F.substring_index("source_position", "#", 1)).join(
+        broadcast_if_small(files), "array_file", "left_anti").drop("array_file")
+    return arrays.unionByName(rest)
+
+
 def from_dataframe(df: DataFrame, payload: str = "raw_payload") -> DataFrame:
     """Rows of any frame with a text column; null and blank payloads are skipped."""
     rest = [c for c in df.columns if c != payload]
@@ -69,17 +94,17 @@ def read_log_stream(
     """Stream of lines that collectors land as text files, newline-framed; empty lines dropped.
 
     The files take the place of socket listeners: they can be read again after a failure.
-    ``source_split`` names the file split; the ingest stream adds the line's place in its batch,
-    so equal lines stay separate events.
+    ``_file`` and ``_block`` name the file split; the ingest stream turns them into the line's number in its file, so
+    equal lines stay separate events, and drops the empty lines then.
     """
     stream = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(path)
     placed = stream.selectExpr(
         f"{strip('value')} as raw_payload",
-        "concat_ws('#', _metadata.file_path, _metadata.file_block_start) as source_split",
+        "_metadata.file_path as _file", "_metadata.file_block_start as _block",
         f"{lit(transport)} as transport",
         "'127.0.0.1' as client_ip",
     )
-    return placed.filter("raw_payload != ''")
+    return placed
 
 
 def from_kafka_rows(df: DataFrame, transport: str = "kafka") -> DataFrame:

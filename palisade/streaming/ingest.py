@@ -1,4 +1,4 @@
-"""The ingest pipeline as a stream: every micro-batch is processed, staged once and delivered."""
+"""The ingest pipeline as a stream: every micro-batch is archived, processed, staged once and delivered."""
 
 from __future__ import annotations
 
@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from palisade.functions.text import lit
 from palisade.operators.deadletter import failure_records
-from palisade.operators.delivery import Sink, deliver_dual
+from palisade.operators.delivery import Sink, deliver_dual, due_for_retry, open_deliveries, retry_pending
+from palisade.operators.envelope import make_envelope
 from palisade.operators.parsers import Definition
-from palisade.plans.ingest import run
+from palisade.plans.ingest import process_envelopes, split_options, with_step
+from palisade.sources.archive import archive_raw, path_exists
+from palisade.sources.logs import numbered_lines
+
+
+def archived_first(envelopes: DataFrame, archive: str, dead_letters: str) -> bool:
+    """Archive the payloads; if that fails, every line is a RAW_STORE dead letter and must not be normalised."""
+    try:
+        archive_raw(envelopes, archive)
+    except Exception as failure:  # noqa: BLE001
+        rows = envelopes.selectExpr("*", "'RAW_STORE' as error_stage", f"array({lit(f'Raw archive failed: {failure}')}) as errors")
+        failure_records(rows).write.mode("overwrite").parquet(dead_letters)
+        return False
+    return True
 
 
 def start(
@@ -22,27 +37,48 @@ def start(
     lake_sink: Sink,
     definitions: Callable[[], list[Definition]] = list,
     available_now: bool = False,
+    archive: str | None = None,
     **options,
 ):
     """Start the stream; returns the query.
 
-    A micro-batch is written to ``staging`` under its batch number first (a repeated batch
-    overwrites it), then both halves and both sinks read what was written, so the plan runs
-    once per batch. ``definitions`` is called for each batch: a newly published parser applies
-    to the next one.
+    With ``archive``, a batch's payloads are archived before anything else is done with them. The processed batch is
+    written to ``staging`` under its batch number (a repeated batch overwrites it), then both halves and both sinks read what was
+    written, so the plan runs once per batch. What a sink does not take is an OUTBOX_DELIVERY dead letter, and due deliveries of
+    earlier batches are tried again before a batch's own. ``definitions`` is called for each batch: a newly
+    published parser applies to the next one.
     """
+    envelope, rest = split_options(options)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if "source_split" in batch.columns:
-            batch = batch.selectExpr(
-                "*", "concat_ws('#', source_split, monotonically_increasing_id()) as source_position")
+        if "_block" in batch.columns:
+            batch = numbered_lines(batch).filter("raw_payload != ''")
+        envelopes = make_envelope(batch, **envelope)
+        if archive is not None and not archived_first(envelopes, archive, f"{dead_letters}/stage=raw/batch={batch_id}"):
+            return
         folder = f"{staging}/batch={batch_id}"
-        run(batch, definitions(), **options).write.mode("overwrite").parquet(folder)
+        process_envelopes(envelopes, definitions(), archived=archive is not None, **rest).write.mode("overwrite").parquet(folder)
         staged = spark.read.parquet(folder)
         dead = staged.filter("error_stage is not null")
-        failure_records(dead).write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
-        deliver_dual(staged.filter("error_stage is null"), search_sink, lake_sink, f"{ledger}/batch={batch_id}")
+        failure_records(dead).write.mode("overwrite").parquet(f"{dead_letters}/stage=process/batch={batch_id}")
+        _retry(spark, batch_id)
+        good = with_step(staged.filter("error_stage is null"), "INDEXED_DUAL_SINK")
+        own = f"{ledger}/batch={batch_id}"
+        if not deliver_dual(good, search_sink, lake_sink, own):
+            failed = open_deliveries(good, spark.read.parquet(own))
+            failure_records(failed).write.mode("overwrite").parquet(f"{dead_letters}/stage=delivery/batch={batch_id}")
+
+    def _retry(spark, batch_id: int) -> None:
+        if not path_exists(spark, ledger):
+            return
+        rows = spark.read.option("basePath", ledger).parquet(ledger).filter(f"batch < {batch_id}")
+        # Only batches with deliveries that are due: their numbers, one per failed batch.
+        batches = rows.join(due_for_retry(rows.drop("batch")).select("event_id"), "event_id", "left_semi").select("batch").distinct()
+        for number in sorted(r.batch for r in batches.collect()):
+            good = with_step(spark.read.parquet(f"{staging}/batch={number}").filter("error_stage is null"), "INDEXED_DUAL_SINK")
+            own = f"{ledger}/batch={number}"
+            retry_pending(spark.read.parquet(own), good, search_sink, lake_sink, own)
 
     writer = lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -99,8 +99,8 @@ def test_document_and_provenance(rows):
     row = rows[L.SURICATA_ALERT]
     assert row.ocsf.finding_info.title == "ET SCAN SSH"
     assert row.ocsf.connection_info is None and row.ocsf.rule is None
-    assert row.provenance_chain[3] == "PARSED:suricata-eve-json-parser:1.0.0"
-    assert rows["   "].provenance_chain == ["INGESTION_RECEIVED", "RAW_ARCHIVED_SHA256"]
+    assert row.provenance_chain[2] == "PARSED:suricata-eve-json-parser:1.0.0"
+    assert rows["   "].provenance_chain == ["INGESTION_RECEIVED"]
 
 
 def test_ids_are_replay_stable(spark, rows):

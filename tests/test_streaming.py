@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
     query = start(
         read_log_stream(spark, str(landing)), str(tmp_path / "staged"), str(tmp_path / "dead"), ledger,
-        str(tmp_path / "checkpoint"), search_sink, lambda df: write_lake(df, lake), available_now=True)
+        str(tmp_path / "checkpoint"), search_sink, lambda df: write_lake(df, lake), available_now=True,
+        archive=str(tmp_path / "archive"))
     query.awaitTermination(150)
     assert query.exception() is None
     staged = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "staged"))
@@ -39,11 +42,51 @@ def test_stream_equals_batch(spark, tmp_path):
     columns = ["raw_payload", "error_stage", "parser_used", "severity_id", "disposition_id", "src_ip", "dst_ip"]
     assert sorted(map(str, staged.select(columns).collect())) == sorted(map(str, batch.select(columns).collect()))
     good = staged.filter("error_stage is null").count()
+    assert spark.read.parquet(str(tmp_path / "archive")).count() == staged.count()
+    assert {r.provenance_chain[1] for r in staged.collect()} == {"RAW_ARCHIVED_SHA256"}
     assert spark.read.parquet(lake).count() == spark.read.parquet(events).count() == good
     stats = delivery.delivery_stats(spark.read.option("recursiveFileLookup", "true").parquet(ledger)).collect()
     assert [(r.state, r.events) for r in stats] == [("DELIVERY_COMPLETE", good)]
 
 
+def test_failed_sink_and_failed_archive(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    (landing / "a.log").write_text(L.ASA_DENY + "\n")
+    events, calls = str(tmp_path / "events"), []
+
+    def flaky(df):
+        calls.append(df.count())
+        if len(calls) == 1:
+            raise OSError("down")
+        df.select("event_id").write.mode("append").parquet(events)
+
+    paths = [str(tmp_path / n) for n in ("staged", "dead", "ledger", "checkpoint")]
+
+    def go(archive="archive"):
+        query = start(read_log_stream(spark, str(landing)), *paths, flaky, lambda df: None, available_now=True, archive=str(tmp_path / archive))
+        query.awaitTermination(150)
+        assert query.exception() is None
+
+    go()
+    dead = spark.read.parquet(paths[1])
+    assert [(r.error_stage, r.errors) for r in dead.collect()] == [("OUTBOX_DELIVERY", ["Search delivery failed: down"])]
+    time.sleep(6)  # the first back-off
+    (landing / "b.log").write_text(L.SQUID_MISS + "\n")
+    go()
+    assert spark.read.parquet(events).count() == 2
+    done = delivery.delivered(
+        spark.read.option("recursiveFileLookup", "true").parquet(paths[0]),
+        spark.read.option("recursiveFileLookup", "true").parquet(paths[2])).collect()
+    assert len(done) == 2 and {r.provenance_chain[-1] for r in done} == {"DELIVERY_COMPLETE_DUAL_ACK"}
+
+    (tmp_path / "blocked").write_text("a file where the archive should be")
+    (landing / "c.log").write_text(L.SQUID_MISS + "\n")
+    go("blocked")
+    rows = spark.read.parquet(paths[1]).filter("error_stage = 'RAW_STORE'").collect()
+    assert [r.raw_payload for r in rows] == [L.SQUID_MISS] and len(calls) == 3
+
+
 def _timed(spark, tmp_path, rows):
     folder = str(tmp_path / "rows")
     spark.createDataFrame(rows, "event_id string, client string, s long").selectExpr(

@@ -323,3 +323,38 @@ def test_value_functions(spark):
     text = spark.createDataFrame([("a\r\nb\x00c ",), ("x" * 600,), (None,)], "t string").selectExpr(
         f"{sanitize_text('t')} as s")
     assert [r.s for r in text.collect()] == ["a  b c", "x" * 512 + "...", ""]
+
+
+def test_positions_do_not_depend_on_splits_or_other_files(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "b.log").write_text("".join(f"line {i}\n" if i % 7 else "\n" for i in range(3000)))
+
+    def positions():
+        return {r.raw_payload: r.source_position.rsplit("/", 1)[1] for r in logs.read_log_lines(spark, str(folder)).collect()}
+
+    first = positions()
+    assert first["line 1"] == "b.log#1" and first["line 2999"] == "b.log#2999"
+    (folder / "a.log").write_text("other\n" * 10)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert {k: v for k, v in positions().items() if k != "other"} == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_of_either_kind_and_repeated_keys(spark, tmp_path):
+    (tmp_path / "array.json").write_text('[{"a": 1, "a": 2}, "plain"]')
+    (tmp_path / "broken.json").write_text('[{"a": 1}\nsecond]')
+    (tmp_path / "lines.log").write_text("one\ntwo\n")
+    got = sorted(r.raw_payload for r in logs.read_log_files(spark, str(tmp_path)).collect())
+    assert got == sorted(['{"a":2}', "plain", '[{"a": 1}', "second]", "one", "two"])
+    line = '{"event_type":"alert","src_ip":"1.2.3.4","alert":{"action":"allowed","action":"blocked"},"src_ip":"9.9.9.9"}'
+    row = run(payload_frame(spark, [line]), position="i", document=False, enriched=False).first()
+    assert (row.detected_format, row.disposition, row.src_ip) == ("json", "Blocked", "9.9.9.9")
+
+
+def test_percentiles_of_a_null_group(spark):
+    rows = spark.range(100).selectExpr("if(id < 50, null, 'g') as g", "cast(id as double) as v")
+    got = {r.g: (r.events, r.p50) for r in metrics.latency_percentiles(rows, "v", ["g"]).collect()}
+    assert got == {None: (50, 25.0), "g": (50, 75.0)}

@@ -121,7 +121,7 @@ ORACLE = {
     "provenance": first(
         "select line_id, case when error_stage is null then concat('INGESTION_RECEIVED>RAW_ARCHIVED_SHA256>"
         "FORMAT_DETECTED:', detected_format, '>PARSED:', parser_used, ':1.0.0>OCSF_NORMALIZED_1.1.0>ENRICHED_OFFLINE>"
-        "INDEXED_DUAL_SINK') else 'INGESTION_RECEIVED>RAW_ARCHIVED_SHA256' end as provenance from e"),
+        "INDEXED_DUAL_SINK>DELIVERY_COMPLETE_DUAL_ACK') else 'INGESTION_RECEIVED>RAW_ARCHIVED_SHA256' end as provenance from e"),
     "severity_map": first(
         f"select parser_used, severity_id, {_names(fx.SEVERITY_NAMES, 'severity_id')} as severity, count(*) as events"
         f" from e where {GOOD} group by all"),

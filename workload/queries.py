@@ -9,7 +9,7 @@ from palisade.functions.text import sanitize_text
 from palisade.functions.values import utc_timestamp
 from palisade.operators.audit import list_audits
 from palisade.operators.deadletter import failure_records, replay, replay_summary
-from palisade.operators.delivery import attempt_rows, delivery_stats, stage
+from palisade.operators.delivery import attempt_rows, deliver_dual, delivered, delivery_stats, stage
 from palisade.operators.enrich import classify_ips
 from palisade.operators.envelope import make_envelope
 from palisade.operators.metrics import (
@@ -21,10 +21,10 @@ from palisade.operators.onboarding import empty_catalogue, load_definitions, onb
 from palisade.operators.parsers import Definition
 from palisade.operators.ratelimit import rate_limit
 from palisade.operators.search import facet_counts, matching, search, totals
-from palisade.operators.sinks import dedupe_events, latest_per_key
-from palisade.plans.checkpoints import checkpointed
-from palisade.plans.ingest import run
-from palisade.sources.archive import dataset_manifest, lake_files, read_raw_archive, verify_integrity
+from palisade.operators.sinks import dedupe_events, latest_per_key, upsert_events
+from palisade.plans.checkpoints import checkpointed, fresh_folder
+from palisade.plans.ingest import process_envelopes, run, with_step
+from palisade.sources.archive import archive_raw, dataset_manifest, lake_files, read_raw_archive, verify_integrity
 from palisade.sources.logs import from_dataframe
 from workload.corpus import corpus, events_table, second_corpus
 
@@ -126,8 +126,17 @@ def ocsf_documents(spark, sf_dir):
 
 
 def provenance(spark, sf_dir):
-    return _judged(spark, sf_dir).selectExpr(
-        "line_id", "array_join(provenance_chain, '>') as provenance")
+    """The lineage after a real run: archived, enriched, and delivered to two table sinks."""
+    folder = fresh_folder(spark, "provenance")
+    envelopes = make_envelope(corpus(spark, sf_dir), position="event_id", ingest_ts="ingest_ts")
+    archive_raw(envelopes, f"{folder}/archive")
+    process_envelopes(envelopes, archived=True, document=False).write.parquet(f"{folder}/staged")
+    staged = spark.read.parquet(f"{folder}/staged")
+    good = with_step(staged.filter("error_stage is null"), "INDEXED_DUAL_SINK")
+    deliver_dual(good, lambda df: upsert_events(df, f"{folder}/events", 1), lambda df: df.write.parquet(f"{folder}/lake"), f"{folder}/ledger")
+    done = delivered(good, spark.read.parquet(f"{folder}/ledger"))
+    return staged.filter("error_stage is not null").unionByName(done).selectExpr(
+        "cast(source_position as bigint) as line_id", "array_join(provenance_chain, '>') as provenance")
 
 
 def severity_map(spark, sf_dir):
