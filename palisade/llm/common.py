@@ -15,7 +15,7 @@ from palisade.plans.shipping import ship
 
 #: Bytes of text that one Arrow batch, and one slice of it inside a task, may hold (a longer text is a slice of its own).
 BATCH_BYTES = 32 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Bytes that separate words: the space and 0x09 to 0x0D.
 BLANK = np.zeros(256, bool)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from palisade.llm.common import BLANK, Hasher, LOWER, bounded_batches, mix, signed, text_slices, words, written
 
 #: Tokens of a block, bytes of text for each partition of the keys, and the largest count that Good-Turing changes.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 PART_BYTES = 8 << 20
 CUT = 5
 #: The token that ends a text, and the context before its first word; no word hashes are fixed to these by more than chance.
