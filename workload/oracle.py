@@ -82,7 +82,6 @@ _FACET_UNION = " union all ".join(
     f"select * from (select '{name}' as facet, {x} as value, count(*) as events from e where {GOOD} group by 2"
     f" order by events desc, value{' limit 10' if name in ('vendor', 'parser_used') else ''})"
     for name, x in _FACETS.items())
-_OK1 = "(event_id % 3 != 0 and event_id % 5 != 0)"
 
 ORACLE = {
     "detect_format_counts": first(
@@ -218,8 +217,8 @@ ORACLE = {
                   " when r.ts_us > s.passes[1] + 1800000000 then list_append(s.passes[2:], r.ts_us) else s.passes end"
                   " from s join r on r.event_type = s.event_type and r.n = s.n + 1)"
                   " select event_type as client, cast(event_id as varchar) as tie, ts_us, admitted from s",
-    "delivery_state": f"select case when {_OK1} or event_id % 10 != 0 or event_id % 5 != 0 then 'DELIVERY_COMPLETE'"
-                      " else 'FAILED_RETRYABLE' end as state, count(*) as events from events group by 1",
+    "delivery_state": "select case when event_id % 3 = 2 then 'DEAD_LETTER' else 'DELIVERY_COMPLETE' end as state,"
+                      " count(*) as events from events group by 1",
     "retry_schedule": "select event_id, case when event_id % 5 = 4 then 'DEAD_LETTER' else 'FAILED_RETRYABLE' end as"
                       " state, cast(event_id % 5 + 1 as int) as attempt_count, false as search_ack, true as lake_ack,"
                       " cast(least(60, 2 * power(2, event_id % 5)) as bigint) as wait_seconds from events",

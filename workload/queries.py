@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.fixed_values import MAX_DELIVERY_ATTEMPTS
 from palisade.functions.text import sanitize_text
 from palisade.functions.values import utc_timestamp
 from palisade.operators.audit import list_audits
 from palisade.operators.deadletter import failure_records, replay, replay_summary
-from palisade.operators.delivery import attempt_rows, deliver_dual, delivered, delivery_stats, stage
+from palisade.operators.delivery import attempt_rows, deliver_dual, delivered, delivery_stats, retry_pending, stage
 from palisade.operators.enrich import classify_ips
 from palisade.operators.envelope import make_envelope
 from palisade.operators.metrics import (
@@ -333,19 +334,23 @@ def rate_limited(spark, sf_dir):
     return rate_limit(rows, "event_type", "ts", "event_id", limit=3, window_seconds=1800)
 
 
-def _ledger(spark, sf_dir):
-    """Staging plus two attempts; outcomes follow from the event id."""
-    events = events_table(spark, sf_dir).selectExpr("cast(event_id as string) as event_id", f"{utc_timestamp('ts')} as ts")
-    staged = stage(events, "ts")
-    number = "cast(event_id as bigint)"
-    one = attempt_rows(staged, f"{number} % 3 != 0", f"{number} % 5 != 0", "created_at", "'sink down'")
-    two = attempt_rows(
-        one.filter("state = 'FAILED_RETRYABLE'"), "true", f"{number} % 10 != 0", "next_attempt_at", "'sink down'")
-    return staged.union(one).union(two)
-
-
 def delivery_state(spark, sf_dir):
-    return delivery_stats(_ledger(spark, sf_dir))
+    """Real deliveries to table sinks: one part is taken at once, one at the second try, one never."""
+    folder = fresh_folder(spark, "delivery")
+    events = events_table(spark, sf_dir).selectExpr("cast(event_id as string) as event_id", "event_id % 3 as part")
+
+    def table(name):
+        return lambda df: df.select("event_id").write.mode("append").parquet(f"{folder}/{name}")
+
+    def broken(df):
+        raise OSError("sink down")
+
+    for part in range(3):
+        own, ledger = events.filter(f"part = {part}"), f"{folder}/ledger/part={part}"
+        deliver_dual(own, broken if part else table("search"), table("lake"), ledger)
+        for _ in range((0, 1, MAX_DELIVERY_ATTEMPTS)[part]):
+            retry_pending(spark.read.parquet(ledger), own, broken if part == 2 else table("search"), table("lake"), ledger, force=True)
+    return delivery_stats(spark.read.parquet(f"{folder}/ledger"))
 
 
 def retry_schedule(spark, sf_dir):
