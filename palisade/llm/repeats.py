@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import Hasher, bounded_batches, mix, text_slices, written
+from palisade.llm.common import Hasher, bounded_batches, fresh, mix, text_slices, written
 
 #: Bytes of a repeat; starts among which a window's minimiser is chosen; bytes hashed at each.
 LENGTH, NEAR, GRAM = 400, 128, 8
 #: Bytes of a shard (a longer text is a shard of its own), and of text for each partition of the keys.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 PART_BYTES = 16 << 20
 
 _NEVER, _MIXED, _WHOLE, _SPEAKS = 0, 1, 2, 3
@@ -188,10 +188,11 @@ def spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, le
     spark = docs.sparkSession
     bounded_batches(spark)
     keep = docs.columns if keep is None else keep
-    finish, schema = (finish, schema) if finish else (_runs, "spans array<struct<first:bigint,last:bigint>>")
-    slim = docs.select(*keep, F.col(text).alias("__text"))
+    finish, schema = (finish, schema) if finish else (_runs, f"`{fresh(docs.select(*keep), 'spans')[0]}` array<struct<first:bigint,last:bigint>>")
+    hidden = fresh(docs, "text")[0]
+    slim = docs.select(*keep, F.col(text).alias(hidden))
     at, row_type = len(keep), slim.select(*keep).schema
-    size = slim.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    size = slim.agg(F.sum(F.octet_length(hidden))).first()[0] or 0
     parts = max(4, -(-size // PART_BYTES))
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in row_type), schema])
 
@@ -290,6 +291,6 @@ def remove(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFra
     def left(data: np.ndarray, gone: np.ndarray) -> tuple[str]:
         return (data[~gone].tobytes().decode("utf-8", "ignore"),)
 
-    (was_null,) = ("__null",)
+    (was_null,) = fresh(docs, "was_null")
     cut = spans(docs.withColumn(was_null, F.col(text).isNull()), text, [*others, was_null], length, left, f"`{text}` string")
     return cut.withColumn(text, F.when(~F.col(was_null), F.col(text))).select(*docs.columns)
