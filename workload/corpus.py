@@ -120,6 +120,11 @@ LINES = {
         "[APPLIANCE-FW] ", _time("yyyy-MM-dd\'T\'HH:mm:ss"), "Z DEV=EDGE-FW-", "=event_id % 20",
         " RULE=BLOCK_SSH SRC=", "=src_ip", ":", "=src_port", " DST=", "=dst_ip", ":", "=dst_port",
         " PROTO=TCP ACTION=", _word("DENY", "ALLOW"), " BYTES=", "=bytes_in", ' REASON="', "=event_type", '"'),
+    "cef": _join(
+        "CEF:0|Acme|Gate\\|Way|2.1|", "=event_id % 9", "|Seen \\| passed ", "=event_id", "|", "=event_id % 11", "|src=", "=src_ip", " dst=",
+        "=dst_ip", " spt=", "=src_port", " dpt=", "=dst_port", " proto=UDP act=", _word("block", "allow"), " in=", "=bytes_in", " out=",
+        "=bytes_out", " app=two words shost=host ", "=event_id % 4", " smac=00:11:22:33:44:0", "=event_id % 10", " cs1=rule\\=",
+        "=event_id % 6"),
     "leef": _join(
         "LEEF:2.0|Acme|Gate|1.0|EV", "=event_id % 4", "|^|src=", "=src_ip", "^dst=", "=dst_ip", "^srcPort=",
         "=src_port", "^dstPort=", "=dst_port", "^proto=UDP^action=", _word("deny", "permit"), "^usrName=u",
@@ -145,6 +150,7 @@ FIRST_KINDS = [
     "checkpoint", "squid", "rfc5424", "unknown",
 ]
 SECOND_KINDS = ["leef", "rfc3164", "json"]
+THIRD_KINDS = ["cef"]
 
 
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +167,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _render(_spread(events_table(spark, sf_dir)), "kind", FIRST_KINDS)
 
 
+def third_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, raw_payload, ingest_ts: generic CEF with escapes, spaces in values and every severity."""
+    return _render(_spread(events_table(spark, sf_dir)), "'cef'", THIRD_KINDS)
+
+
 def second_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, raw_payload, ingest_ts: LEEF, RFC 3164 and generic JSON lines."""
     return _render(_spread(events_table(spark, sf_dir)), "kind2", SECOND_KINDS)

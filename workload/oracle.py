@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from palisade import fixed_values as fx
 from palisade.functions.values import network_bounds
+from workload.corpus import facts_sql
 from workload.expected import first, second
 from workload.queries import PARSED, PARSED2, PARSERS, PARSERS2, PHRASE, TERMS
 
@@ -205,6 +206,14 @@ ORACLE = {
                          " round(p50, 3) as latency_p50_ms, round(p95, 3) as latency_p95_ms,"
                          " round(p99, 3) as latency_p99_ms,"
                          " round(round(n / s, 1) * 86400e0 / 1000000e0, 1) as million_events_per_day from r",
+    "parse_cef_events":
+        f"select event_id as line_id, 'cef-standard-parser' as parser_used, 'Gate|Way' as meta_product, src_ip, src_port, dst_ip, dst_port,"
+        " 'UDP' as protocol_name, cast(case when event_id % 11 >= 9 then 5 when event_id % 11 >= 7 then 4 when event_id % 11 >= 4 then 3"
+        " when event_id % 11 >= 2 then 2 else 1 end as int) as severity_id, case when blocked then 2 else 1 end as disposition_id,"
+        " case when blocked then 'block' else 'allow' end as action, bytes_in, bytes_out, 'two words' as app_name,"
+        " concat('rule=', event_id % 6) as rule_name, concat('host ', event_id % 4) as src_hostname,"
+        " concat('00:11:22:33:44:0', event_id % 10) as src_mac, concat('Seen | passed ', event_id) as message"
+        f" from (select *, {facts_sql()} from events)",
     "dedupe": "select event_type, count(*) as events, cast(sum(event_id) as bigint) as id_sum from events group by 1",
     "latest_events": "select event_id, 2 as version, value + 1 as value from events",
     # Requests of each type one after the other, with the last three passes carried along.

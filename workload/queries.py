@@ -27,7 +27,7 @@ from palisade.plans.checkpoints import checkpointed, fresh_folder
 from palisade.plans.ingest import process_envelopes, run, with_step
 from palisade.sources.archive import archive_raw, dataset_manifest, lake_files, read_raw_archive, verify_integrity
 from palisade.sources.logs import from_dataframe
-from workload.corpus import corpus, events_table, second_corpus
+from workload.corpus import corpus, events_table, second_corpus, third_corpus
 
 _RUN = dict(position="event_id", ingest_ts="ingest_ts", document=False)
 
@@ -83,6 +83,13 @@ def _parse_query(parser_id: str, second: bool):
     return query
 
 
+def parse_cef_events(spark, sf_dir):
+    rows = run(third_corpus(spark, sf_dir), **(_RUN | {"enriched": False}))
+    return rows.selectExpr(
+        "cast(source_position as bigint) as line_id", "parser_used", "meta_product", "src_ip", "src_port", "dst_ip", "dst_port", "protocol_name",
+        "severity_id", "disposition_id", "action", "bytes_in", "bytes_out", "app_name", "rule_name", "src_hostname", "src_mac", "message")
+
+
 def detect_format_counts(spark, sf_dir):
     return _judged(spark, sf_dir).groupBy("detected_format", "vendor", "product").agg(F.count("*").alias("lines"))
 
@@ -447,6 +454,7 @@ QUERIES = {
     "latency_percentiles": percentiles,
     "eps_windows": eps_windows,
     "throughput_report": throughput,
+    "parse_cef_events": parse_cef_events,
     "dedupe": dedupe,
     "latest_events": latest_events,
     "rate_limit": rate_limited,
