@@ -14,8 +14,8 @@ from palisade.plans.checkpoints import checkpointed
 from palisade.plans.shipping import ship
 
 #: Bytes of text that one Arrow batch, and one slice of it inside a task, may hold (a longer text is a slice of its own).
-BATCH_BYTES = 32 << 20
-SLICE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes that separate words: the space and 0x09 to 0x0D.
 BLANK = np.zeros(256, bool)
@@ -95,6 +95,7 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         end = min(n, max(end, first + 1))
         yield first, end, data[offsets[first]:offsets[end]], offsets[first:end + 1] - offsets[first]
         first = end
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,6 +136,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def with_text(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """The `keep` columns and the text, once, and the place of the text."""
+    if text in keep:
+        return docs.select(*keep), keep.index(text)
+    return docs.select(*keep, F.col(text).alias(fresh(docs, "text")[0])), len(keep)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table below spark.checkpoint.dir, read back: narrower reads than of a checkpoint, and no lineage."""
     spark = df.sparkSession
@@ -152,5 +160,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 __all__ = [
     "ALNUM", "BATCH_BYTES", "BLANK", "Hasher", "LOWER", "bounded_batches", "checkpointed", "fresh", "mix", "row_bounds",
-    "signed", "table", "text_remainder", "text_slices", "words", "written",
+    "signed", "table", "text_remainder", "text_slices", "with_text", "words", "written",
 ]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import ALNUM, Hasher, LOWER, bounded_batches, fresh, row_bounds, text_slices, words
+from palisade.llm.common import ALNUM, Hasher, LOWER, bounded_batches, fresh, row_bounds, text_slices, with_text, words
 
 #: Phrases that give a label wherever their words stand consecutively.
 PHRASES = {
@@ -148,7 +148,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, phr
     sequences = [([own.index(w) for w in word_list(p)], label) for p, label in phrases.items()]
     keep = docs.columns if keep is None else keep
     names = fresh(docs.select(*keep), "n_words", "hits", "matches")
-    slim = docs.select(*keep, F.col(text).alias(fresh(docs, "text")[0]))
+    slim, at = with_text(docs, keep, text)
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(keep)]]
     kinds = (f"`{names[0]}` long", f"`{names[1]}` array<struct<word:bigint,label:string>>",
              f"`{names[2]}` array<struct<byte_start:bigint,byte_end:bigint,label:string,share:double>>")
@@ -159,7 +159,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, phr
         hasher = Hasher()
         vocabulary = _vocabulary(hasher, own)
         for batch in batches:
-            for first, end, data, offsets in text_slices(batch.column(len(keep))):
+            for first, end, data, offsets in text_slices(batch.column(at)):
                 data = LOWER[data]
                 starts, ends, rows = words(data, offsets, ALNUM)
                 number = _known(data, starts, ends, hasher.ranges(hasher.prefix(data), starts, ends), vocabulary, own)

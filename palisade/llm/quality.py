@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import BLANK, Hasher, bounded_batches, fresh, text_slices, words
+from palisade.llm.common import BLANK, Hasher, bounded_batches, fresh, text_slices, with_text, words
 
 #: Labelled documents that a fit may use: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 50_000
@@ -205,12 +205,12 @@ def fit_arrays(x: np.ndarray, y: np.ndarray) -> Model:
 
 def with_features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    slim = docs.select(*keep, F.col(text).alias(fresh(docs, "text")[0]))
+    slim, at = with_text(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            for first, end, data, offsets in text_slices(batch.column(len(keep))):
+            for first, end, data, offsets in text_slices(batch.column(at)):
                 x = features(data, offsets, hasher)
                 cells = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
                 yield pa.RecordBatch.from_arrays(
@@ -243,13 +243,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     bounded_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     (name,) = fresh(docs.select(*keep), name)
-    slim = docs.select(*keep, F.col(text).alias(fresh(docs, "text")[0]))
+    slim, at = with_text(docs, keep, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, own = Hasher(), shared.value
         for batch in batches:
-            for first, end, data, offsets in text_slices(batch.column(len(keep))):
+            for first, end, data, offsets in text_slices(batch.column(at)):
                 scores = pa.array(own.scores(features(data, offsets, hasher)))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(first, end - first) for k in range(len(keep))), scores], names=[*keep, name])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import bounded_batches, fresh
+from palisade.llm.common import bounded_batches, fresh, with_text
 
 #: Rest pre-tokens that a worker remembers before it starts anew; the memory saves work and changes no count.
 REMEMBERED = 200_000
@@ -126,7 +126,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", keep:
     shared = spark.sparkContext.broadcast((tokenizer_json, prove(tokenizer_json) if supported(tokenizer_json) else frozenset()))
     keep = docs.columns if keep is None else keep
     (name,) = fresh(docs.select(*keep), name)
-    slim = docs.select(*keep, F.col(text).alias(fresh(docs, "text")[0]))
+    slim, at = with_text(docs, keep, text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(keep)]), f"`{name}` long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", keep:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                counts = pa.array(counting.count(part.column(len(keep)).to_pylist()))
+                counts = pa.array(counting.count(part.column(at).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], counts], names=[*keep, name])
 
     return slim.mapInArrow(run, schema)
