@@ -101,6 +101,41 @@ def test_license_phrases_and_templates(make_docs, odd_rows):
     assert licenses.scan(make_docs([])).count() == 0
 
 
+def test_wrapped_licenses_are_found(make_docs):
+    import textwrap
+
+    notices = [(label, t) for label, texts in licenses.all_templates().items() for t in texts]
+    assert len(notices) > 25
+    wrapped = []
+    for width in (30, 72):
+        for mark in ("", "# ", " * "):
+            wrapped += [(label, f"int main;\n{mark}" + f"\n{mark}".join(textwrap.wrap(t, width)) + "\nvoid f();\n") for label, t in notices]
+    texts = [t for _, t in wrapped]
+    bsd = dict(reversed(notices))["bsd"]
+    twice = "\n".join(textwrap.wrap(f"{bsd}\n{bsd}", 20))
+    apart = "\n".join(w + " other words between all of them" for w in bsd.split())
+    texts += [twice, apart, bsd[:len(bsd) // 2], bsd[len(bsd) // 2:]]
+    scanned = licenses.scan(make_docs([(i, t, "s") for i, t in enumerate(texts)]))
+    got = {r["doc_id"]: r["matches"] for r in scanned.collect()}
+    for i, (label, _) in enumerate(wrapped):
+        assert label in {m["label"] for m in got[i]} and max(m["share"] for m in got[i] if m["label"] == label) == 1, texts[i]
+    first = len(wrapped)
+    spans = sorted((m["byte_start"], m["byte_end"]) for m in got[first])
+    assert len(spans) == 2 and spans[0][1] <= spans[1][0]
+    assert got[first + 1] == got[first + 2] == got[first + 3] == []
+    # by brute force: every run of each template's length, with a tenth of other words
+    for i, text in enumerate(texts):
+        own, want = words(text), set()
+        for label, t in notices:
+            wanted, length = set(words(t)), -(-10 * len(words(t)) // 9)
+            best = max(len(wanted & set(own[k:k + length])) for k in range(max(1, len(own) - length + 1))) / len(wanted)
+            lines = [len(wanted & set(words(line))) / len(wanted) for line in text.split("\n")]
+            if max(best, *lines) >= 0.9:
+                want.add((label, max(best, *lines)))
+        most = {label: max(s for k, s in want if k == label) for label, _ in want}
+        assert {label: max(m["share"] for m in got[i] if m["label"] == label) for label in {m["label"] for m in got[i]}} == most
+
+
 def test_quality_separates_and_ignores_its_labels(spark, make_docs):
     good = [f"This is a plain sentence number {i} about some ordinary matter, with words enough." for i in range(120)]
     bad = [f"BUY!! NOW!! {'CLICK!! ' * (i % 9 + 3)}" for i in range(120)]
