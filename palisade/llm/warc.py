@@ -10,6 +10,8 @@ without an id gets one from its target, date and payload. Repeated responses giv
 
 from __future__ import annotations
 
+from html.entities import html5, name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,23 @@ BREAKS = "(?i)</?(p|br|div|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|f
 TAGS = "<[a-zA-Z/!][^>]*>"
 TITLE = "(?is)<title[^>]*>(.*?)</title"
 LANG = "(?is)<html[^>]* lang=\"([^\">]*)\""
+#: Double-quoted links alone, and seven entities in the order in which they are replaced: all that the SQL reads.
 HREF = "(?i)<a [^>]*href=\"([^\">]*)\""
-#: Entities in the order in which they are replaced; the ampersand is last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: A link's tag up to the value of its first href, quoted in any way or not; the value with its quotes. Attributes before
+#: it are passed whole.
+_VALUE = "(?:\"[^\"]*+\"|'[^']*+'|[^\\s\"'>][^\\s>]*+)"
+LINK = f"(?i)<a(?=[\\s/])(?:[\\s/]*+(?!href[\\s=])[^\\s>/=]++(?:\\s*+=\\s*+{_VALUE})?+)*+[\\s/]*+href\\s*+=\\s*+({_VALUE})"
+#: HTML's named references (without the ampersand, most with a semicolon); a no-break space counts as a space here. A map
+#: is searched from its front, so the usual names come first.
+_USUAL = [*(k[1:] for k in ENTITIES), *(f"{k};" for k in (
+    "copy", "middot", "mdash", "ndash", "hellip", "rsquo", "lsquo", "rdquo", "ldquo", "raquo", "laquo", "bull", "reg", "trade", "times")),
+    *(f"{k};" for k in name2codepoint)]
+NAMED = {k: html5[k].replace("\xa0", " ") for k in [*(k for k in _USUAL if k in html5), *html5]}
+#: Names that need no semicolon, longest first.
+BARE = sorted((k for k in NAMED if k[-1] != ";"), key=lambda k: (-len(k), k))
+#: Numbers that name another character: those of Windows, and others that HTML replaces.
+RENUMBERED = {0: "\ufffd", 13: "\r", 160: " "} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
 _BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
@@ -46,10 +62,43 @@ def record_id(*keys: Column) -> Column:
                     F.lit("-"), piece(21, 12), F.lit(">"))
 
 
-def _decoded(text: Column) -> Column:
-    for entity, plain in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+def _map(pairs: dict) -> Column:
+    """A constant map of texts."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in pairs.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def _numbered(reference: Column) -> Column:
+    """The character of a numeric reference (#8212; or #x2014;); none for a control character or a noncharacter."""
+    is_hex = F.lower(F.substring(reference, 2, 1)) == "x"
+    digits = F.regexp_extract(reference, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    whole = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    number = F.when(digits == "", 0).when(F.length(digits) > 7, 0x110000).otherwise(whole)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    low = number.bitwiseAND(0xFFFF)
+    none = number.between(1, 8) | number.isin(11, 127) | number.between(14, 31) | number.between(0xFDD0, 0xFDEF) | (low >= 0xFFFE)
+    return F.when((number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "\ufffd").when(
+        F.array_contains(F.array(*map(F.lit, RENUMBERED)), number), _map(RENUMBERED)[number.cast("string")]).when(none, "").otherwise(char)
+
+
+def _decoded(text: Column, attribute: bool = False) -> Column:
+    """The text with its character references decoded, each once, from left to right.
+
+    In an attribute a name without semicolon that a letter, a digit or an equals sign follows is no reference.
+    """
+    named = _map(NAMED)
+
+    def read(piece: Column) -> Column:
+        closed = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]*;", 0)
+        bare = F.regexp_extract(piece, f"^(?:{'|'.join(BARE)}){'(?![A-Za-z0-9=])' if attribute else ''}", 0)
+        number = F.regexp_extract(piece, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        rest = lambda n: F.substring(piece, n + 1, F.length(piece))
+        return F.coalesce(
+            F.when(F.startswith(piece, F.lit("#")) & (number != ""), F.concat(_numbered(number), rest(F.length(number)))),
+            F.when(closed != "", F.concat(named[closed], rest(F.instr(piece, ";")))),
+            F.when(bare != "", F.concat(named[bare], rest(F.length(bare)))), F.concat(F.lit("&"), piece))
+
+    # The text stands here once: what a lambda names is evaluated once.
+    return F.array_join(F.transform(F.split(text, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(read(piece))), "")
 
 
 def plain_text(html: Column) -> Column:
@@ -87,12 +136,12 @@ def derivatives(responses: DataFrame) -> DataFrame:
         target.alias("target_uri"), date.alias("date"), headers.alias("headers_"), payload.alias("payload_"),
         F.concat(F.lit("sha1:"), base32_sha1(payload)).alias("digest_"), plain_text(payload).alias("text_"),
         plain_text(F.concat(F.lit("<p>"), F.regexp_extract(payload, TITLE, 1))).alias("title_"))
-    links = F.regexp_extract_all("payload_", F.lit(HREF), 1)
+    links = F.transform(F.regexp_extract_all("payload_", F.lit(LINK), 1), lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))
     block = F.concat(
         F.lit("title: "), F.replace("title_", F.lit("\n"), F.lit(" ")), F.lit(f"{CRLF}language: "), F.regexp_extract("payload_", LANG, 1),
         F.lit(f"{CRLF}sourcePayloadDigest: "), F.col("digest_"), F.lit(f"{CRLF}sourceLength: "), F.octet_length("payload_").cast("string"),
         F.lit(f"{CRLF}textLength: "), F.octet_length("text_").cast("string"), F.lit(CRLF),
-        F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), _decoded(u), F.lit(CRLF))), ""),
+        F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), _decoded(u, attribute=True), F.lit(CRLF))), ""),
         F.array_join(F.transform(F.filter(F.split("headers_", CRLF), lambda h: h != ""), lambda h: F.concat(
             F.lit("sourceHeader: "), h, F.lit(CRLF))), ""))
     kinds = F.array(

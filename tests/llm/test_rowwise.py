@@ -199,6 +199,46 @@ def test_warc_records_are_linked_and_parse(spark, tmp_path):
     assert warc.derivatives(warc.responses_of_pages(pages.limit(0))).count() == 0
 
 
+def test_warc_decodes_every_reference(spark):
+    import html
+    from html.entities import html5
+
+    texts = [f"a&{name}b &{name} c" for name in html5] + [
+        f"x&#{n};y&#x{n:X};z&#X{n:05x}w" for n in [*range(0, 300), 0x2014, 0xD800, 0xFDD0, 0xFFFD, 0xFFFE, 0xFFFF, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000]]
+    texts += ["&amp;lt; &amp;#39; &amp;amp; &#38;lt; &ampamp; &AMP;copy;", "& && &; &# &#; &#x; &#xg; &unknown; &notit; &notin; &copy2 &", "&#99999999999999999999;",
+              "&#x0000000000041;&#0000000000065;", "no reference", "", None]
+    pages = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["d"] for r in pages.select("page_id", warc._decoded(pages["html"]).alias("d")).collect()}
+    # a no-break space is a space here
+    space = lambda t: t.replace("\xa0", " ")
+    assert [got[i] for i in range(len(texts))] == [None if t is None else space(html.unescape(t)) for t in texts]
+    block = warc.derivatives(warc.responses_of_pages(spark.createDataFrame(
+        [(1, "u", "<p>&copy; 2024 &middot; caf&#233;&#xE9; &mdash; &amp;copy;</p>")], "page_id long, url string, html string"))).where("record_type = 'conversion'")
+    assert [r["block"] for r in block.collect()] == ["© 2024 · caféé — &copy;"]
+
+
+def test_warc_takes_links_of_every_quoting(spark):
+    from html.parser import HTMLParser
+
+    class Links(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "a" and (own := next((v for k, v in attrs if k == "href"), None)) is not None:
+                out.append(own)
+
+    page = """<p><a href="/1">x</a><a href='/2?a=1&amp;b=2'>x</a><a href=/3>x</a><A class=c HREF = '/4' id="i">x</a><a
+      rel="a > b" href="/5">x</a><a data-href="/no" title='href="/no"'>x</a><a href=/6?x=1&lt;>x</a><a title="t" href=/7/ target=_blank>x</a>
+      <abbr href="/no">x</abbr><a href="/8 with 'quotes'">x</a><a href='"q"'>x</a><a name>x</a><a href="">x</a><a href="/a" href="/b">x</a></p>"""
+    out = []
+    Links().feed(page)
+    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    meta = warc.derivatives(warc.responses_of_pages(pages)).where("record_type = 'metadata'").collect()[0]["block"]
+    assert re.findall("outlink: (.*)\r\n", meta) == out and len(out) == 11
+    # in an attribute a name that goes on is none
+    page = spark.createDataFrame([(1, "u", "<a href='/?a=1&copy=2&lt=3&reg'>x</a>&copy=")], "page_id long, url string, html string")
+    blocks = {r["record_type"]: r["block"] for r in warc.derivatives(warc.responses_of_pages(page)).collect()}
+    assert "outlink: /?a=1&copy=2&lt=3®\r\n" in blocks["metadata"] and blocks["conversion"] == "x©="
+
+
 def test_remainders_follow_crc32(spark):
     from palisade.llm.common import text_remainder
 
