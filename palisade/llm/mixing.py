@@ -2,8 +2,8 @@
 
 Words of a source are its documents' words. Targets share all words by the sources' weights, capped at `most` times a source's own
 size, the excess reshared (`targets`). A source's documents are dealt by hash to blocks; its quota is every block as often as the
-target holds the source whole, and for the rest blocks in permuted order, the last of them only up to the document that fills the
-target. A binary tree splits the vector of block quotas between the output shards, each split a multivariate-hypergeometric draw,
+target holds the source whole, and for the rest blocks in permuted order as long as they fit, then documents, by block in that order and
+by hash, each that still fits what is left, until no document does. A binary tree splits the vector of block quotas between the output shards, each split a multivariate-hypergeometric draw,
 so every shard gets a random share of each source and the quotas stay exact. Each source's drawn blocks, permuted, are then cut
 into the shards' runs, which are disjoint, and rows are shuffled within their shard.
 
@@ -25,8 +25,6 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 100_000
 SHARD_WORDS = 10_000_000
-#: How often the block taken in part is gone on with for documents that still fit the gap.
-FILLS = 5
 #: Sources up to which their table is broadcast (at most some 100 bytes each); beyond, it is joined by shuffles.
 BROADCAST_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -130,7 +128,7 @@ def split(quotas: DataFrame, shards: int) -> DataFrame:
 
 
 def _blocks(slim: DataFrame, known: DataFrame, block_words: int, shard_words: int) -> DataFrame:
-    """(place, block, whole, part, rules): the shards that take a block whole; the shard that takes documents by the rules."""
+    """(place, block, whole, part, rules, never): the shards that take a block whole; the shard that takes documents by the rules."""
     permuted = Window.partitionBy("place").orderBy("turn", "block")
     blocks = slim.groupBy("place", "block").agg(F.sum("size").alias("words")).join(known, "place")
     times = F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long")
@@ -139,10 +137,14 @@ def _blocks(slim: DataFrame, known: DataFrame, block_words: int, shard_words: in
     blocks = blocks.withColumn("before", F.sum("words").over(permuted) - F.col("words"))
     extra = (F.col("before") + F.col("words") <= F.col("rest")) & (F.col("words") > 0)
     some = (F.col("before") < F.col("rest")) & ~extra & (F.col("words") > 0)
+    blocks = blocks.withColumn("extra", extra)
+    # What whole blocks leave is the first goal; documents of all blocks from there on may fill it.
     blocks = written(blocks.select(
-        "place", "block", (F.col("times") + extra.cast("long")).alias("copies"), F.when(some, F.col("rest") - F.col("before")).alias("goal")))
-    numbers = F.sequence(F.lit(1).cast("long"), F.col("copies") + F.col("goal").isNotNull().cast("long"))
-    drawn = blocks.where("copies > 0 or goal is not null").withColumn("number", F.explode(numbers))
+        "place", "block", "turn", "extra", (F.col("times") + extra.cast("long")).alias("copies"), F.when(some, F.col("rest") - F.col("before")).alias("goal")))
+    rules = written(_fills(slim, blocks))
+    blocks = blocks.select("place", "block", "copies").join(rules, ["place", "block"], "left")
+    numbers = F.sequence(F.lit(1).cast("long"), F.col("copies") + F.col("rules").isNotNull().cast("long"))
+    drawn = blocks.where("copies > 0 or rules is not null").withColumn("number", F.explode(numbers)).drop("rules", "never")
     drawn = drawn.withColumn("at", F.row_number().over(
         Window.partitionBy("place").orderBy(F.xxhash64("place", "block", "number"), "block", "number")).cast("long") - 1)
     quotas = drawn.groupBy("place").agg(F.count("*").alias("quota"))
@@ -155,23 +157,54 @@ def _blocks(slim: DataFrame, known: DataFrame, block_words: int, shard_words: in
     part = F.col("number") > F.col("copies")
     dealt = placed.groupBy("place", "block").agg(
         F.sort_array(F.collect_list(F.when(~part, F.col("shard")))).alias("whole"), F.max(F.when(part, F.col("shard"))).alias("part"))
-
-    # In a block taken in part: documents in the order of their hashes, as far as the goal; then, further on in that order, what still
-    # fits the gap; and so on. A rule names a stretch of hashes and the largest document taken there.
-    goals = blocks.where("goal is not null").select("place", "block", F.lit(None).cast("long").alias("low"), F.col("goal").alias("gap"))
-    units = written(slim.join(goals, ["place", "block"]).groupBy("place", "block", "hash").agg(F.sum("size").alias("words")))
-    rules = []
-    for _ in range(FILLS):
-        upto = F.sum("words").over(Window.partitionBy("place", "block").orderBy("hash"))
-        fits = units.join(goals, ["place", "block"]).where("words <= gap and (low is null or hash > low)").withColumn("upto", upto)
-        taken = fits.where("upto <= gap").groupBy("place", "block", "low", "gap").agg(F.max("hash").alias("high"), F.max("upto").alias("got"))
-        taken = checkpointed(taken)
-        rules.append(taken.select("place", "block", F.struct("low", "high", "gap").alias("rule")))
-        goals = taken.select("place", "block", F.col("high").alias("low"), (F.col("gap") - F.col("got")).alias("gap"))
-    rules = reduce(DataFrame.union, rules).groupBy("place", "block").agg(F.collect_list("rule").alias("rules"))
     return dealt.join(rules, ["place", "block"], "left")
 
 
+def _fills(slim: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(place, block, rules, never): by which documents of blocks not taken as extra ones fill the source's goal.
+
+    Documents of equal hash are one unit. Units are tried by block in permuted order and by hash: those up to the goal are taken, then,
+    further on, those that still fit what is left, and so on until none does. A rule names a stretch of a block's hashes and the largest
+    unit taken there; `never` has the hashes of units that are larger than a rule allows though each of their rows is not. A pass sums a
+    source by blocks, so only the block where the gap is reached is put in order.
+    """
+    goals = blocks.where("goal is not null").select(
+        "place", F.col("turn").alias("low_turn"), F.col("block").alias("low_block"), F.lit(None).cast("long").alias("low"), F.col("goal").alias("gap"))
+    open_ = blocks.where(~F.col("extra")).join(goals, "place").where("(turn, block) >= (low_turn, low_block)").select("place", "block", "turn")
+    units = written(slim.join(open_, ["place", "block"]).groupBy("place", "block", "turn", "hash").agg(
+        F.sum("size").alias("words"), F.max("size").alias("row_words")))
+    left, goals, taken = units.where("words > 0"), checkpointed(goals), []
+    by_block, by_hash = Window.partitionBy("place").orderBy("turn", "block"), Window.partitionBy("place", "block").orderBy("hash")
+    while True:
+        # What no longer fits, or stands before what was taken last, never will be taken.
+        later = F.expr("(turn, block) > (low_turn, low_block) or (turn = low_turn and block = low_block and (low is null or hash > low))")
+        fits = left.join(F.broadcast(goals) if goals.count() <= BROADCAST_SOURCES else goals, "place").where(F.col("words") <= F.col("gap")).where(later)
+        left = written(fits.select(*left.columns, "gap"))
+        sums = left.groupBy("place", "block", "turn", "gap").agg(F.sum("words").alias("all"), F.max("hash").alias("last"))
+        sums = written(sums.withColumn("before", F.sum("all").over(by_block) - F.col("all")).where("before < gap"))
+        if sums.isEmpty():
+            break
+        whole = sums.where("before + all <= gap").select("place", "block", "turn", F.col("last").alias("high"), "all", "gap")
+        cut = left.join(sums.where("before + all > gap").select("place", "block", "before"), ["place", "block"])
+        cut = cut.withColumn("upto", F.sum("words").over(by_hash)).where("before + upto <= gap")
+        cut = cut.groupBy("place", "block", "turn").agg(F.max("hash").alias("high"), F.max("upto").alias("all"), F.max("gap").alias("gap"))
+        now = written(whole.unionByName(cut))
+        taken.append(now.select("place", "block", "high", "gap"))
+        last = F.max(F.struct("turn", "block", "high")).alias("last")
+        goals = checkpointed(now.groupBy("place").agg(last, (F.max("gap") - F.sum("all")).alias("gap")).select(
+            "place", F.col("last.turn").alias("low_turn"), F.col("last.block").alias("low_block"), F.col("last.high").alias("low"), "gap"))
+        left = left.drop("gap")
+    if not taken:
+        taken = [left.select("place", "block", F.col("hash").alias("high"), "gap").limit(0)]
+    # Passes follow each other: in a block a rule begins where the one before has ended.
+    low = F.lag("high").over(Window.partitionBy("place", "block").orderBy("high"))
+    stretches = checkpointed(reduce(DataFrame.union, taken).withColumn("low", low))
+    never = units.where("words > row_words").join(stretches, ["place", "block"]).where(
+        "hash <= high and (low is null or hash > low) and words > gap and row_words <= gap")
+    return stretches.groupBy("place", "block").agg(F.collect_list(F.struct("low", "high", "gap")).alias("rules")).join(
+        never.groupBy("place", "block").agg(F.collect_set("hash").alias("never")), ["place", "block"], "left")
+
+
 def allot(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None,
           weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS,
           shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -196,7 +229,7 @@ def allot(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     taken = F.concat(
         F.coalesce("whole", F.array().cast("array<bigint>")),
         F.when(F.exists("rules", lambda r: (F.col("size") <= r["gap"]) & (F.col("hash") <= r["high"]) & (
-            r["low"].isNull() | (F.col("hash") > r["low"]))), F.array("part")).otherwise(F.array().cast("array<bigint>")))
+            r["low"].isNull() | (F.col("hash") > r["low"]))) & ~F.coalesce(F.array_contains("never", F.col("hash")), F.lit(False)), F.array("part")).otherwise(F.array().cast("array<bigint>")))
     rows = with_place(sized).join(dealt, ["place", "block"], "left")
     rows = rows.select("row", F.struct("size", "source_size", "target", "hash", taken.alias("shards")).alias("own"))
     return rows.select("row.*", F.col("own").alias(name))

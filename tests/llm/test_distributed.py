@@ -280,3 +280,26 @@ def test_mix_keeps_targets_and_bounds(make_docs, odd_rows):
     again = mixing.mix(docs, block_words=200, shard_words=1500)
     assert sorted(map(str, mixed.collect())) == sorted(map(str, again.collect()))
     assert mixing.mix(make_docs([])).count() == 0
+
+
+def test_mix_fills_sources_from_later_blocks_and_by_whole_units(make_docs):
+    rng = random.Random(4)
+    rows = []
+    for i in range(24):  # three large sources, whose blocks hold few long documents and many short ones
+        for k in range(40):
+            n = rng.randrange(300, 900) if k % 8 == 0 else rng.randrange(1, 12)
+            rows.append((100 * i + k, "w " * n, "abc"[i % 3]))
+    for i in range(60):  # repeated rows: a unit of its copies
+        rows += [(9000 + i, "r " * rng.randrange(2, 60), "abc"[i % 3])] * rng.randrange(2, 9)
+    rows += [(9900, "", "a"), (9901, None, "b")]
+    dealt = mixing.allot(make_docs(rows), block_words=900, shard_words=3000)
+    name = dealt.columns[-1]
+    got = dealt.select("doc_id", "source", f"{name}.*").toPandas()
+    got["n"] = got["shards"].map(len)
+    assert len(got) == len(rows)
+    assert (got.groupby(["source", "doc_id"])["n"].nunique() == 1).all()  # copies of a row are taken alike
+    for _, own in got.groupby("source"):
+        gap = own["target"].iloc[0] - (own["size"] * own["n"]).sum()
+        assert gap >= 0
+        units = own[own["n"] == own["n"].min()].groupby("hash")["size"].sum()
+        assert not ((units > 0) & (units <= gap)).any()  # nothing that was left out fits
