@@ -6,9 +6,10 @@ place in their strings; suffixes are kept at these places only, each with how fa
 interleaves the shards' sorted lists, partition by partition of the hashes, and refines the interleave in rounds of growing depth:
 
 1. suffixes that share the common prefix form an interval; an interval of one suffix ends here. Within an interval, suffixes that also
-   share everything their windows reach, on both sides, are repeated as a whole, whatever their number;
-2. in intervals that are still mixed, the single windows, one representative for each collapsed suffix, are interleaved by left and right
-   context, and each is repeated or not.
+   share everything their windows reach, on both sides, are repeated as a whole, whatever their number. A shard sends an interval's prefix
+   once, whatever its suffixes, and the suffixes apart from it by all they reach, so no prefix is a hot key;
+2. in intervals of several suffixes, the single windows, one representative for each collapsed suffix, are interleaved by left and right
+   context, and each is repeated or not. They are dealt by the whole window, so a hot prefix is spread.
 
 Each round sends a shard's sorted keys and gets an answer for each; no suffix is sorted again, and equal strings of a shard are one key,
 so groups of copies cost a row per shard. Between rounds the texts, compressed, meet their answers again by shard.
@@ -78,8 +79,15 @@ class Shard:
         return np.arange(sizes.sum()) + np.repeat(self.offsets[:-1] - (np.cumsum(sizes) - sizes), sizes)
 
     def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct (core, whole) as an array of two columns, each one's count, and each suffix's place among them."""
-        return _distinct(self.core, self.whole)
+        """Sorted distinct (whole, core) as an array of two columns, each one's count, and each suffix's place among them."""
+        return _distinct(self.whole, self.core)
+
+    @staticmethod
+    def cores(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of such suffixes the sorted cores, each with its only whole or 0 for several, how many it has, and each suffix's core."""
+        core, first, number = np.unique(keys[:, 1], return_index=True, return_inverse=True)
+        only = np.where(np.bincount(number, minlength=len(core)) == 1, keys[first, 0], np.uint64(0))
+        return np.column_stack((core, only)), np.bincount(number, counts, len(core)).astype(np.int64), number
 
     def windows(self, status: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows of suffixes that are mixed or speak for others, and the suffix of each."""
@@ -90,7 +98,7 @@ class Shard:
 
     def window_keys(self, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left = (self.place[own] - at).astype(np.uint64)
-        return _distinct(self.core[own], mix(_HASHERS[1].ranges(self.sums, at, at + self.length) + mix(left)))
+        return _distinct(mix(_HASHERS[1].ranges(self.sums, at, at + self.length) + mix(left)), self.core[own])
 
 
 _HASHERS = (Hasher(41), Hasher(43))
@@ -120,7 +128,8 @@ _REQUEST_SQL = "part int, shard long, keys binary, counts binary"
 _ANSWER_SQL = "part int, shard long, size long, answer binary"
 
 
-def _sent(shard: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _sent(shard: int, keys: np.ndarray, counts: np.ndarray, parts: int, of_cores: bool = False) -> Iterator[pa.RecordBatch]:
+    """A shard's keys, cut by their first column; the parts of cores are numbered -1, -2, ..."""
     edges = np.array([(1 << 64) * k // parts for k in range(parts)], np.uint64)
     cuts = np.append(np.searchsorted(keys[:, 0], edges), len(keys))
     for p in range(parts):
@@ -128,17 +137,15 @@ def _sent(shard: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> Itera
         if a < b:
             own = np.minimum(counts[a:b], 255).astype(np.uint8)  # only one or more than one matters
             yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(
-                (p, shard, keys[a:b].tobytes(), own.tobytes()), _REQUEST, strict=True)], schema=_REQUEST)
+                (-1 - p if of_cores else p, shard, keys[a:b].tobytes(), own.tobytes()), _REQUEST, strict=True)], schema=_REQUEST)
 
 
-def _interleaved(group: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The shards' lists of one partition as one: shards, ends of their lists, number of each key in the merged order, sums, cores."""
+def _interleaved(group: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """The shards' lists of one partition as one: shards, ends of their lists, all keys, and counts."""
     shards = group.column("shard").to_pylist()
     lists = [np.frombuffer(k, np.uint64).reshape(-1, 2) for k in group.column("keys").to_pylist()]
     counts = np.concatenate([np.frombuffer(c, np.uint8) for c in group.column("counts").to_pylist()])
-    flat = np.concatenate(lists)
-    merged, _, number = _distinct(flat[:, 0], flat[:, 1])
-    return shards, np.cumsum([0, *map(len, lists)]), number, np.bincount(number, counts, len(merged)), merged[:, 0]
+    return shards, np.cumsum([0, *map(len, lists)]), np.concatenate(lists), counts
 
 
 def _answers(key: tuple, shards: list[int], ends: np.ndarray, answer: np.ndarray) -> pa.Table:
@@ -148,28 +155,43 @@ def _answers(key: tuple, shards: list[int], ends: np.ndarray, answer: np.ndarray
 
 
 def _first_round(key: tuple, group: pa.Table) -> pa.Table:
-    shards, ends, number, sums, cores = _interleaved(group)
-    begin = np.ones(len(cores), bool)
-    begin[1:] = cores[1:] != cores[:-1]
-    interval = np.cumsum(begin) - 1
-    many = np.bincount(interval, sums)[interval] > 1
-    mixed = np.bincount(interval, sums == 1)[interval] > 0
-    status = np.where(~many, _NEVER, np.where(sums == 1, _MIXED, _WHOLE)).astype(np.uint8)
-    answer = status[number]
-    # In a mixed interval the first shard that holds a collapsed suffix speaks for it.
+    """Of a suffix 0 if it is alone, else 1, and 2 for the first shard that holds it; of a core 1 if it is repeated, plus 2 if in several suffixes."""
+    shards, ends, flat, counts = _interleaved(group)
+    if key[0].as_py() < 0:
+        order = np.lexsort((flat[:, 1], flat[:, 0]))
+        core, only = flat[order, 0], flat[order, 1]
+        begin = np.flatnonzero(np.append(True, core[1:] != core[:-1]))
+        size = np.diff(np.append(begin, len(core)))
+        various = (only[begin] == 0) | (only[begin] != only[begin + size - 1])
+        answer = np.empty(len(core), np.uint8)
+        answer[order] = np.repeat((np.add.reduceat(counts[order].astype(np.int64), begin) > 1) + 2 * various, size)
+        return _answers(key, shards, ends, answer)
+    merged, _, number = _distinct(flat[:, 0], flat[:, 1])
+    many = np.bincount(number, counts, len(merged)) > 1
+    answer = many[number].astype(np.uint8)
     _, first = np.unique(number, return_index=True)
-    speaks = first[(status == _WHOLE) & mixed]
-    answer[speaks] = _SPEAKS
+    answer[first[many]] = 2
     return _answers(key, shards, ends, answer)
 
 
 def _second_round(key: tuple, group: pa.Table) -> pa.Table:
-    shards, ends, number, sums, _ = _interleaved(group)
-    return _answers(key, shards, ends, (sums > 1)[number].astype(np.uint8))
+    shards, ends, flat, counts = _interleaved(group)
+    merged, _, number = _distinct(flat[:, 0], flat[:, 1])
+    return _answers(key, shards, ends, (np.bincount(number, counts, len(merged)) > 1)[number].astype(np.uint8))
+
+
+def _status(answers: pa.Table, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What a shard's suffixes are, by the answers of round one. Where a core has several suffixes, one holder of a repeated one speaks."""
+    of_cores = np.array(answers.column("part").to_pylist(), np.int64) < 0
+    cores, _, number = Shard.cores(keys, counts)
+    core = _gathered(answers.filter(pa.array(of_cores)), len(cores))[number]
+    own = _gathered(answers.filter(pa.array(~of_cores)), len(keys))
+    repeated = np.where((own == 2) & (core >= 2), _SPEAKS, _WHOLE)
+    return np.where(core % 2 == 0, _NEVER, np.where(own == 0, _MIXED, repeated))
 
 
 def _gathered(answers: pa.Table, size: int) -> np.ndarray:
-    rows = sorted(answers.select(["part", "answer"]).to_pylist(), key=lambda r: r["part"])
+    rows = sorted(answers.select(["part", "answer"]).to_pylist(), key=lambda r: abs(r["part"]))
     out = np.frombuffer(b"".join(r["answer"] for r in rows), np.uint8)
     if len(out) != size:
         raise RuntimeError("the texts came in other shards the second time; write them to a table first")
@@ -200,6 +222,7 @@ def spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, le
         for number, _, data, offsets in _shards(batches, at, length):
             keys, counts, _ = Shard(data, offsets, length).suffixes()
             yield from _sent(number, keys, counts, parts)
+            yield from _sent(number, *Shard.cores(keys, counts)[:2], parts, of_cores=True)
 
     def pack(with_rows: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +244,8 @@ def spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, le
     def refine(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         data, offsets = _unpacked(texts.to_pylist()[0])
         shard = Shard(data, offsets, length)
-        keys, _, number = shard.suffixes()
-        starts, own = shard.windows(_gathered(answers, len(keys))[number])
+        keys, counts, number = shard.suffixes()
+        starts, own = shard.windows(_status(answers, keys, counts)[number])
         if not len(starts):
             return _REQUEST.empty_table()
         keys, counts, _ = shard.window_keys(starts, own)
@@ -232,9 +255,9 @@ def spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, le
         row = texts.to_pylist()[0]
         data, offsets = _unpacked(row)
         shard = Shard(data, offsets, length)
-        keys, _, number = shard.suffixes()
+        keys, counts, number = shard.suffixes()
         rounds = answers.column("round").to_numpy()
-        status = _gathered(answers.filter(pa.array(rounds == 1)), len(keys))[number]
+        status = _status(answers.filter(pa.array(rounds == 1)), keys, counts)[number]
         repeated = np.zeros(len(data) + 1, np.int64)
         sure = np.flatnonzero(status >= _WHOLE)
         repeated[shard.first[sure]] += 1

@@ -219,6 +219,22 @@ def test_repeats_by_brute_force(make_docs, odd_rows, monkeypatch, length, shard)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_a_shared_core_is_spread_over_partitions():
+    rng = random.Random(8)
+    core = "".join(rng.choice("abcdefgh ") for _ in range(390))  # shorter than a repeat, with other surroundings each time
+    dealt = collections.defaultdict(collections.Counter)
+    for shard in range(40):
+        raw = [("".join(rng.choice("uvwxyz") for _ in range(30)) + core + "".join(rng.choice("uvwxyz") for _ in range(30))).encode() for _ in range(20)]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        own = repeats.Shard(data, offsets)
+        starts, suffix = own.windows(np.full(len(own.place), repeats._MIXED))
+        for what, (keys, counts, _) in {"suffixes": own.suffixes(), "windows": own.window_keys(starts, suffix)}.items():
+            for batch in repeats._sent(shard, keys, counts, 16):
+                dealt[what][batch.column(0)[0].as_py()] += len(batch.column(2)[0].as_py()) // 16
+    for counts in dealt.values():
+        assert len(counts) == 16 and max(counts.values()) < 2 * sum(counts.values()) / 16
+
+
 def test_repeats_leave_texts_and_columns(make_docs):
     passage = "".join(random.Random(1).choice("abcdefgh ") for _ in range(500))
     docs = make_docs([(1, "é" + passage, "s"), (2, "Start. " + passage + " end", "s"), (3, None, "s"), (4, "clean", None)], extra=True)
