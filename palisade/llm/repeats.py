@@ -1,18 +1,17 @@
-"""Exact removal of repeated byte strings: shards sort sampled suffixes once, and their orders are merged by interleave refinement.
+"""Removal of repeated byte strings: fingerprints of windows, sampled at minimisers, are grouped in two rounds.
 
 Every window of `length` bytes names the position of the smallest hash near its start (a minimiser), so equal windows name the same
 place in their strings; suffixes are kept at these places only, each with how far the windows that name it reach to its left. A shard
-(a block of texts) sorts its suffixes by the hash of the prefix that all those windows share, and collapses equal ones. Merging
-interleaves the shards' sorted lists, partition by partition of the hashes, and refines the interleave in rounds of growing depth:
+(a block of texts) collapses equal suffixes. Fingerprints go to the partition of their hash, which sorts those of all shards and counts:
 
 1. suffixes that share the common prefix form an interval; an interval of one suffix ends here. Within an interval, suffixes that also
    share everything their windows reach, on both sides, are repeated as a whole, whatever their number. A shard sends an interval's prefix
    once, whatever its suffixes, and the suffixes apart from it by all they reach, so no prefix is a hot key;
-2. in intervals of several suffixes, the single windows, one representative for each collapsed suffix, are interleaved by left and right
-   context, and each is repeated or not. They are dealt by the whole window, so a hot prefix is spread.
+2. in intervals of several suffixes, the single windows, one representative for each collapsed suffix, are grouped with their place in the
+   window, and each is repeated or not. They are dealt by the whole window, so a hot prefix is spread.
 
-Each round sends a shard's sorted keys and gets an answer for each; no suffix is sorted again, and equal strings of a shard are one key,
-so groups of copies cost a row per shard. Between rounds the texts, compressed, meet their answers again by shard.
+Each round sends a shard's keys and gets an answer for each; a shard sorts its keys again in each pass over its texts, and equal strings of
+a shard are one key, so groups of copies cost a row per shard. Between rounds the texts, compressed, meet their answers again by shard.
 
 A null text is empty; texts shorter than `length` have no repeat. Repeated rows are repeats of each other.
 
