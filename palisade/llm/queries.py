@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, katz, licenses, mixing, neardup, neighbours, quality, repeats, tokencount, warc
+from palisade.llm import bpe, decontaminate, katz, licenses, mixing, neardup, neighbours, quality, repeats, tokencount, warc
 from palisade.llm.common import table, text_remainder
 
 #: The score from which a document passes.
@@ -93,6 +93,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=["doc_id"])
+    decoded = bpe.decode(encoded, path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -104,4 +116,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_bytes": op8_repeated_bytes,
     "op9_source_mix": op9_source_mix,
     "op10_decontaminate": op10_decontaminate,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
 }
