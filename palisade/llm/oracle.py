@@ -127,8 +127,27 @@ SELECT page_id, record_type, derived_id, refers_to, target_uri, '{warc.DATE}' AS
 FROM digested
 """
 
+OP13 = """
+WITH usable AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+  FROM usable a JOIN usable b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY s DESC, vec_id, r) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.ar, p.r ORDER BY n.s DESC, n.vec_id, n.r) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN scored n ON n.ar = p.ar AND NOT n.same AND 100 * n.s BETWEEN 80 * p.s AND 100 * p.s
+QUALIFY row_number() OVER (PARTITION BY p.ar, p.r ORDER BY n.s DESC, n.vec_id, n.r) <= 5
+"""
+
 ORACLE: dict[str, str] = {
     "op2_warc_derivatives": OP2,
     "op6_license_scan": OP6,
     "op10_decontaminate": OP10,
+    "op13_hard_negatives": OP13,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, decontaminate, katz, licenses, mixing, neardup, neighbours, quality, repeats, tokencount, warc
+from palisade.llm import bpe, decontaminate, hardneg, katz, licenses, mixing, neardup, neighbours, quality, repeats, tokencount, warc
 from palisade.llm.common import table, text_remainder
 
 #: The score from which a document passes.
@@ -105,6 +105,12 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -117,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_decontaminate": op10_decontaminate,
     "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_hard_negatives": op13_hard_negatives,
 }
