@@ -394,9 +394,9 @@ def mine(df: DataFrame, is_anchor: Column, positives: int = 5, negatives: int =
         F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("positive"), "score"))).alias("own"))
     asks = checkpointed(anchors.join(own, "row").select(
         "row", "id", "label", "vector", "own",
-        # whole-number division, rounded up and down
-        F.expr(f"transform(own, p -> -((-p.score * {low} - pmod(-p.score * {low}, 100)) div 100))").alias("lows"),
-        F.expr(f"transform(own, p -> (p.score * {high} - pmod(p.score * {high}, 100)) div 100)").alias("highs")))
+        # decimals hold the products exactly
+        F.expr(f"transform(own, p -> cast(ceil(cast(p.score as decimal(20, 0)) * {low} / 100) as bigint))").alias("lows"),
+        F.expr(f"transform(own, p -> cast(floor(cast(p.score as decimal(20, 0)) * {high} / 100) as bigint))").alias("highs")))
     hard = found(asks, positives, negatives, same=False)
     return hard.join(asks.select("row", F.col("id").alias("anchor_id"), "own"), "row").select(
         "anchor_id", F.element_at("own", F.col("window") + 1)["positive"].alias("positive_id"), F.col("rank").cast("int").alias("rank"),
