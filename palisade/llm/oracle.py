@@ -127,6 +127,32 @@ SELECT page_id, record_type, derived_id, refers_to, target_uri, '{warc.DATE}' AS
 FROM digested
 """
 
+OP11 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, range(1, 6) lengths(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(string_split(phrase, ' ')[:c], ' ') AS head, array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, c, h.a AS l, t.a AS r, n,
+    CAST(CAST(1000 AS HUGEINT) * cuts.a * n // (CAST(h.a AS HUGEINT) * t.a) AS BIGINT) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail
+  JOIN totals ON totals.lang = cuts.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+kept AS (
+  SELECT * FROM worst w WHERE NOT EXISTS (
+    SELECT 1 FROM f WHERE f.lang = w.lang AND f.a >= w.a AND f.phrase <> w.phrase AND contains(' ' || f.phrase || ' ', ' ' || w.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
 OP13 = """
 WITH usable AS (
   SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -149,5 +175,6 @@ ORACLE: dict[str, str] = {
     "op2_warc_derivatives": OP2,
     "op6_license_scan": OP6,
     "op10_decontaminate": OP10,
+    "op11_phrases": OP11,
     "op13_hard_negatives": OP13,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, decontaminate, hardneg, katz, licenses, mixing, neardup, neighbours, quality, repeats, tokencount, warc
+from palisade.llm import bpe, decontaminate, hardneg, katz, licenses, mixing, neardup, neighbours, phrases, quality, repeats, tokencount, warc
 from palisade.llm.common import table, text_remainder
 
 #: The score from which a document passes.
@@ -93,6 +93,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=["doc_id"])
@@ -122,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_bytes": op8_repeated_bytes,
     "op9_source_mix": op9_source_mix,
     "op10_decontaminate": op10_decontaminate,
+    "op11_phrases": op11_phrases,
     "op12_bpe_round_trip": op12_bpe_round_trip,
     "op13_hard_negatives": op13_hard_negatives,
 }
