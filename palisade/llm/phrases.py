@@ -31,7 +31,7 @@ from palisade.llm.common import LOWER, SLICE_BYTES, Hasher, bounded_batches, mix
 PART_BYTES, LEAST_PARTS, MOST_PARTS = 32 << 20, 64, 1 << 16
 #: Counters of a summary for each time the threshold goes into its mass: above 1 every frequent n-gram survives, more spare false ones.
 COUNTERS = 4
-#: N-grams that a task counts before it sends them, and distinct phrases that it holds.
+#: N-grams that a task counts before it sends them, and distinct phrases that it holds while counting exactly.
 FLUSH, HELD = 1 << 21, 200_000
 #: Bytes of all filters together, and bits for each survivor while they fit.
 FILTER_BYTES, FILTER_BITS = 64 << 20, 16
@@ -289,27 +289,39 @@ def _survivors(sent: DataFrame, bits: int, threshold: int, most: int) -> Filter:
     return Filter(bits, {r["part"]: bytes(r["bits"]) for r in found.collect()})
 
 
-def _counted(docs: DataFrame, longest: int, shared) -> DataFrame:
-    """Occurrences of the survivors, and of all words (n_words 0), by language and phrase as each task counted them."""
-    schema = "lang string, phrase string, n_words int, times long"
+_LISTS = "part int, lang string, phrases string, times binary"
+
+
+def _lists(docs: DataFrame, longest: int, bits: int, shared) -> DataFrame:
+    """Survivors as each task counted them, one row for each part and language: phrases, one a line, and their times. The empty phrase
+    stands for all words of the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, filters = Grams(), shared.value
-        texts: dict[int, tuple[str, bytes, int]] = {}
+        texts: dict[int, tuple[str, bytes]] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
         totals: dict[str, int] = {}
 
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            types = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "n_words", "times"])
+        def batch(found: Iterator[tuple[int, str, bytes, int]]) -> pa.RecordBatch:
+            lists: dict[tuple[int, str], tuple[list[bytes], list[int]]] = {}
+            for part, lang, phrase, n in found:
+                own = lists.setdefault((part, lang), ([], []))
+                own[0].append(phrase)
+                own[1].append(n)
+            columns = [
+                pa.array([part for part, _ in lists], pa.int32()), pa.array([lang for _, lang in lists], pa.string()),
+                pa.array([b"\n".join(phrases).decode() for phrases, _ in lists.values()], pa.string()),
+                pa.array([np.array(times, np.int64).tobytes() for _, times in lists.values()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "lang", "phrases", "times"])
+
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            every, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            return every, np.bincount(inverse, np.concatenate([c for _, c in held])).astype(np.int64)
 
         def summed() -> pa.RecordBatch:
-            every, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-            times = np.bincount(inverse, np.concatenate([c for _, c in held])).astype(np.int64)
-            found = [texts[h] for h in every.tolist()]
-            return batch([(lang, phrase.decode(), n, c) for (lang, phrase, n), c in zip(found, times.tolist(), strict=True)])
+            every, times = joined()
+            parts = split_hash(every, bits)[0]
+            return batch((part, *texts[h], n) for part, h, n in zip(parts.tolist(), every.tolist(), times.tolist(), strict=True))
 
         for rows in batches:
             langs = rows.column(1).to_pylist()
@@ -332,20 +344,48 @@ def _counted(docs: DataFrame, longest: int, shared) -> DataFrame:
                 for h, i in zip(every.tolist(), first.tolist(), strict=True):
                     if h not in texts:
                         raw = chunk.data.tobytes() if raw is None else raw
-                        word, n = int(at[i]), int(lengths[i])
-                        spelled = raw[chunk.starts[word]:chunk.ends[word + n - 1]]
-                        texts[h] = (langs[chunk.rows[word]], b" ".join(spelled.split()), n)
+                        word = int(at[i])
+                        spelled = raw[chunk.starts[word]:chunk.ends[word + int(lengths[i]) - 1]]
+                        texts[h] = (langs[chunk.rows[word]], b" ".join(spelled.split()))
                 if len(texts) > HELD:
                     yield summed()
                     texts, held = {}, []
                 elif len(held) > 64:
-                    every, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-                    held = [(every, np.bincount(inverse, np.concatenate([c for _, c in held])).astype(np.int64))]
+                    held = [joined()]
         if held:
             yield summed()
-        yield batch([(lang, "", 0, n) for lang, n in totals.items()])
+        yield batch((int(grams.seed(lang)) >> (64 - bits), lang, b"", n) for lang, n in totals.items())
+
+    return docs.select("text", "lang").mapInArrow(run, _LISTS)
+
+
+def _summed(lists: DataFrame, bits: int, threshold: int) -> DataFrame:
+    """Lists of the same part and language added up by their phrases' text: lang, phrase, n_words, times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, int] = {}
+        key: tuple | None = None
+
+        def done() -> pa.RecordBatch:
+            kept = [(phrase, n) for phrase, n in sums.items() if n >= threshold or not phrase]
+            columns = [pa.array([key[1]] * len(kept), pa.string()), pa.array([phrase for phrase, _ in kept], pa.string()),
+                       pa.array([phrase.count(" ") + 1 if phrase else 0 for phrase, _ in kept], pa.int32()),
+                       pa.array([n for _, n in kept], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n_words", "times"])
+
+        for batch in batches:
+            for part, lang, phrases, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, lang) != key:
+                    if sums:
+                        yield done()
+                    key, sums = (part, lang), {}
+                for phrase, n in zip(phrases.split("\n"), np.frombuffer(times, np.int64).tolist(), strict=True):
+                    sums[phrase] = sums.get(phrase, 0) + n
+        if sums:
+            yield done()
 
-    return docs.select("text", "lang").mapInArrow(run, schema)
+    dealt = lists.repartition(1 << bits, "part").sortWithinPartitions("part", "lang")
+    return dealt.mapInArrow(run, "lang string, phrase string, n_words int, times long")
 
 
 def frequent(docs: DataFrame, threshold: int = 100, longest: int = 5, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -364,9 +404,7 @@ def frequent(docs: DataFrame, threshold: int = 100, longest: int = 5, text: str
         if len(lengths):
             shared = spark.sparkContext.broadcast(filters)
             filters = [*filters, _survivors(_sent(docs, lengths, longest, bits, shared), bits, threshold, most)]
-    counted = _counted(docs, longest, spark.sparkContext.broadcast(filters))
-    return counted.groupBy("lang", "phrase", "n_words").agg(F.sum("times").alias("times")).where(
-        (F.col("times") >= threshold) | (F.col("n_words") == 0))
+    return _summed(_lists(docs, longest, bits, spark.sparkContext.broadcast(filters)), bits, threshold)
 
 
 def association(a: str, n: str, left: str, right: str) -> Column:
@@ -382,25 +420,26 @@ def mine(docs: DataFrame, threshold: int = 100, longest: int = 5, top: int = 200
     is left out.
     """
     counts = written(frequent(docs, threshold, longest, text, lang))
-    totals = counts.where("n_words = 0").select("lang", F.col("times").alias("n"))
+    # a language may hold most phrases: its row of totals goes to as many keys
+    totals = counts.where("n_words = 0").select("lang", F.col("times").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     grams = counts.where("n_words > 0")
     # a longer phrase that occurs as often has a part, one word shorter than itself, that does so as well, down to the phrase
     shorter = F.explode(F.array(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1)))
     within = grams.where("n_words > 2").select("lang", "times", F.split("phrase", " ").alias("w")).select(
         "lang", "times", shorter.alias("w")).select("lang", F.array_join("w", " ").alias("phrase"), "times")
     phrases = grams.where("n_words > 1").join(within, ["lang", "phrase", "times"], "left_anti")
-    cut = phrases.select("lang", "phrase", F.col("times").alias("a"), F.split("phrase", " ").alias("w")).select(
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")
+    cut = phrases.select("lang", "phrase", F.col("times").alias("a"), salt.alias("salt"), F.split("phrase", " ").alias("w")).select(
         "*", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k")).select(
-        "lang", "phrase", "a", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("first"),
+        "lang", "phrase", "salt", "a", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("first"),
         F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("rest"))
     left = grams.select("lang", F.col("phrase").alias("first"), F.col("times").alias("l"))
     right = grams.select("lang", F.col("phrase").alias("rest"), F.col("times").alias("r"))
-    scored = cut.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).join(totals, "lang").withColumn(
+    scored = cut.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).join(totals, ["lang", "salt"]).withColumn(
         "score", association("a", "n", "l", "r"))
-    worst = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("worst"))
-    rows = worst.select("lang", "phrase", "a", "worst.l", "worst.r", "n", "worst.score")
+    worst = scored.groupBy("lang", "salt", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("worst"))
+    rows = worst.select("lang", "salt", "phrase", "a", "worst.l", "worst.r", "n", "worst.score")
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
-    some = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang", salt).orderBy(*order))).where(F.col("place") <= top)
+    some = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("place") <= top)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
