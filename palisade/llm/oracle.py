@@ -72,10 +72,32 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _decoded(text: str) -> str:
-    for entity, plain in warc.ENTITIES.items():
-        text = f"replace({text}, {_literal(entity)}, {_literal(plain)})"
-    return text
+def _map(pairs: dict) -> str:
+    return "MAP {" + ", ".join(f"{_literal(str(k))}: {_literal(v)}" for k, v in pairs.items()) + "}"
+
+
+def _numbered(reference: str) -> str:
+    """The character that a numeric reference names."""
+    digits = f"regexp_extract({reference}, '^#[xX]?0*([0-9a-fA-F]*)', 1)"
+    number = (f"(CASE WHEN {digits} = '' THEN 0 WHEN length({digits}) > 7 THEN 1114112 WHEN lower({reference}[2:2]) = 'x' "
+              f"THEN TRY_CAST('0x' || {digits} AS BIGINT) ELSE TRY_CAST({digits} AS BIGINT) END)")
+    return (f"(CASE WHEN {number} > 1114111 OR {number} BETWEEN 55296 AND 57343 THEN chr(65533) "
+            f"WHEN {number} IN ({', '.join(map(str, warc.RENUMBERED))}) THEN {_map(warc.RENUMBERED)}[CAST({number} AS VARCHAR)] "
+            f"WHEN {number} BETWEEN 1 AND 8 OR {number} IN (11, 127) OR {number} BETWEEN 14 AND 31 OR {number} BETWEEN 64976 AND 65007 "
+            f"OR {number} & 65535 >= 65534 THEN '' ELSE chr(CAST({number} AS INTEGER)) END)")
+
+
+def _decoded(text: str, attribute: bool = False) -> str:
+    """Character references from left to right: what stands behind each ampersand is a number, a closed name, a bare name or none."""
+    closed = "regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')"
+    bare = f"regexp_extract(p, '^(?:{'|'.join(warc.BARE)})')"
+    number = "regexp_extract(p, '^#(?:[0-9]+|[xX][0-9a-fA-F]+);?')"
+    named = _map(warc.NAMED)
+    goes_on = f"AND NOT regexp_matches(p[length({bare}) + 1:length({bare}) + 1], '[A-Za-z0-9=]')" if attribute else ""
+    return (f"array_to_string(list_transform(string_split({text}, '&'), lambda p, i: CASE WHEN i = 1 THEN p "
+            f"WHEN {number} <> '' THEN {_numbered(number)} || p[length({number}) + 1:] "
+            f"WHEN {named}[{closed}] IS NOT NULL THEN {named}[{closed}] || p[length({closed}) + 1:] "
+            f"WHEN {bare} <> '' {goes_on} THEN {named}[{bare}] || p[length({bare}) + 1:] ELSE '&' || p END), '')")
 
 
 def _plain(html: str) -> str:
@@ -97,6 +119,9 @@ def _uuid(keys: str) -> str:
             f"|| '-' || substr({h}, 21, 12) || '>')")
 
 
+#: A link's tag up to the value of its first href, in any quoting, as RE2 reads it: whole attributes, as few as there can be.
+_VALUE = "(?:\"[^\"]*\"|'[^']*'|[^\\s\"'>][^\\s>]*)"
+_LINK = f"(?i)<a(?:[\\s/]+[^\\s>/=]+(?:\\s*=\\s*{_VALUE})?)*?[\\s/]+href\\s*=\\s*({_VALUE})"
 _CRLF = "chr(13) || chr(10)"
 OP2 = f"""
 WITH pages_ AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
@@ -104,7 +129,7 @@ source AS (
   SELECT page_id, {_uuid("'response', coalesce(CAST(page_id AS VARCHAR), ''), target_uri, payload")} AS refers_to, target_uri, payload,
     {_digest('payload')} AS payload_digest, {_plain('payload')} AS text,
     {_plain(f"('<p>' || regexp_extract(payload, {_literal(warc.TITLE)}, 1))")} AS title,
-    regexp_extract_all(payload, {_literal(warc.HREF)}, 1) AS links FROM pages_),
+    list_transform(regexp_extract_all(payload, {_literal(_LINK)}, 1), lambda v: regexp_replace(v, '^["'']|["'']$', '', 'g')) AS links FROM pages_),
 made AS (
   SELECT *, 'conversion' AS record_type, 'text/plain; charset=utf-8' AS content_type, text AS block FROM source
   UNION ALL
@@ -112,7 +137,7 @@ made AS (
     'title: ' || replace(title, chr(10), ' ') || {_CRLF} || 'language: ' || regexp_extract(payload, {_literal(warc.LANG)}, 1) || {_CRLF}
     || 'sourcePayloadDigest: ' || payload_digest || {_CRLF} || 'sourceLength: ' || strlen(payload) || {_CRLF}
     || 'textLength: ' || strlen(text) || {_CRLF}
-    || coalesce(array_to_string([ 'outlink: ' || {_decoded('u')} || {_CRLF} for u in links ], ''), '')
+    || coalesce(array_to_string([ 'outlink: ' || {_decoded('u', attribute=True)} || {_CRLF} for u in links ], ''), '')
     || 'sourceHeader: HTTP/1.1 200 OK' || {_CRLF} || 'sourceHeader: Content-Type: text/html; charset=utf-8' || {_CRLF}
     || 'sourceHeader: Content-Length: ' || strlen(payload) || {_CRLF}
   FROM source),
