@@ -11,6 +11,9 @@ from palisade.llm import decontaminate, mixing, neardup, quality, repeats
 from palisade.llm.common import fresh, table, text_remainder, written
 from palisade.llm.queries import PASS
 
+#: Bytes of a string that may not start twice: 50 words, a blank included, of four bytes each.
+REPEAT_BYTES = 200
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels outside the held-out part, gives a score of at least PASS."""
@@ -25,8 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 400-byte strings that start anywhere else; n_chars follows the text."""
-    cut = repeats.remove(docs)
+    """Texts without the bytes of strings of REPEAT_BYTES that start anywhere else; n_chars follows the text."""
+    cut = repeats.remove(docs, length=REPEAT_BYTES)
     return cut.withColumn("n_chars", F.char_length("text").cast(cut.schema["n_chars"].dataType)) if "n_chars" in cut.columns else cut
 
 
