@@ -21,6 +21,7 @@ read, as a table on disk does. A difference is found and stops the job.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from palisade.llm.common import Hasher, bounded_batches, fresh, mix, text_slices
 #: Bytes of a repeat; starts among which a window's minimiser is chosen; bytes hashed at each.
 LENGTH, NEAR, GRAM = 400, 128, 8
 #: Bytes of a shard (a longer text is a shard of its own), and of text for each partition of the keys.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 PART_BYTES = 16 << 20
 
 _NEVER, _MIXED, _WHOLE, _SPEAKS = 0, 1, 2, 3
@@ -101,6 +102,16 @@ class Shard:
 
 
 _HASHERS = (Hasher(41), Hasher(43))
+_LIBC = ctypes.CDLL(None)
+
+
+def _release() -> None:
+    """Give what this worker's shards have grown back to the system; the next stage's worker is the same process."""
+    for hasher in _HASHERS:
+        hasher.size, hasher.power, hasher.back = 0, None, None
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,6 +131,7 @@ def _shards(batches: Iterator[pa.RecordBatch], at: int, length: int) -> Iterator
         for first, end, data, offsets in text_slices(batch.column(at), SHARD_BYTES):
             yield base + number, batch.slice(first, end - first), data, offsets
             number += 1
+    _release()
 
 
 _REQUEST = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -248,7 +260,10 @@ def spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, le
         if not len(starts):
             return _REQUEST.empty_table()
         keys, counts, _ = shard.window_keys(starts, own)
-        return pa.Table.from_batches(_sent(key[0].as_py(), keys, counts, parts), _REQUEST)
+        asked = pa.Table.from_batches(_sent(key[0].as_py(), keys, counts, parts), _REQUEST)
+        del shard, keys, counts, starts, own
+        _release()
+        return asked
 
     def end(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         row = texts.to_pylist()[0]
@@ -272,6 +287,8 @@ def spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, le
         edge[hit] += 1
         edge[hit + length] -= 1
         gone = np.cumsum(edge)[: len(data)] > 0
+        del shard, keys, counts, number, rounds, status, repeated, sure, again, starts, own, edge, hit
+        _release()
         kept = pa.ipc.open_stream(row["kept"]).read_all()
         results = [finish(data[a:b], gone[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
         fields = [f for f in made if f.name not in keep]

@@ -35,7 +35,7 @@ def test_stages_by_brute_force(spark, tmp_path):
     assert set(kept[1]) == set(firsts.values()) | {i for i, t, _ in rows if not words(t)}
 
     order = sorted(kept[1])
-    for i, (_, gone, _, _) in zip(order, repeated([kept[1][i] for i in order], 400), strict=True):
+    for i, (_, gone, _, _) in zip(order, repeated([kept[1][i] for i in order], corpus_pipeline.REPEAT_BYTES), strict=True):
         if not gone:
             assert kept[2][i] == kept[1][i]
         else:
