@@ -29,3 +29,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, written to the reliable checkpoint folder and read back from there."""
     _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def tabled(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the checkpoint folder: no lineage, and later reads take only the columns they need."""
+    path = fresh_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,7 +33,9 @@ class _Limiter(StatefulProcessor):
         kept = self.passes.get()[0] if self.passes.exists() else []
         history = deque(kept)
         ordered = pd.concat(rows).sort_values(["ts_us", "tie"])
-        ordered["admitted"] = admit(ordered["ts_us"].to_numpy(np.int64), history, self.limit, self.window_us)
+        admitted = np.zeros(len(ordered), bool)
+        admitted[admit(ordered["ts_us"].to_numpy(np.int64), history, self.limit, self.window_us)] = True
+        ordered["admitted"] = admitted
         self.passes.update((list(history),))
         yield ordered[["client", "tie", "ts_us", "admitted"]].astype({"client": object, "tie": object})
 
