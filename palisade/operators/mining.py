@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade import fixed_values as fx
 from palisade.functions.text import lit, strip
-from palisade.plans.checkpoints import checkpointed
+from palisade.plans.checkpoints import tabled
 
 
 def mask_line(column: str) -> str:
@@ -25,6 +25,9 @@ def mask_line(column: str) -> str:
 class Tree:
     """Drain clusters of lines with one token count; the first token picks the child node.
 
+    A line may itself be a template; its wildcards agree with nothing. A template of several lines keeps enough tokens to be
+    joined by its like, and two templates of one tree never join each other later on.
+
     Only a cluster that shares enough tokens with a line can take it. Such a cluster holds at least one of any n - need + 1
     of the line's n tokens, so the rarest of them, in an index by place and token, name all candidates.
     """
@@ -40,8 +43,8 @@ class Tree:
         need = max(1, ceil(self.similarity * len(tokens) - 1e-9))
         if self.similarity <= 0 or not tokens:
             return sorted(known)
-        posts = sorted((self.holders.get(key, ()) for key in enumerate(tokens)), key=len)
-        return sorted({i for post in posts[: len(tokens) - need + 1] for i in post if i in known})
+        posts = sorted((self.holders.get(key, ()) for key in enumerate(tokens) if key[1] != fx.WILDCARD), key=len)
+        return sorted({i for post in posts[: max(0, len(posts) - need + 1)] for i in post if i in known})
 
     def add(self, tokens: list[str]) -> int:
         """Join the most similar cluster of the child (more wildcards win a tie) or open a new one.
@@ -61,6 +64,11 @@ class Tree:
             self.templates[best] = [
                 a if a == b else fx.WILDCARD for a, b in zip(self.templates[best], tokens)]
             return best
+        return self.open(tokens)
+
+    def open(self, tokens: list[str]) -> int:
+        """A new cluster, whatever the others hold."""
+        head = tokens[0] if tokens else ""
         number = len(self.templates)
         self.templates.append(list(tokens))
         for key in enumerate(tokens):
@@ -76,41 +84,54 @@ class Tree:
         return fx.WILDCARD if any(c.isdigit() for c in head) or len(self.children) >= room else head
 
 
-_CLUSTERED = "leaf string, cluster long, masked string, template string"
+#: Distinct masked lines of one slice of a leaf. Up to so many, a leaf is clustered line by line.
+SLICE_LINES = 4096
+
+_CLUSTERED = "leaf string, slice int, cluster long, line string, template string"
 
 
 def _clusters(max_children: int):
-    """Lines in the order of leaf and first sight: one row per line with its cluster, and one per cluster when a leaf ends.
+    """Lines in the order of leaf, slice and first sight: one row per line with its cluster, and one per cluster when a slice ends.
 
-    A task holds the templates of one leaf, never its lines.
+    A task holds the templates of one slice, never its lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, tree = None, Tree(max_children)
+        current, tree = None, Tree(max_children)
 
         def ended() -> pa.RecordBatch:
             n = len(tree.templates)
-            return _clustered([leaf] * n, list(range(n)), [None] * n, [" ".join(t) for t in tree.templates])
+            return _clustered([current[0]] * n, [current[1]] * n, list(range(n)), [None] * n, [" ".join(t) for t in tree.templates])
 
         for batch in batches:
-            leaves, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            leaves, slices, lines = (c.to_pylist() for c in batch.columns)
             numbers: list[int] = []
-            for own, line in zip(leaves, lines):
-                if own != leaf:
+            for own, line in zip(zip(leaves, slices), lines):
+                if own != current:
                     if tree.templates:
                         yield ended()
-                    leaf, tree = own, Tree(max_children)
+                    current, tree = own, Tree(max_children)
                 numbers.append(tree.add(line.split()))
-            yield _clustered(leaves, numbers, lines, [None] * len(lines))
+            yield _clustered(leaves, slices, numbers, lines, [None] * len(lines))
         if tree.templates:
             yield ended()
 
     return run
 
 
-def _clustered(leaves: list, numbers: list, lines: list, templates: list) -> pa.RecordBatch:
-    columns = (pa.array(leaves, pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), pa.array(templates, pa.string()))
-    return pa.RecordBatch.from_arrays(list(columns), names=["leaf", "cluster", "masked", "template"])
+def _clustered(leaves: list, slices: list, numbers: list, lines: list, templates: list) -> pa.RecordBatch:
+    columns = (pa.array(leaves, pa.string()), pa.array(slices, pa.int32()), pa.array(numbers, pa.int64()), pa.array(lines, pa.string()),
+               pa.array(templates, pa.string()))
+    return pa.RecordBatch.from_arrays(list(columns), names=["leaf", "slice", "cluster", "line", "template"])
+
+
+def _generalised(rows: DataFrame, max_children: int) -> DataFrame:
+    """(leaf, slice, line, seen), clustered slice by slice in the order seen: leaf, slice, line, template, seen."""
+    ordered = rows.repartition("leaf", "slice").sortWithinPartitions("leaf", "slice", "seen", "line").select("leaf", "slice", "line")
+    found = tabled(ordered.mapInArrow(_clusters(max_children), _CLUSTERED))
+    ended = found.filter("line is null").select("leaf", "slice", "cluster", "template")
+    return found.filter("line is not null").drop("template").join(ended, ["leaf", "slice", "cluster"]).join(
+        rows.select("leaf", "line", "seen"), ["leaf", "line"]).select("leaf", "slice", "line", "template", "seen")
 
 
 def distinct_masked(lines: DataFrame, payload: str = "raw_payload", order: str = "ingest_ts") -> DataFrame:
@@ -147,14 +168,22 @@ def mine_templates(
 
     Templates: template_id (first-seen rank), template, size, sample. Assignment: masked,
     template. Lines are reduced to distinct masked lines first; groups that cannot meet in the
-    tree are clustered on their own, each in one pass in first-seen order.
+    tree are clustered on their own, each in first-seen order. A group of more than SLICE_LINES
+    distinct lines is dealt into slices: each gives partial templates, and these are clustered
+    in turn, so that the step that sees all of a group sees templates, not lines.
     """
     # The distinct lines are cut off here: filters of the next steps must not reach the raw lines.
-    masked = _with_leaf(checkpointed(distinct_masked(lines, payload, order)), max_children)
-    ordered = masked.repartition("leaf").sortWithinPartitions("leaf", "first_seen", "masked").select("leaf", "masked")
-    rows = checkpointed(ordered.mapInArrow(_clusters(max_children), _CLUSTERED))
-    ended = rows.filter("masked is null").select("leaf", "cluster", "template")
-    assigned = rows.filter("masked is not null").drop("template").join(ended, ["leaf", "cluster"]).select("masked", "template")
+    masked = _with_leaf(tabled(distinct_masked(lines, payload, order)), max_children)
+    slices = masked.groupBy("leaf").agg(F.expr(f"cast(ceil(count(*) / {SLICE_LINES}D) as int)").alias("slices"))
+    dealt = masked.join(slices, "leaf").selectExpr(
+        "leaf", "cast(pmod(xxhash64(masked), slices) as int) as slice", "masked as line", "first_seen as seen")
+    partial = tabled(_generalised(dealt, max_children).join(slices, "leaf"))
+    once = partial.filter("slices > 1").groupBy("leaf", "template").agg(F.min("seen").alias("seen"))
+    whole = _generalised(once.selectExpr("leaf", "0 as slice", "template as line", "seen"), max_children)
+    several = partial.filter("slices > 1").selectExpr("leaf", "line as masked", "template as part").join(
+        whole.selectExpr("leaf", "line as part", "template"), ["leaf", "part"])
+    assigned = tabled(several.select("masked", "template").union(
+        partial.filter("slices = 1").selectExpr("line as masked", "template")))
     found = masked.join(assigned, "masked").groupBy("template").agg(
         F.sum("lines").alias("size"), F.min("first_seen").alias("first_seen"),
         F.min_by("sample", F.struct("first_seen", "sample")).alias("sample"))

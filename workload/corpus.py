@@ -172,6 +172,24 @@ def third_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _render(_spread(events_table(spark, sf_dir)), "'cef'", THIRD_KINDS)
 
 
+#: Appliances that no parser knows: word, verb and last words of each one's lines.
+APPLIANCES = [
+    (f"unit{chr(97 + k)}", ("opened", "closed", "moved", "locked")[k % 4], ("by policy", "after a long wait", "now", "without any reason given here")[k // 6])
+    for k in range(24)
+]
+
+
+def appliance_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, appliance, raw_payload, ingest_ts: a third of the lines are the first appliance's. Letters spell the event's number."""
+    letters = "translate(cast({} as string), '0123456789', 'abcdefghij')"
+    arms = " ".join(
+        f"when {k} then concat('{word}: gate ', event_id % 50, ' {verb} for ', {letters.format('event_id')}, ' from ', src_ip, ' {rest}')"
+        for k, (word, verb, rest) in enumerate(APPLIANCES))
+    events = facts(_spread(events_table(spark, sf_dir))).selectExpr(
+        "*", f"cast(if(event_id % 3 = 0, 0, event_id % {len(APPLIANCES) - 1} + 1) as int) as appliance")
+    return events.selectExpr("event_id", "appliance", f"case appliance {arms} end as raw_payload", "ts as ingest_ts")
+
+
 def second_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, raw_payload, ingest_ts: LEEF, RFC 3164 and generic JSON lines."""
     return _render(_spread(events_table(spark, sf_dir)), "kind2", SECOND_KINDS)

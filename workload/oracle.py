@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from palisade import fixed_values as fx
 from palisade.functions.values import network_bounds
-from workload.corpus import facts_sql
+from workload.corpus import APPLIANCES, facts_sql
 from workload.expected import first, second
 from workload.queries import PARSED, PARSED2, PARSERS, PARSERS2, PHRASE, TERMS
 
@@ -84,6 +84,17 @@ _FACET_UNION = " union all ".join(
     f" order by events desc, value{' limit 10' if name in ('vendor', 'parser_used') else ''})"
     for name, x in _FACETS.items())
 
+def appliances(sql: str) -> str:
+    """SQL over the appliances' lines: event_id, appliance, template, ts, spelled, and the facts."""
+    names = ", ".join(
+        f"({k}, {_q(f'{word}: gate <NUM> {verb} for <*> from <IP> {rest}')})" for k, (word, verb, rest) in enumerate(APPLIANCES))
+    return (
+        f"with a as (select *, case when event_id % 3 = 0 then 0 else event_id % {len(APPLIANCES) - 1} + 1 end as appliance,"
+        f" translate(cast(event_id as varchar), '0123456789', 'abcdefghij') as spelled, {facts_sql()} from events),"
+        f" t as (select *, row_number() over (order by seen, template) as template_id from (select appliance, template, min(ts) as seen,"
+        f" count(*) as size from a join (values {names}) as n(appliance, template) using (appliance) group by 1, 2)) {sql}")
+
+
 ORACLE = {
     "detect_format_counts": first(
         "select detected_format, vendor, product, count(*) as lines from e group by all"),
@@ -239,6 +250,7 @@ ORACLE = {
     "mask_documents": f"select doc_id, md5({_masked('text')}) as masked_md5 from documents",
     "mine_templates": first(
         f"select 1 as template_id, {_q(_TEMPLATE)} as template, count(*) as size from e where {_UNKNOWN}"),
+    "appliance_templates": appliances("select cast(template_id as int) as template_id, template, size from t"),
     "template_params": first(
         f"select line_id, 1 as template_id, concat_ws('|', {_LINE_TIME}, line_id % 20, raw_src_ip, raw_src_port,"
         " raw_dst_ip, raw_dst_port, case when blocked then 'ACTION=DENY' else 'ACTION=ALLOW' end, raw_bytes_in,"

@@ -27,7 +27,7 @@ from palisade.plans.checkpoints import checkpointed, fresh_folder
 from palisade.plans.ingest import process_envelopes, run, with_step
 from palisade.sources.archive import archive_raw, dataset_manifest, lake_files, read_raw_archive, verify_integrity
 from palisade.sources.logs import from_dataframe
-from workload.corpus import corpus, events_table, second_corpus, third_corpus
+from workload.corpus import appliance_corpus, corpus, events_table, second_corpus, third_corpus
 
 _RUN = dict(position="event_id", ingest_ts="ingest_ts", document=False)
 
@@ -402,6 +402,11 @@ def templates(spark, sf_dir):
     return mine_templates(_waiting(spark, sf_dir))[0].select("template_id", "template", "size")
 
 
+def appliance_templates(spark, sf_dir):
+    """Two dozen appliances, one of them with a third of the lines."""
+    return mine_templates(appliance_corpus(spark, sf_dir))[0].select("template_id", "template", "size")
+
+
 def template_params(spark, sf_dir):
     lines = _waiting(spark, sf_dir)
     return match_template(lines, mine_templates(lines)[0]).selectExpr(
@@ -465,6 +470,7 @@ QUERIES = {
     "mask_lines": mask_lines,
     "mask_documents": mask_documents,
     "mine_templates": templates,
+    "appliance_templates": appliance_templates,
     "template_params": template_params,
     "infer_fields": inferred_fields,
 }
