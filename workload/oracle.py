@@ -41,6 +41,12 @@ def _uuid(position: str, payload: str) -> str:
         f" substring({h}, 16, 3), '-', substring({h}, 19, 12))")
 
 
+def _uuid_of(text: str) -> str:
+    h = f"sha256({text})"
+    return (f"concat(substring({h}, 1, 8), '-', substring({h}, 9, 4), '-8', substring({h}, 13, 3), '-a', substring({h}, 16, 3), '-',"
+            f" substring({h}, 19, 12))")
+
+
 def _percentile(column: str, q: float) -> str:
     return f"list_sort(list({column}))[cast(floor(count(*) * {q}) as bigint) + 1]"
 
@@ -251,6 +257,10 @@ ORACLE = {
     "mine_templates": first(
         f"select 1 as template_id, {_q(_TEMPLATE)} as template, count(*) as size from e where {_UNKNOWN}"),
     "appliance_templates": appliances("select cast(template_id as int) as template_id, template, size from t"),
+    "session_merge": appliances(
+        "select " + _uuid_of("if(appliance < 20, template, replace(template, ': gate ', ': <*> '))") + " as session_id,"
+        " replace(template, ': gate ', ': <*> ') as template, size, if(appliance = 1, 'REJECTED', 'PENDING') as status,"
+        " cast(least(20, size) as int) as samples, if(appliance = 0, '1:gate_number', '') as reviewed, '<*> <NUM> <*> <IP>' as placeholders from t"),
     "template_params": first(
         f"select line_id, 1 as template_id, concat_ws('|', {_LINE_TIME}, line_id % 20, raw_src_ip, raw_src_port,"
         " raw_dst_ip, raw_dst_port, case when blocked then 'ACTION=DENY' else 'ACTION=ALLOW' end, raw_bytes_in,"

@@ -18,10 +18,11 @@ from palisade.operators.metrics import (
 )
 from palisade.operators.mining import mask_line, match_template, mine_templates
 from palisade.operators.ocsf import flatten_events, lean_document
-from palisade.operators.onboarding import empty_catalogue, load_definitions, onboarding_sessions, publish
+from palisade.operators.onboarding import empty_catalogue, load_definitions, onboarding_sessions, publish, reject, update_mapping
 from palisade.operators.parsers import Definition
 from palisade.operators.ratelimit import rate_limit
 from palisade.operators.search import facet_counts, matching, search, totals
+from palisade.operators.sessions import merge_sessions
 from palisade.operators.sinks import dedupe_events, latest_per_key, upsert_events
 from palisade.plans.checkpoints import checkpointed, fresh_folder
 from palisade.plans.ingest import process_envelopes, run, with_step
@@ -407,6 +408,23 @@ def appliance_templates(spark, sf_dir):
     return mine_templates(appliance_corpus(spark, sf_dir))[0].select("template_id", "template", "size")
 
 
+def session_merge(spark, sf_dir):
+    """Two batches: the second widens the templates of the first, whose sessions a reviewer has touched, and brings new ones."""
+    lines = appliance_corpus(spark, sf_dir).withColumn("raw_payload", F.expr(
+        "if(event_id % 2 = 1, replace(raw_payload, ': gate ', ': door '), raw_payload)"))
+    early = "event_id % 2 = 0 and appliance < 20"
+    sessions = checkpointed(onboarding_sessions(lines.filter(early)))
+    ids = {r["word"]: r["session_id"] for r in sessions.selectExpr(
+        "substring_index(discovered_template, ':', 1) as word", "session_id").collect()}
+    sessions = update_mapping(sessions, ids["unita"], 0, "gate_number", "integer")
+    sessions, _ = reject(sessions, ids["unitb"], "noise", "reviewer")
+    merged = merge_sessions(checkpointed(sessions), lines.filter(f"not ({early})"))
+    return merged.selectExpr(
+        "session_id", "discovered_template as template", "size", "status", "size(raw_sample_logs) as samples",
+        "array_join(transform(filter(variables, v -> v.confidence = 1), v -> concat(v.var_index, ':', v.suggested_ocsf_field)), ',') as reviewed",
+        "array_join(transform(variables, v -> v.placeholder), ' ') as placeholders")
+
+
 def template_params(spark, sf_dir):
     lines = _waiting(spark, sf_dir)
     return match_template(lines, mine_templates(lines)[0]).selectExpr(
@@ -471,6 +489,7 @@ QUERIES = {
     "mask_documents": mask_documents,
     "mine_templates": templates,
     "appliance_templates": appliance_templates,
+    "session_merge": session_merge,
     "template_params": template_params,
     "infer_fields": inferred_fields,
 }
