@@ -194,22 +194,37 @@ def mine_templates(
     return ids, assigned
 
 
+def template_postings(templates: DataFrame) -> DataFrame:
+    """Each template under one key, the rarest of its fixed tokens: token_count, at, token, and what a check needs.
+
+    A line that a template fits holds all its fixed tokens, so also the one that fewest templates hold there. A template of
+    wildcards alone stands under its number of tokens.
+    """
+    blanks = lit(r"\s+")
+    split = templates.selectExpr("template_id", "template", f"split(template, {blanks}) as t").selectExpr(
+        "template_id", "template", "size(t) as token_count", "size(filter(t, x -> x = '<*>')) as wild",
+        "filter(transform(t, (x, i) -> struct(i as at, x as token)), f -> f.token != '<*>') as fixed")
+    posted = split.selectExpr("template_id", "token_count", "inline_outer(fixed)")
+    rarity = posted.groupBy("token_count", "at", "token").agg(F.count("*").alias("holders"))
+    rarest = posted.filter("at is not null").join(rarity, ["token_count", "at", "token"]).groupBy("template_id").agg(
+        F.min(F.struct("holders", "at", "token")).alias("key"))
+    return split.join(rarest, "template_id", "left").selectExpr(
+        "token_count", "coalesce(key.at, -1) as at", "coalesce(key.token, '') as token", "template_id", "template", "wild", "fixed")
+
+
 def match_template(lines: DataFrame, templates: DataFrame, payload: str = "raw_payload") -> DataFrame:
     """template_id, template and parameter list of each line, null when no template fits.
 
-    Lines meet templates on token count and first token, both equality keys; of the fitting
-    templates the one with the fewest wildcards, then the smallest id, wins.
+    Distinct masked lines meet templates on the template's rarest token, see ``template_postings``; of the
+    fitting templates the one with the fewest wildcards, then the smallest id, wins.
     """
     blanks = lit(r"\s+")
-    tokens = "transform(filter(sequence(0, size(t) - 1), i -> t[i] != '<*>'), i -> struct(i as at, t[i] as token))"
-    fixed = templates.selectExpr(
-        "template_id", "template", f"split(template, {blanks}) as t").selectExpr(
-        "template_id", "template", "size(t) as token_count", "t[0] as head",
-        f"{tokens} as fixed", "size(filter(t, x -> x = '<*>')) as wild")
     rows = lines.selectExpr("*", f"{mask_line(payload)} as masked")
     distinct = rows.select("masked").distinct().selectExpr("masked", f"split(masked, {blanks}) as m")
-    keyed = distinct.selectExpr("masked", "m", "size(m) as token_count", f"inline(array(struct(m[0] as head), struct({lit(fx.WILDCARD)} as head)))")
-    hits = keyed.join(fixed, ["token_count", "head"]).filter("forall(fixed, f -> m[f.at] = f.token)")
+    keyed = distinct.selectExpr(
+        "masked", "m", "size(m) as token_count",
+        "inline(concat(array(struct(-1 as at, '' as token)), transform(m, (x, i) -> struct(i as at, x as token))))")
+    hits = keyed.join(template_postings(templates), ["token_count", "at", "token"]).filter("forall(fixed, f -> m[f.at] = f.token)")
     best = hits.groupBy("masked").agg(
         F.min(F.struct("wild", "template_id", "template")).alias("b")).selectExpr(
         "masked", "b.template_id as template_id", "b.template as template")

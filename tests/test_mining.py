@@ -57,3 +57,22 @@ def test_templates_join_their_like_and_no_other_of_their_tree():
     placed = [merged.add(list(t)) for tree in (one, two) for t in tree.templates]
     assert collections.Counter(placed) == {0: 2, 1: 2}
     assert [" ".join(t) for t in merged.templates] == ["a b <*> d <*>", "a z y <*> <*>"]
+
+
+def test_thousands_of_templates_under_their_rarest_tokens(spark):
+    # all share the head; every one has a token of its own, some are all wildcards but one
+    templates = spark.range(5000).selectExpr(
+        "cast(id as int) as template_id", f"concat('head <*> of ', {LETTERS.format('id')}, ' <*> end') as template").union(
+        spark.createDataFrame([(5000, "<*> <*> <*>"), (5001, "head <*> <*> <*> <*> end"), (5002, "a <*> c"), (5003, "<*> b <*>")], "template_id int, template string"))
+    postings = mining.template_postings(templates)
+    assert postings.count() == 5004
+    # nearly every template stands alone under its key
+    assert postings.groupBy("token_count", "at", "token").count().filter("count > 2").count() == 0
+    lines = spark.createDataFrame([
+        ("head x of bcd y end",), ("head x of zzz y end",), ("a b c",), ("p q r",), ("a q c",), ("p b r",), ("no template at all fits",), ("",)],
+        "raw_payload string")
+    found = {r.raw_payload: (r.template_id, r.parameters) for r in mining.match_template(lines, templates).collect()}
+    assert found == {
+        "head x of bcd y end": (123, ["x", "y"]), "head x of zzz y end": (5001, ["x", "of", "zzz", "y"]), "a b c": (5002, ["b"]),
+        "p q r": (5000, ["p", "q", "r"]), "a q c": (5002, ["q"]), "p b r": (5003, ["p", "r"]), "no template at all fits": (None, None),
+        "": (None, None)}

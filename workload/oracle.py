@@ -257,6 +257,9 @@ ORACLE = {
     "mine_templates": first(
         f"select 1 as template_id, {_q(_TEMPLATE)} as template, count(*) as size from e where {_UNKNOWN}"),
     "appliance_templates": appliances("select cast(template_id as int) as template_id, template, size from t"),
+    "appliance_params": appliances(
+        "select event_id, cast(template_id as int) as template_id, concat_ws('|', event_id % 50, spelled, src_ip) as parameters"
+        " from a join t using (appliance)"),
     "session_merge": appliances(
         "select " + _uuid_of("if(appliance < 20, template, replace(template, ': gate ', ': <*> '))") + " as session_id,"
         " replace(template, ': gate ', ': <*> ') as template, size, if(appliance = 1, 'REJECTED', 'PENDING') as status,"

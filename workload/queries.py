@@ -408,6 +408,13 @@ def appliance_templates(spark, sf_dir):
     return mine_templates(appliance_corpus(spark, sf_dir))[0].select("template_id", "template", "size")
 
 
+def appliance_params(spark, sf_dir):
+    """Every line's template and parameters, over two dozen templates."""
+    lines = appliance_corpus(spark, sf_dir)
+    return match_template(lines, mine_templates(lines)[0]).selectExpr(
+        "event_id", "template_id", "array_join(parameters, '|') as parameters")
+
+
 def session_merge(spark, sf_dir):
     """Two batches: the second widens the templates of the first, whose sessions a reviewer has touched, and brings new ones."""
     lines = appliance_corpus(spark, sf_dir).withColumn("raw_payload", F.expr(
@@ -489,6 +496,7 @@ QUERIES = {
     "mask_documents": mask_documents,
     "mine_templates": templates,
     "appliance_templates": appliance_templates,
+    "appliance_params": appliance_params,
     "session_merge": session_merge,
     "template_params": template_params,
     "infer_fields": inferred_fields,
