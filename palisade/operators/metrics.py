@@ -35,6 +35,52 @@ def events_per_second(events: DataFrame, ts: str, seconds: int = 5) -> DataFrame
         "unix_millis(w.start) as window_start_ms", "events", f"round(events / {float(seconds)}D, 1) as eps")
 
 
+#: Windows of one slot of time, the part of a trailing rate that one task orders.
+_SLOT_WINDOWS = 64
+
+
+def trailing_rate(events: DataFrame, ts: str, seconds: int = 5) -> DataFrame:
+    """At every time with an event: events of the last ``seconds`` (both ends count) and their rate: ts_us, events, eps.
+
+    Times are counted first, so a busy instant is one row. The time line is cut into slots; each gets the end of the slot before as
+    context, so that no task orders all events.
+    """
+    window = seconds * 1_000_000
+    width = _SLOT_WINDOWS * window
+    counted = events.selectExpr(f"unix_micros({ts}) as us").filter("us is not null").groupBy("us").agg(F.count("*").alias("c"))
+    slot = f"us div {width} - if(us % {width} < 0, 1, 0)"
+    placed = counted.selectExpr("us", "c", f"{slot} as slot").selectExpr(
+        "us", "c", f"inline(filter(array(struct(slot, true as own), struct(slot + 1 as slot, false as own)),"
+                   f" s -> s.own or us >= (slot + 1) * {width} - {window}))")
+    summed = placed.selectExpr(
+        "us", "own", f"sum(c) over (partition by slot order by us range between {window} preceding and current row) as events")
+    return summed.filter("own").selectExpr(
+        "us as ts_us", "events", f"round(events / {float(seconds)}D, 1) as eps")
+
+
+def service_counters(
+    processed: DataFrame, errors: DataFrame, catalogue: DataFrame, sessions: DataFrame, ledger: DataFrame
+) -> DataFrame:
+    """One row: the pipeline's counters, unresolved dead letters, active parsers (built in and published), review sessions, and
+    deliveries by state."""
+    from palisade.operators.deadletter import list_errors
+    from palisade.operators.delivery import latest_ledger
+    from palisade.operators.onboarding import list_parsers
+
+    states = latest_ledger(ledger).selectExpr(
+        "count_if(state not in ('DELIVERY_COMPLETE', 'DEAD_LETTER')) as outbox_pending_count",
+        "count_if(state = 'FAILED_RETRYABLE') as outbox_failed_count", "count_if(state = 'DEAD_LETTER') as dlq_count",
+        "count_if(state = 'DELIVERY_COMPLETE') as outbox_complete_count")
+    row = pipeline_counters(processed)
+    for other in (
+        list_errors(errors, status="UNRESOLVED").selectExpr("count(*) as unresolved_errors_count"),
+        list_parsers(catalogue).selectExpr("count_if(status = 'ACTIVE') as active_parsers_count"),
+        sessions.selectExpr("count(*) as onboarding_sessions_count"), states,
+    ):
+        row = _beside(row, other)
+    return row
+
+
 def exact_percentiles(
     df: DataFrame, value: str, by: list[str], quantiles: dict[str, float]
 ) -> DataFrame:

@@ -281,6 +281,34 @@ def publish(
     return entry, published, audit
 
 
+def publish_pending(
+    sessions: DataFrame, catalogue: DataFrame, reviewed_by: str, version: str = "1.0.0"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Publish every PENDING session under the name of its vendor and product: catalogue rows to append, sessions, audit rows.
+
+    A name that two of them share, or that an ACTIVE parser of this version holds, is an error.
+    """
+    name = "concat(lower(vendor), '-', lower(product), '-parser')"
+    pending = sessions.filter("status = 'PENDING'").selectExpr("*", f"{name} as parser_id")
+    held = catalogue.filter((F.col("version") == version) & (F.col("status") == "ACTIVE")).select("parser_id")
+    taken = pending.groupBy("parser_id").count().filter("count > 1").select("parser_id").union(
+        pending.join(held, "parser_id", "left_semi").select("parser_id")).first()
+    if taken is not None:
+        raise ValueError(f"Parser {taken.parser_id}:{version} is taken. Publish a new version or name it by hand.")
+    entries = pending.selectExpr(
+        "parser_id", f"{lit(version)} as version", "vendor", "product", "pattern", "names as groups", "rules", "target_class_uid",
+        "'ACTIVE' as status", f"{lit(reviewed_by)} as author", "get(raw_sample_logs, 0) as sample_raw", "current_timestamp() as registered_at")
+    # One row for each log format a reviewer approves.
+    audit = audit_rows(sessions.sparkSession, [dict(
+        user=reviewed_by, role="REVIEWER", action="ONBOARDING_APPROVED_AND_PUBLISHED", resource_type="PARSER",
+        resource_id=f"{r.parser_id}:{version}", details={
+            "session_id": r.session_id, "template": r.discovered_template, "rules_count": r.n, "waiting_events_count": r["size"]})
+        for r in pending.selectExpr("parser_id", "session_id", "discovered_template", "size", "size(rules) as n").collect()])
+    done = {"status": "'PUBLISHED'", "reviewed_by": lit(reviewed_by), "published_parser_id": name, "published_version": lit(version)}
+    published = sessions.selectExpr(*[f"if(status = 'PENDING', {done[c]}, {c}) as {c}" if c in done else c for c in sessions.columns])
+    return entries, published, audit
+
+
 def latest_parser(catalogue: DataFrame, parser_id: str) -> DataFrame:
     """The entry registered last, whatever its version number."""
     return catalogue.filter(F.col("parser_id") == parser_id).orderBy(F.desc("registered_at")).limit(1)

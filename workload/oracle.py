@@ -91,17 +91,81 @@ _FACET_UNION = " union all ".join(
     for name, x in _FACETS.items())
 
 def appliances(sql: str) -> str:
-    """SQL over the appliances' lines: event_id, appliance, template, ts, spelled, and the facts."""
+    """SQL over the appliances' lines: l (event_id, appliance, template, raw, ts, spelled and the facts) and t, one row per template."""
     names = ", ".join(
-        f"({k}, {_q(f'{word}: gate <NUM> {verb} for <*> from <IP> {rest}')})" for k, (word, verb, rest) in enumerate(APPLIANCES))
+        f"({k}, {_q(f'{word}: gate <NUM> {verb} for <*> from <IP> {rest}')}, {_q(word)}, {_q(verb)}, {_q(rest)})"
+        for k, (word, verb, rest) in enumerate(APPLIANCES))
     return (
         f"with a as (select *, case when event_id % 3 = 0 then 0 else event_id % {len(APPLIANCES) - 1} + 1 end as appliance,"
         f" translate(cast(event_id as varchar), '0123456789', 'abcdefghij') as spelled, {facts_sql()} from events),"
-        f" t as (select *, row_number() over (order by seen, template) as template_id from (select appliance, template, min(ts) as seen,"
-        f" count(*) as size from a join (values {names}) as n(appliance, template) using (appliance) group by 1, 2)) {sql}")
+        " l as (select *, concat(word, ': gate ', event_id % 50, ' ', verb, ' for ', spelled, ' from ', src_ip, ' ', rest) as raw"
+        f" from a join (values {names}) as n(appliance, template, word, verb, rest) using (appliance)),"
+        " t as (select *, row_number() over (order by seen, template) as template_id from (select appliance, template, min(ts) as seen,"
+        f" count(*) as size from l group by 1, 2)) {sql}")
+
+
+def _samples(column: str) -> str:
+    """The first distinct values of a variable per template, in the order seen."""
+    return (f"(select template, string_agg(v, '|' order by seen, v) as values_ from (select template, cast({column} as varchar) as v,"
+            f" min(ts) as seen from l group by 1, 2 qualify row_number() over (partition by template order by min(ts), v) <= {fx.DISCOVERED_SAMPLES})"
+            " group by 1)")
+
+
+_BUILT_IN = ", ".join(f"({_q(p)}, {_q(v)}, {_q(d)})" for p, v, d, _ in fx.BUILT_IN_PARSERS)
+_APPLIANCE_PARSER = "concat('custom-appliance-device-model-', template_id, '-parser')"
+_MERGED = ("select event_id, event_type, value + case when event_id % 5 = 0 then 2 when event_id % 3 = 0 then 1 else 0 end as value,"
+           " cast(case when event_id % 5 = 0 then 3 when event_id % 3 = 0 then 2 else 1 end as int) as batch from events")
+STORED_SQL = {
+    "event_table": _MERGED,
+    "event_lookup": f"select event_id, value, batch from ({_MERGED}) where event_id in (select doc_id from labels)",
+    "archive_index_lookup": "select doc_id, cast(strlen(text) as int) as byte_length,"
+                            " strftime(date '2026-01-01' + cast(doc_id % 40 as int), '%Y-%m-%d') as day from documents"
+                            " where trim(text) != '' and doc_id in (select doc_id from labels)",
+    "trailing_rate": "select distinct epoch_us(ts) as ts_us, n as events, round(n / 1800.0::double, 1) as eps from (select ts, count(*) over"
+                     " (order by ts range between interval 1800 seconds preceding and current row) as n from events)",
+    "log_files": appliances("select raw as raw_payload, 'Acme' as vendor_hint, 'file' as transport, 2 as lines, 2 as places from l"),
+    "json_files": appliances(
+        "select case when event_id % 2 = 0 then raw else concat('{\"event\":', event_id, ',\"line\":\"', raw, '\"}') end as raw_payload,"
+        " 2 as times from l"),
+    "dead_letters_listed": first(
+        f"select letters, case when {_UNKNOWN} then 'UNRESOLVED' else 'REPLAYED' end as status,"
+        f" cast(case when {_UNKNOWN} then 0 else 1 end as int) as replay_count, count(*) as records from e, (values ('all'), ('kept')) as v(letters)"
+        f" where error_stage is not null and (letters = 'all' or {_UNKNOWN}) group by all"),
+    "lake_readback": first(
+        "select line_id, time_epoch, vendor, coalesce(src_ip, '') as src_ip, coalesce(dst_ip, '') as dst_ip, disposition_id,"
+        f" strftime(make_timestamp(time_epoch * 1000), '%Y-%m-%d') as day from e where {GOOD}"),
+    "dry_run": appliances(
+        "select event_id, own, own as success, 'cef-standard-parser' as parser_used, case when own then src_ip end as src_ip,"
+        " cast(case when own then dst_port end as bigint) as dst_port from l, (values (true), (false)) as v(own)"),
+    "field_samples": appliances(
+        "select template, name, placeholder, ocsf_field, values_ as sample_values from ("
+        f" select template, 'num_0' as name, '<NUM>' as placeholder, 'unmapped_num_0' as ocsf_field, values_ from {_samples('event_id % 50')}"
+        f" union all select template, 'var_1', '<*>', 'unmapped_var_1', values_ from {_samples('spelled')}"
+        f" union all select template, 'ip_2', '<IP>', 'src_ip', values_ from {_samples('src_ip')})"),
+    "sessions_listed": appliances(
+        "select listed, template, case when appliance = 3 then 'reviewer' else '' end as reviewed_by,"
+        " case when appliance = 2 then 'src_ip_seen|src_ip_seen|trim' else 'src_ip|src_ip' end as third from t,"
+        " (values ('pending'), ('rejected'), ('one')) as v(listed) where case listed when 'pending' then appliance <> 3"
+        " when 'rejected' then appliance = 3 else appliance = 2 end"),
+    "catalogue_listed": appliances(
+        f"select {_APPLIANCE_PARSER} as parser_id, '1.0.0' as version, 'Custom-Appliance' as vendor,"
+        " concat('Device-Model-', template_id) as product, 'drain3_template' as kind, 'ACTIVE' as status, template_id = 1 as looked_up,"
+        f" 'reviewer' as approved_by from t union all select p, '1.0.0', v, d, 'native', 'ACTIVE', false, '' from (values {_BUILT_IN}) as b(p, v, d)"),
+    "appliance_parse": appliances(
+        f"select event_id, {_APPLIANCE_PARSER} as parser_used, src_ip, '' as error_stage, 'Custom-Appliance' as meta_vendor"
+        " from l join t using (appliance)"),
+    "service_counters": first(
+        f"select count(*) as total_ingested, count(*) filter (where {GOOD}) as total_normalized,"
+        f" count(*) filter (where kind in ('blank', 'bad_ip')) as total_errors, count(*) filter (where {_UNKNOWN}) as total_unknowns,"
+        f" count(*) filter (where {_UNKNOWN}) as unresolved_errors_count, {len(fx.BUILT_IN_PARSERS) + len(APPLIANCES)} as active_parsers_count,"
+        f" {len(APPLIANCES)} as onboarding_sessions_count, count(*) filter (where line_id % 4 = 0 or line_id % 3 = 0) as outbox_pending_count,"
+        " count(*) filter (where line_id % 4 = 0 or line_id % 3 = 0) as outbox_failed_count, 0 as dlq_count,"
+        " count(*) filter (where line_id % 4 != 0 and line_id % 3 != 0) as outbox_complete_count from e"),
+}
 
 
 ORACLE = {
+    **STORED_SQL,
     "detect_format_counts": first(
         "select detected_format, vendor, product, count(*) as lines from e group by all"),
     "route_parser_counts": first("select parser_used, count(*) as lines from e group by all"),
@@ -259,7 +323,7 @@ ORACLE = {
     "appliance_templates": appliances("select cast(template_id as int) as template_id, template, size from t"),
     "appliance_params": appliances(
         "select event_id, cast(template_id as int) as template_id, concat_ws('|', event_id % 50, spelled, src_ip) as parameters"
-        " from a join t using (appliance)"),
+        " from l join t using (appliance)"),
     "session_merge": appliances(
         "select " + _uuid_of("if(appliance < 20, template, replace(template, ': gate ', ': <*> '))") + " as session_id,"
         " replace(template, ': gate ', ': <*> ') as template, size, if(appliance = 1, 'REJECTED', 'PENDING') as status,"

@@ -29,6 +29,7 @@ from palisade.plans.ingest import process_envelopes, run, with_step
 from palisade.sources.archive import archive_raw, dataset_manifest, lake_files, read_raw_archive, verify_integrity
 from palisade.sources.logs import from_dataframe
 from workload.corpus import appliance_corpus, corpus, events_table, second_corpus, third_corpus
+from workload.stored import STORED
 
 _RUN = dict(position="event_id", ingest_ts="ingest_ts", document=False)
 
@@ -500,4 +501,5 @@ QUERIES = {
     "session_merge": session_merge,
     "template_params": template_params,
     "infer_fields": inferred_fields,
+    **STORED,
 }
