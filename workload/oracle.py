@@ -124,6 +124,8 @@ STORED_SQL = {
     "trailing_rate": "select distinct epoch_us(ts) as ts_us, n as events, round(n / 1800.0::double, 1) as eps from (select ts, count(*) over"
                      " (order by ts range between interval 1800 seconds preceding and current row) as n from events)",
     "log_files": appliances("select raw as raw_payload, 'Acme' as vendor_hint, 'file' as transport, 2 as lines, 2 as places from l"),
+    "capture_files": appliances(
+        "select concat('<13>', raw, ' é') as raw_payload, 'tcp' as transport, 1 as times, 1 as places from l"),
     "json_files": appliances(
         "select case when event_id % 2 = 0 then raw else concat('{\"event\":', event_id, ',\"line\":\"', raw, '\"}') end as raw_payload,"
         " 2 as times from l"),

@@ -18,6 +18,7 @@ from palisade.plans.checkpoints import checkpointed, fresh_folder
 from palisade.plans.ingest import run
 from palisade.sources.archive import archive_raw
 from palisade.sources.archiveindex import lookup, update_index
+from palisade.sources.captures import read_captures
 from palisade.sources.logs import from_dataframe, read_json_array_files, read_log_files, read_log_lines
 from workload.corpus import appliance_corpus, corpus, events_table, third_corpus
 
@@ -76,6 +77,19 @@ def log_files(spark, sf_dir):
         "raw_payload", "vendor_hint", "transport").agg(F.count("*").alias("lines"), F.count_distinct("place").alias("places"))
 
 
+def capture_files(spark, sf_dir):
+    """The appliances' lines as sent over 24 connections, every other one octet-counted, and read as captures."""
+    folder = fresh_folder(spark, "captures")
+    # Spark writes text files only; a frame's count and its line end make the capture, the folder of a client its connection.
+    lines = appliance_corpus(spark, sf_dir).selectExpr(
+        "appliance", "concat('<13>', raw_payload, ' é') as m", "event_id").selectExpr(
+        "appliance", "if(event_id % 2 = 0, concat(octet_length(m), ' ', m), m) as frame")
+    packed = lines.groupBy("appliance").agg(F.array_join(F.collect_list("frame"), "\n").alias("value")).repartition(24, "appliance")
+    packed.write.partitionBy("appliance").text(folder)
+    return read_captures(spark, folder).groupBy("raw_payload", "transport").agg(
+        F.count("*").alias("times"), F.count_distinct("source_position").alias("places"))
+
+
 def json_files(spark, sf_dir):
     """The same lines as JSON arrays, some elements as texts and some as objects, one file for each appliance."""
     folder = fresh_folder(spark, "json")
@@ -196,6 +210,7 @@ STORED = {
     "archive_index_lookup": archive_index_lookup,
     "trailing_rate": trailing_rates,
     "log_files": log_files,
+    "capture_files": capture_files,
     "json_files": json_files,
     "dead_letters_listed": dead_letters_listed,
     "lake_readback": lake_readback,
