@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fx
+from palisade.functions.stem import stem
 from palisade.functions.text import lit
 
 _WORD_GAP = r"[^\p{L}\p{N}]+"
@@ -38,6 +39,33 @@ def terms_match(column: str, query: str) -> str:
     return f"arrays_overlap(split(lower(coalesce({column}, '')), {lit(_WORD_GAP)}), array({wanted}))"
 
 
+def _beginnings(words: list[str]) -> list[str]:
+    """What every word of the same stem begins with: stemming changes a stem's last two letters at most."""
+    stems = [stem(lit(w)) for w in words]
+    return [f"left({s}, greatest(1, length({s}) - 2))" for s in stems]
+
+
+def stemmed_phrase_match(column: str, phrase: str) -> str:
+    """Whether words of the phrase's stems occur one after the other.
+
+    A text is first searched for words that begin as the phrase's stems do; only what is found there is stemmed.
+    """
+    wanted = _words(phrase)
+    if not wanted:
+        return "false"
+    word = r"[\p{L}\p{N}]"
+    parts = f", {lit(word + '*+' + _WORD_GAP)}, ".join(_beginnings(wanted))
+    pattern = f"concat({lit(f'(?<!{word})(?=(')}, {parts}, {lit(f'{word}*+))')})"
+    stems = f"array({', '.join(stem(lit(w)) for w in wanted)})"
+    found = f"regexp_extract_all(lower(coalesce({column}, '')), {pattern}, 1)"
+    return f"exists({found}, c -> transform(split(c, {lit(_WORD_GAP)}), x -> {stem('x')}) = {stems})"
+
+
+def stemmed_terms_match(column: str, query: str) -> str:
+    """Whether a word of the stem of any of the query's words occurs."""
+    return " or ".join(f"({stemmed_phrase_match(column, w)})" for w in dict.fromkeys(_words(query))) or "false"
+
+
 def matching(
     events: DataFrame,
     query: str | None = None,
@@ -51,8 +79,12 @@ def matching(
     ip_match: str = "contains",
     query_mode: str = "phrase",
     text_columns: tuple[str, ...] = ("raw_payload",),
+    stemmed: bool = False,
 ) -> DataFrame:
-    """All rows that fit. Equality facets reach the Parquet scan as pushed filters."""
+    """All rows that fit. Equality facets reach the Parquet scan as pushed filters.
+
+    ``text_columns`` are columns or SQL over them (``to_json(ocsf)`` is the event's OCSF text); the query may stand in any of them.
+    """
     facets = {
         "vendor": vendor or None, "product": product or None, "detected_format": detected_format or None,
         "severity_id": severity_id, "disposition": disposition or None,
@@ -65,7 +97,8 @@ def matching(
             column = F.col(name)
             events = events.filter(column.contains(value) if ip_match == "contains" else column == value)
     if query and query.strip():
-        match = phrase_match if query_mode == "phrase" else terms_match
+        plain, by_stem = (phrase_match, stemmed_phrase_match) if query_mode == "phrase" else (terms_match, stemmed_terms_match)
+        match = by_stem if stemmed else plain
         events = events.filter(" or ".join(match(c, query.strip().strip('"')) for c in text_columns))
     return events
 

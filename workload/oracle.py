@@ -133,6 +133,11 @@ STORED_SQL = {
         f"select letters, case when {_UNKNOWN} then 'UNRESOLVED' else 'REPLAYED' end as status,"
         f" cast(case when {_UNKNOWN} then 0 else 1 end as int) as replay_count, count(*) as records from e, (values ('all'), ('kept')) as v(letters)"
         f" where error_stage is not null and (letters = 'all' or {_UNKNOWN}) group by all"),
+    # Class names stand in the OCSF text alone; forms of deny in lines that say so.
+    "search_stems": first(
+        f"select line_id, 'phrase' as query from e where {GOOD} and class_uid = 4001 union all"
+        f" select line_id, 'terms' from e where {GOOD} and (class_uid = 2001 or lower(coalesce(action, '')) in ('deny', 'denied')"
+        " or kind = 'squid' and blocked or kind = 'asa_deny')"),
     "lake_readback": first(
         "select line_id, time_epoch, vendor, coalesce(src_ip, '') as src_ip, coalesce(dst_ip, '') as dst_ip, disposition_id,"
         f" strftime(make_timestamp(time_epoch * 1000), '%Y-%m-%d') as day from e where {GOOD}"),

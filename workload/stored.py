@@ -13,6 +13,7 @@ from palisade.operators.metrics import service_counters, trailing_rate
 from palisade.operators.onboarding import (
     empty_catalogue, latest_parser, list_parsers, list_sessions, load_definitions, onboarding_sessions, publish_pending, reject, update_mapping)
 from palisade.operators.parse import parse_with
+from palisade.operators.search import matching
 from palisade.operators.sinks import read_lake, write_lake
 from palisade.plans.checkpoints import checkpointed, fresh_folder
 from palisade.plans.ingest import run
@@ -124,6 +125,15 @@ def dead_letters_listed(spark, sf_dir):
     return counted(f"{folder}/letters", "all").union(counted(f"{folder}/kept", "kept"))
 
 
+def search_stems(spark, sf_dir):
+    """Events whose line or OCSF text holds other forms of the words, by phrase and by term."""
+    good = run(corpus(spark, sf_dir), **(_RUN | {"document": True})).filter("error_stage is null")
+    both = ("raw_payload", "to_json(ocsf)")
+    show = lambda found, name: found.selectExpr("cast(source_position as bigint) as line_id", f"'{name}' as query")
+    return show(matching(good, query="networking activities", text_columns=both, stemmed=True), "phrase").union(
+        show(matching(good, query="finds deny", query_mode="terms", text_columns=both, stemmed=True), "terms"))
+
+
 def lake_readback(spark, sf_dir):
     """Good events, written to the lake twice."""
     folder = fresh_folder(spark, "lake")
@@ -213,6 +223,7 @@ STORED = {
     "capture_files": capture_files,
     "json_files": json_files,
     "dead_letters_listed": dead_letters_listed,
+    "search_stems": search_stems,
     "lake_readback": lake_readback,
     "dry_run": dry_run,
     "field_samples": field_samples,
