@@ -190,6 +190,24 @@ def appliance_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr("event_id", "appliance", f"case appliance {arms} end as raw_payload", "ts as ingest_ts")
 
 
+#: Members of the edge lines: name and SQL over the facts that both engines run. A null member is left out.
+EDGE = {
+    "vendor": "'Acme'", "product": "'Edge'", "source_ip": "dst_ip", "destination_ip": "src_ip", "source_port": "src_port",
+    "destination_port": "dst_port", "proto": "'udp'", "action": "'allow'",
+    "status": _pick("event_id % 5", ["failed login", "ok", "DENY by rule", "no ERROR", "fine"]),
+    "direction": "case event_id % 4 when 0 then 'inbound' when 1 then 'Outbound' when 2 then 'lateral' end",
+    "packets_in": "event_id % 13", "packets_out": "event_id % 17", "bytes_in": "bytes_in", "bytes_out": "bytes_out",
+    "note": "concat('n', event_id)", "queue": "event_id % 3",
+}
+
+
+def edge_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, raw_payload, ingest_ts: JSON lines from known hosts to public addresses, of every status and direction."""
+    members = ", ".join(f"'{name}', {sql}" for name, sql in EDGE.items())
+    return facts(_spread(events_table(spark, sf_dir))).selectExpr(
+        "event_id", f"to_json(named_struct({members}, 'timestamp', unix_millis(ts))) as raw_payload", "ts as ingest_ts")
+
+
 def second_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, raw_payload, ingest_ts: LEEF, RFC 3164 and generic JSON lines."""
     return _render(_spread(events_table(spark, sf_dir)), "kind2", SECOND_KINDS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from palisade import fixed_values as fx
 from palisade.functions.values import network_bounds
-from workload.corpus import APPLIANCES, facts_sql
+from workload.corpus import APPLIANCES, EDGE, facts_sql
 from workload.expected import first, second
 from workload.queries import PARSED, PARSED2, PARSERS, PARSERS2, PHRASE, TERMS
 
@@ -115,7 +115,22 @@ _BUILT_IN = ", ".join(f"({_q(p)}, {_q(v)}, {_q(d)})" for p, v, d, _ in fx.BUILT_
 _APPLIANCE_PARSER = "concat('custom-appliance-device-model-', template_id, '-parser')"
 _MERGED = ("select event_id, event_type, value + case when event_id % 5 = 0 then 2 when event_id % 3 = 0 then 1 else 0 end as value,"
            " cast(case when event_id % 5 = 0 then 3 when event_id % 3 = 0 then 2 else 1 end as int) as batch from events")
+_EDGE_STATUS = "case event_id % 5 when 0 then 2 when 2 then 2 when 3 then 2 else 1 end"
+_EDGE_DIRECTION = "case event_id % 4 when 1 then 2 when 2 then 3 else 1 end"
+_EDGE_REST = sorted(name for name in [*EDGE, "timestamp"] if name not in fx.KNOWN_KEYS)
+_EDGE_TEXT = ", ".join(
+    f"concat('{name}=', {'epoch_ms(ts)' if name == 'timestamp' else EDGE[name]})" for name in _EDGE_REST)
+_GEO = {name: "case " + " ".join(f"when src_ip like {_q(n[0].rsplit('.', 1)[0] + '.%')} then {_q(n[i]) if i < 5 else n[i]}" for n in fx.GEO_NETWORKS
+                                 if n[0][:3] in ("8.8", "185")) + " end"
+        for name, i in (("country", 1), ("country_code", 2), ("city", 3), ("as_name", 4), ("as_number", 5))}
 STORED_SQL = {
+    "edge_events":
+        f"select event_id, {_EDGE_STATUS} as status_id, {_names(fx.STATUS_NAMES, _EDGE_STATUS)} as status, {_EDGE_DIRECTION} as direction_id,"
+        f" {_names(fx.DIRECTION_NAMES, _EDGE_DIRECTION)} as direction, event_id % 13 as packets_in, event_id % 17 as packets_out,"
+        f" bytes_in + bytes_out as bytes_total, {_ASSET['name']} as src_hostname, {_ASSET['zone']} as src_zone, {_ASSET['role']} as src_role,"
+        f" {_ASSET['criticality']} as src_criticality, {_GEO['country']} as dst_country, {_GEO['city']} as dst_city,"
+        f" {_GEO['country_code']} as dst_country_code, {_GEO['as_name']} as dst_as_name, {_GEO['as_number']} as dst_as_number,"
+        f" concat_ws(';', {_EDGE_TEXT}) as unmapped from (select *, {facts_sql()} from events)",
     "event_table": _MERGED,
     "event_lookup": f"select event_id, value, batch from ({_MERGED}) where event_id in (select doc_id from labels)",
     "archive_index_lookup": "select doc_id, cast(strlen(text) as int) as byte_length,"

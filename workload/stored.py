@@ -21,7 +21,7 @@ from palisade.sources.archive import archive_raw
 from palisade.sources.archiveindex import lookup, update_index
 from palisade.sources.captures import read_captures
 from palisade.sources.logs import from_dataframe, read_json_array_files, read_log_files, read_log_lines
-from workload.corpus import appliance_corpus, corpus, events_table, third_corpus
+from workload.corpus import appliance_corpus, corpus, edge_corpus, events_table, third_corpus
 
 _RUN = dict(position="event_id", ingest_ts="ingest_ts", document=False, enriched=False)
 
@@ -214,7 +214,19 @@ def counters(spark, sf_dir):
     return service_counters(run(corpus(spark, sf_dir), **_RUN), spark.read.parquet(f"{folder}/letters"), entries, sessions, staged.union(tried))
 
 
+def edge_events(spark, sf_dir):
+    """Statuses, directions and packets, and what the lookups know of the source host and the destination's network."""
+    rows = run(edge_corpus(spark, sf_dir), **(_RUN | {"enriched": True}))
+    return rows.selectExpr(
+        "cast(source_position as bigint) as event_id", "status_id", "status", "direction_id", "direction", "packets_in", "packets_out",
+        "bytes_total", "src_hostname", "src_zone", "src_asset_info.role as src_role", "src_asset_info.criticality as src_criticality",
+        "dst_location.country as dst_country", "dst_location.city as dst_city", "dst_location.country_code as dst_country_code",
+        "dst_autonomous_system.name as dst_as_name", "dst_autonomous_system.number as dst_as_number",
+        "array_join(array_sort(transform(map_entries(unmapped), e -> concat(e.key, '=', e.value))), ';') as unmapped")
+
+
 STORED = {
+    "edge_events": edge_events,
     "event_table": event_table,
     "event_lookup": event_lookup,
     "archive_index_lookup": archive_index_lookup,
