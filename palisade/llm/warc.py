@@ -27,17 +27,19 @@ BREAKS = "(?i)</?(p|br|div|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|f
 TAGS = "<[a-zA-Z/!][^>]*>"
 TITLE = "(?is)<title[^>]*>(.*?)</title"
 LANG = "(?is)<html[^>]* lang=\"([^\">]*)\""
-#: Double-quoted links alone, and seven entities in the order in which they are replaced: all that the SQL reads.
-HREF = "(?i)<a [^>]*href=\"([^\">]*)\""
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: What opens and closes the hidden elements, and whether the opening is a tag that must end first.
+PAIRED = (("!--", "-->", False), ("script", "</script[ \\t\\r\\n]*>", False), ("style", "</style[ \\t\\r\\n]*>", True), ("head", "</head[ \\t\\r\\n]*>", True))
+#: Stands behind the < of an opening that nothing closes; no character of any text.
+_OPEN = "\ufdd0"
 #: A link's tag up to the value of its first href, quoted in any way or not; the value with its quotes. Attributes before
 #: it are passed whole.
 _VALUE = "(?:\"[^\"]*+\"|'[^']*+'|[^\\s\"'>][^\\s>]*+)"
-LINK = f"(?i)<a(?=[\\s/])(?:[\\s/]*+(?!href[\\s=])[^\\s>/=]++(?:\\s*+=\\s*+{_VALUE})?+)*+[\\s/]*+href\\s*+=\\s*+({_VALUE})"
+#: A tag without one matches as well, with no value, so that what it holds is not searched again.
+LINK = f"(?i)<a(?=[\\s/])(?:[\\s/]*+(?!href[\\s=])[^\\s>/=]++(?:\\s*+=\\s*+{_VALUE})?+)*+[\\s/]*+(?:href\\s*+=\\s*+({_VALUE}))?+"
 #: HTML's named references (without the ampersand, most with a semicolon); a no-break space counts as a space here. A map
 #: is searched from its front, so the usual names come first.
-_USUAL = [*(k[1:] for k in ENTITIES), *(f"{k};" for k in (
-    "copy", "middot", "mdash", "ndash", "hellip", "rsquo", "lsquo", "rdquo", "ldquo", "raquo", "laquo", "bull", "reg", "trade", "times")),
+_USUAL = [*(f"{k};" for k in (
+    "lt", "gt", "quot", "apos", "nbsp", "amp", "copy", "middot", "mdash", "ndash", "hellip", "rsquo", "lsquo", "rdquo", "ldquo", "raquo", "laquo", "bull", "reg", "trade", "times")),
     *(f"{k};" for k in name2codepoint)]
 NAMED = {k: html5[k].replace("\xa0", " ") for k in [*(k for k in _USUAL if k in html5), *html5]}
 #: Names that need no semicolon, longest first.
@@ -101,13 +103,53 @@ def _decoded(text: Column, attribute: bool = False) -> Column:
     return F.array_join(F.transform(F.split(text, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(read(piece))), "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _closed(text: Column, opening: str, closing: str, tag: bool) -> Column:
+    """The text with a mark in each opening that no closing follows. A pattern from opening to closing would look for one to the end of
+    the page from each of them in turn; of the openings left every one is closed, so the pattern reads the page once."""
+
+    def parted(t: Column) -> Column:
+        head = F.regexp_extract(t, f"(?is)^(.*){closing}", 1)
+        head = F.regexp_extract(head, "(?s)^(.*>)", 1) if tag else head
+        return _let(F.length(head), lambda n: F.concat(
+            F.substring(t, F.lit(1), n), F.regexp_replace(F.substring(t, n + 1, F.length(t)), f"(?i)<({opening})", f"<{_OPEN}$1")))
+
+    return _let(text, parted)
+
+
+def _without_tags(text: Column) -> Column:
+    """Block elements break lines, other tags vanish; nothing behind the last > is a tag."""
+
+    def parted(t: Column) -> Column:
+        return _let(F.length(F.regexp_extract(t, "(?s)^(.*>)", 1)), lambda n: F.concat(
+            F.regexp_replace(F.regexp_replace(F.substring(t, F.lit(1), n), BREAKS, "\n"), TAGS, ""), F.substring(t, n + 1, F.length(t))))
+
+    return _let(text, parted)
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page: hidden elements go, block elements break lines, other tags vanish, blanks collapse."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, DROPPED, " "), BREAKS, "\n"), TAGS, "")
-    text = F.regexp_replace(_decoded(text), "[ \\t\\r\\f]+", " ")
+    closed = html
+    for opening, closing, tag in PAIRED:
+        closed = _closed(closed, opening, closing, tag)
+    shown = F.replace(F.regexp_replace(closed, DROPPED, " "), F.lit(f"<{_OPEN}"), F.lit("<"))
+    text = F.regexp_replace(_decoded(_without_tags(shown)), "[ \\t\\r\\f]+", " ")
     return F.regexp_replace(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
 
 
+def _title(html: Column) -> Column:
+    return F.replace(F.regexp_extract(_closed(html, "title", "</title", True), TITLE, 1), F.lit(f"<{_OPEN}"), F.lit("<"))
+
+
+def _language(html: Column) -> Column:
+    tags = F.regexp_extract_all(F.concat(html, F.lit(">")), F.lit("(?is)<html[^>]*>"), 0)
+    return F.coalesce(F.regexp_extract(F.get(F.filter(tags, lambda t: F.regexp_like(t, F.lit(f"(?is)^{LANG[5:]}"))), F.lit(0)), LANG, 1), F.lit(""))
+
+
 def responses_of_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Crawled pages as response records: page_id, record_id, target_uri, date, http_headers, payload."""
     payload, target = (F.coalesce(F.col(c), F.lit("")) for c in (html, url))
@@ -135,10 +177,10 @@ def derivatives(responses: DataFrame) -> DataFrame:
         *row, F.coalesce("record_id", record_id(F.lit("response"), target, date, payload)).alias("refers_to_"),
         target.alias("target_uri"), date.alias("date"), headers.alias("headers_"), payload.alias("payload_"),
         F.concat(F.lit("sha1:"), base32_sha1(payload)).alias("digest_"), plain_text(payload).alias("text_"),
-        plain_text(F.concat(F.lit("<p>"), F.regexp_extract(payload, TITLE, 1))).alias("title_"))
-    links = F.transform(F.regexp_extract_all("payload_", F.lit(LINK), 1), lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))
+        plain_text(F.concat(F.lit("<p>"), _title(payload))).alias("title_"))
+    links = F.transform(F.filter(F.regexp_extract_all("payload_", F.lit(LINK), 1), lambda v: v != ""), lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))
     block = F.concat(
-        F.lit("title: "), F.replace("title_", F.lit("\n"), F.lit(" ")), F.lit(f"{CRLF}language: "), F.regexp_extract("payload_", LANG, 1),
+        F.lit("title: "), F.replace("title_", F.lit("\n"), F.lit(" ")), F.lit(f"{CRLF}language: "), _language(F.col("payload_")),
         F.lit(f"{CRLF}sourcePayloadDigest: "), F.col("digest_"), F.lit(f"{CRLF}sourceLength: "), F.octet_length("payload_").cast("string"),
         F.lit(f"{CRLF}textLength: "), F.octet_length("text_").cast("string"), F.lit(CRLF),
         F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), _decoded(u, attribute=True), F.lit(CRLF))), ""),

@@ -1,6 +1,7 @@
 """Whole WARC records: the operator's rows are those of the SQL, on pages full of references and links."""
 
 import random
+import time
 from html.entities import html5
 
 import duckdb
@@ -31,3 +32,14 @@ def test_records_equal_the_sql(spark):
     columns = [d[0] for d in wanted.description]
     assert sorted(columns) == sorted(c for c in records.columns if c in columns) and len(columns) == len(records.columns)
     assert sorted(map(repr, (tuple(r) for r in records.select(*columns).collect()))) == sorted(map(repr, wanted.fetchall()))
+
+
+def test_hostile_pages_are_read_once(spark):
+    n = 150_000
+    pages = ["<script " * n, "<script>" * n, "<style " * n + "</style>", "<!-- " * n, "<b " * n, "<title>" * n, "<html " * n, "<a " + "x=1 " * n + "href=y>",
+             "<a b=\"" * n, "&" * n, "<script>" * n + "</script" * n]
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    started = time.time()
+    rows = warc.derivatives(warc.responses_of_pages(df)).where("record_type = 'metadata'").select("page_id", "block").collect()
+    assert time.time() - started < 60 and len(rows) == len(pages)
+    assert {r["page_id"] for r in rows if "outlink: y\r\n" in r["block"]} == {7}
