@@ -29,6 +29,8 @@ TITLE = "(?is)<title[^>]*>(.*?)</title"
 LANG = "(?is)<html[^>]* lang=\"([^\">]*)\""
 #: What opens and closes the hidden elements, and whether the opening is a tag that must end first.
 PAIRED = (("!--", "-->", False), ("script", "</script[ \\t\\r\\n]*>", False), ("style", "</style[ \\t\\r\\n]*>", True), ("head", "</head[ \\t\\r\\n]*>", True))
+#: Openings of a kind from which a page is searched to its end, at most.
+FEW = 16
 #: Stands behind the < of an opening that nothing closes; no character of any text.
 _OPEN = "\ufdd0"
 #: A link's tag up to the value of its first href, quoted in any way or not; the value with its quotes. Attributes before
@@ -108,9 +110,15 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _closed(text: Column, opening: str, closing: str, tag: bool) -> Column:
+def _many(low: Column, opening: str) -> Column:
+    """Whether the lower-cased page has so many of these openings that searching on from each would tell."""
+    return F.length(low) - F.length(F.replace(low, F.lit(f"<{opening}"), F.lit(""))) > FEW * (1 + len(opening))
+
+
+def _closed(text: Column, low: Column, opening: str, closing: str, tag: bool) -> Column:
     """The text with a mark in each opening that no closing follows. A pattern from opening to closing would look for one to the end of
-    the page from each of them in turn; of the openings left every one is closed, so the pattern reads the page once."""
+    the page from each of them in turn; of the openings left every one is closed, so the pattern reads the page once. With few openings
+    (as counted in the lower-cased page) nothing is marked, and nothing else changes."""
 
     def parted(t: Column) -> Column:
         head = F.regexp_extract(t, f"(?is)^(.*){closing}", 1)
@@ -118,36 +126,47 @@ def _closed(text: Column, opening: str, closing: str, tag: bool) -> Column:
         return _let(F.length(head), lambda n: F.concat(
             F.substring(t, F.lit(1), n), F.regexp_replace(F.substring(t, n + 1, F.length(t)), f"(?i)<({opening})", f"<{_OPEN}$1")))
 
-    return _let(text, parted)
+    return _let(text, lambda t: F.when(_many(low, opening), parted(t)).otherwise(t))
 
 
 def _without_tags(text: Column) -> Column:
-    """Block elements break lines, other tags vanish; nothing behind the last > is a tag."""
+    """Block elements break lines, other tags vanish; nothing behind the last > is a tag, and is not searched if it is long."""
+
+    def read(t: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, BREAKS, "\n"), TAGS, "")
 
     def parted(t: Column) -> Column:
         return _let(F.length(F.regexp_extract(t, "(?s)^(.*>)", 1)), lambda n: F.concat(
-            F.regexp_replace(F.regexp_replace(F.substring(t, F.lit(1), n), BREAKS, "\n"), TAGS, ""), F.substring(t, n + 1, F.length(t))))
+            read(F.substring(t, F.lit(1), n)), F.substring(t, n + 1, F.length(t))))
 
-    return _let(text, parted)
+    return _let(text, lambda t: F.when(F.length(F.substring_index(t, ">", -1)) < FEW * FEW, read(t)).otherwise(parted(t)))
 
 
 def plain_text(html: Column) -> Column:
     """Text of a page: hidden elements go, block elements break lines, other tags vanish, blanks collapse."""
-    closed = html
-    for opening, closing, tag in PAIRED:
-        closed = _closed(closed, opening, closing, tag)
-    shown = F.replace(F.regexp_replace(closed, DROPPED, " "), F.lit(f"<{_OPEN}"), F.lit("<"))
-    text = F.regexp_replace(_decoded(_without_tags(shown)), "[ \\t\\r\\f]+", " ")
+
+    def shown(low: Column) -> Column:
+        closed = html
+        for opening, closing, tag in PAIRED:
+            closed = _closed(closed, low, opening, closing, tag)
+        return F.replace(F.regexp_replace(closed, DROPPED, " "), F.lit(f"<{_OPEN}"), F.lit("<"))
+
+    text = F.regexp_replace(_decoded(_without_tags(_let(F.lower(html), shown))), "[ \\t\\r\\f]+", " ")
     return F.regexp_replace(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
 
 
 def _title(html: Column) -> Column:
-    return F.replace(F.regexp_extract(_closed(html, "title", "</title", True), TITLE, 1), F.lit(f"<{_OPEN}"), F.lit("<"))
+    def found(low: Column) -> Column:
+        return F.replace(F.regexp_extract(_closed(html, low, "title", "</title", True), TITLE, 1), F.lit(f"<{_OPEN}"), F.lit("<"))
+
+    return _let(F.lower(html), found)
 
 
 def _language(html: Column) -> Column:
     tags = F.regexp_extract_all(F.concat(html, F.lit(">")), F.lit("(?is)<html[^>]*>"), 0)
-    return F.coalesce(F.regexp_extract(F.get(F.filter(tags, lambda t: F.regexp_like(t, F.lit(f"(?is)^{LANG[5:]}"))), F.lit(0)), LANG, 1), F.lit(""))
+    first = F.get(F.filter(tags, lambda t: F.regexp_like(t, F.lit(f"(?is)^{LANG[5:]}"))), F.lit(0))
+    by_tags = F.coalesce(F.regexp_extract(first, LANG, 1), F.lit(""))
+    return F.when(_many(F.lower(html), "html"), by_tags).otherwise(F.regexp_extract(html, LANG, 1))
 
 
 def responses_of_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
