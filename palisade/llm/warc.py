@@ -31,6 +31,8 @@ LANG = "(?is)<html[^>]* lang=\"([^\">]*)\""
 PAIRED = (("!--", "-->", False), ("script", "</script[ \\t\\r\\n]*>", False), ("style", "</style[ \\t\\r\\n]*>", True), ("head", "</head[ \\t\\r\\n]*>", True))
 #: Openings of a kind from which a page is searched to its end, at most.
 FEW = 16
+#: Characters of a page that is searched without more ado: at worst a fraction of a second.
+SHORT = 8192
 #: Stands behind the < of an opening that nothing closes; no character of any text.
 _OPEN = "\ufdd0"
 #: A link's tag up to the value of its first href, quoted in any way or not; the value with its quotes. Attributes before
@@ -129,17 +131,23 @@ def _closed(text: Column, low: Column, opening: str, closing: str, tag: bool) ->
     return _let(text, lambda t: F.when(_many(low, opening), parted(t)).otherwise(t))
 
 
+def _read_tags(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAGS, "")
+
+
 def _without_tags(text: Column) -> Column:
     """Block elements break lines, other tags vanish; nothing behind the last > is a tag, and is not searched if it is long."""
 
-    def read(t: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(t, BREAKS, "\n"), TAGS, "")
-
     def parted(t: Column) -> Column:
         return _let(F.length(F.regexp_extract(t, "(?s)^(.*>)", 1)), lambda n: F.concat(
-            read(F.substring(t, F.lit(1), n)), F.substring(t, n + 1, F.length(t))))
+            _read_tags(F.substring(t, F.lit(1), n)), F.substring(t, n + 1, F.length(t))))
+
+    return _let(text, lambda t: F.when(F.length(F.substring_index(t, ">", -1)) < FEW * FEW, _read_tags(t)).otherwise(parted(t)))
+
 
-    return _let(text, lambda t: F.when(F.length(F.substring_index(t, ">", -1)) < FEW * FEW, read(t)).otherwise(parted(t)))
+def _by_length(html: Column, short: Column, long: Column) -> Column:
+    """Two ways to one result: a short page cannot be searched long, whatever stands open in it."""
+    return F.when(F.length(html) <= SHORT, short).otherwise(long)
 
 
 def plain_text(html: Column) -> Column:
@@ -151,7 +159,8 @@ def plain_text(html: Column) -> Column:
             closed = _closed(closed, low, opening, closing, tag)
         return F.replace(F.regexp_replace(closed, DROPPED, " "), F.lit(f"<{_OPEN}"), F.lit("<"))
 
-    text = F.regexp_replace(_decoded(_without_tags(_let(F.lower(html), shown))), "[ \\t\\r\\f]+", " ")
+    bare = _by_length(html, _read_tags(F.regexp_replace(html, DROPPED, " ")), _without_tags(_let(F.lower(html), shown)))
+    text = F.regexp_replace(_decoded(bare), "[ \\t\\r\\f]+", " ")
     return F.regexp_replace(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
 
 
@@ -159,14 +168,13 @@ def _title(html: Column) -> Column:
     def found(low: Column) -> Column:
         return F.replace(F.regexp_extract(_closed(html, low, "title", "</title", True), TITLE, 1), F.lit(f"<{_OPEN}"), F.lit("<"))
 
-    return _let(F.lower(html), found)
+    return _by_length(html, F.regexp_extract(html, TITLE, 1), _let(F.lower(html), found))
 
 
 def _language(html: Column) -> Column:
     tags = F.regexp_extract_all(F.concat(html, F.lit(">")), F.lit("(?is)<html[^>]*>"), 0)
     first = F.get(F.filter(tags, lambda t: F.regexp_like(t, F.lit(f"(?is)^{LANG[5:]}"))), F.lit(0))
-    by_tags = F.coalesce(F.regexp_extract(first, LANG, 1), F.lit(""))
-    return F.when(_many(F.lower(html), "html"), by_tags).otherwise(F.regexp_extract(html, LANG, 1))
+    return _by_length(html, F.regexp_extract(html, LANG, 1), F.coalesce(F.regexp_extract(first, LANG, 1), F.lit("")))
 
 
 def responses_of_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
