@@ -33,6 +33,7 @@ PAIRED = (("!--", "-->", False), ("script", "</script[ \\t\\r\\n]*>", False), ("
 FEW = 16
 #: Characters of a page that is searched without more ado: at worst a fraction of a second.
 SHORT = 8192
+_LOW = "\ufdd0low"
 #: Stands behind the < of an opening that nothing closes; no character of any text.
 _OPEN = "\ufdd0"
 #: A link's tag up to the value of its first href, quoted in any way or not; the value with its quotes. Attributes before
@@ -150,30 +151,31 @@ def _by_length(html: Column, short: Column, long: Column) -> Column:
     return F.when(F.length(html) <= SHORT, short).otherwise(long)
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: hidden elements go, block elements break lines, other tags vanish, blanks collapse."""
+def plain_text(html: Column, low: Column | None = None) -> Column:
+    """Text of a page: hidden elements go, block elements break lines, other tags vanish, blanks collapse.
 
-    def shown(low: Column) -> Column:
-        closed = html
-        for opening, closing, tag in PAIRED:
-            closed = _closed(closed, low, opening, closing, tag)
-        return F.replace(F.regexp_replace(closed, DROPPED, " "), F.lit(f"<{_OPEN}"), F.lit("<"))
-
-    bare = _by_length(html, _read_tags(F.regexp_replace(html, DROPPED, " ")), _without_tags(_let(F.lower(html), shown)))
+    ``low`` is the page in lower case, where a column has it already.
+    """
+    closed, low = html, F.lower(html) if low is None else low
+    for opening, closing, tag in PAIRED:
+        closed = _closed(closed, low, opening, closing, tag)
+    shown = F.replace(F.regexp_replace(closed, DROPPED, " "), F.lit(f"<{_OPEN}"), F.lit("<"))
+    bare = _by_length(html, _read_tags(F.regexp_replace(html, DROPPED, " ")), _without_tags(shown))
     text = F.regexp_replace(_decoded(bare), "[ \\t\\r\\f]+", " ")
     return F.regexp_replace(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
 
 
-def _title(html: Column) -> Column:
-    def found(low: Column) -> Column:
-        return F.replace(F.regexp_extract(_closed(html, low, "title", "</title", True), TITLE, 1), F.lit(f"<{_OPEN}"), F.lit("<"))
-
-    return _by_length(html, F.regexp_extract(html, TITLE, 1), _let(F.lower(html), found))
+def _title(html: Column, low: Column) -> Column:
+    found = F.replace(F.regexp_extract(_closed(html, low, "title", "</title", True), TITLE, 1), F.lit(f"<{_OPEN}"), F.lit("<"))
+    return _by_length(html, F.regexp_extract(html, TITLE, 1), found)
 
 
 def _language(html: Column) -> Column:
-    tags = F.regexp_extract_all(F.concat(html, F.lit(">")), F.lit("(?is)<html[^>]*>"), 0)
-    first = F.get(F.filter(tags, lambda t: F.regexp_like(t, F.lit(f"(?is)^{LANG[5:]}"))), F.lit(0))
+    """Of the first html tag that names one, which mostly is the first of all; a tag that does not end, ends with the page."""
+    tag, named = F.lit("(?is)<html[^>]*>"), F.lit(f"(?is)^{LANG[5:]}")
+    page = F.concat(html, F.lit(">"))
+    others = F.filter(F.regexp_extract_all(page, tag, 0), lambda t: F.regexp_like(t, named))
+    first = _let(F.regexp_extract(page, "(?is)<html[^>]*>", 0), lambda t: F.when(F.regexp_like(t, named), t).otherwise(F.get(others, F.lit(0))))
     return _by_length(html, F.regexp_extract(html, LANG, 1), F.coalesce(F.regexp_extract(first, LANG, 1), F.lit("")))
 
 
@@ -200,11 +202,13 @@ def derivatives(responses: DataFrame) -> DataFrame:
     date, headers = F.coalesce("date", F.lit(DATE)), F.coalesce("http_headers", F.lit(""))
     row = [F.struct(*others).alias("row_")] if others else []
     kept = ["row_"] if others else []
-    source = responses.select(
+    lowered = responses.withColumn(_LOW, F.when(F.length(payload) > SHORT, F.lower(payload)))
+    low = F.col(_LOW)
+    source = lowered.select(
         *row, F.coalesce("record_id", record_id(F.lit("response"), target, date, payload)).alias("refers_to_"),
         target.alias("target_uri"), date.alias("date"), headers.alias("headers_"), payload.alias("payload_"),
-        F.concat(F.lit("sha1:"), base32_sha1(payload)).alias("digest_"), plain_text(payload).alias("text_"),
-        plain_text(F.concat(F.lit("<p>"), _title(payload))).alias("title_"))
+        F.concat(F.lit("sha1:"), base32_sha1(payload)).alias("digest_"), plain_text(payload, low).alias("text_"),
+        plain_text(F.concat(F.lit("<p>"), _title(payload, low))).alias("title_"))
     links = F.transform(F.filter(F.regexp_extract_all("payload_", F.lit(LINK), 1), lambda v: v != ""), lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))
     block = F.concat(
         F.lit("title: "), F.replace("title_", F.lit("\n"), F.lit(" ")), F.lit(f"{CRLF}language: "), _language(F.col("payload_")),
