@@ -31,8 +31,8 @@ LANG = "(?is)<html[^>]* lang=\"([^\">]*)\""
 PAIRED = (("!--", "-->", False), ("script", "</script[ \\t\\r\\n]*>", False), ("style", "</style[ \\t\\r\\n]*>", True), ("head", "</head[ \\t\\r\\n]*>", True))
 #: Openings of a kind from which a page is searched to its end, at most.
 FEW = 16
-#: Characters of a page that is searched without more ado: at worst a fraction of a second.
-SHORT = 8192
+#: Characters of a page that is searched without more ado: at worst for about a second.
+SHORT = 16_384
 _LOW = "\ufdd0low"
 #: Stands behind the < of an opening that nothing closes; no character of any text.
 _OPEN = "\ufdd0"
