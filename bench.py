@@ -29,8 +29,8 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 def whole_path(spark: SparkSession, lines, folder: str) -> None:
     """Archive, process, stage, deliver to two table sinks, ledger: the path that the baseline measures."""
     envelopes = make_envelope(lines, position="event_id", ingest_ts="ingest_ts")
-    archive_raw(envelopes, f"{folder}/archive")
-    process_envelopes(envelopes, archived=True).write.parquet(f"{folder}/staged")
+    kept = archive_raw(envelopes, f"{folder}/archive")
+    process_envelopes(kept, archived=True).write.parquet(f"{folder}/staged")
     good = with_step(spark.read.parquet(f"{folder}/staged").filter("error_stage is null"), "INDEXED_DUAL_SINK")
     deliver_dual(good, lambda df: upsert_events(df, f"{folder}/events", 1), lambda df: write_lake(df, f"{folder}/lake"), f"{folder}/ledger")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.ocsf import flatten_events
-from palisade.sources.archive import of_days, path_exists
+from palisade.sources.archive import distinct_days, of_days, path_exists
 
 
 def dedupe_events(df: DataFrame) -> DataFrame:
@@ -24,6 +24,11 @@ def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_last")).select(key, "_last.*").select(*df.columns)
 
 
+def _day_columns() -> list[str]:
+    day = "date_format(timestampadd(MILLISECOND, time_epoch, timestamp_ntz'1970-01-01 00:00:00'), '{}')"
+    return [f"{day.format('yyyy')} as year", f"{day.format('MM')} as month", f"{day.format('dd')} as day"]
+
+
 def write_lake(events: DataFrame, path: str) -> None:
     """Flat Snappy Parquet, partitioned by event date; each event once.
 
@@ -31,13 +36,10 @@ def write_lake(events: DataFrame, path: str) -> None:
     side reads the id column and the partition columns only.
     """
     spark = events.sparkSession
-    day = "date_format(timestampadd(MILLISECOND, time_epoch, timestamp_ntz'1970-01-01 00:00:00'), '{}')"
-    flat = flatten_events(events).selectExpr(
-        "*", f"{day.format('yyyy')} as year", f"{day.format('MM')} as month", f"{day.format('dd')} as day")
-    flat = dedupe_events(flat)
+    flat = dedupe_events(flatten_events(events).selectExpr("*", *_day_columns()))
     if path_exists(spark, path):
         # Only the days of this batch: the history's size does not matter.
-        days = [tuple(r) for r in flat.select("year", "month", "day").distinct().collect()]
+        days = distinct_days(events.selectExpr(*_day_columns()))
         held = of_days(spark.read.schema(flat.schema).parquet(path), days).select("event_id", "year", "month", "day")
         flat = flat.join(held, ["event_id", "year", "month", "day"], "left_anti")
     flat.hint("rebalance", "year", "month", "day").write.mode("append").option(

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from palisade.functions.values import utc_date
 from palisade.operators.dimensions import broadcast_if_small
+from palisade.plans.checkpoints import tabled
 
 _DAY = ["year", "month", "day"]
+#: Days that one batch or lookup may name; more are an error, as their list goes through the driver. (About 270 years.)
+MOST_DAYS = 100_000
 ARCHIVE_COLUMNS = [
     "event_id", "ingest_ts", "bucket", "object_key", "raw_sha256", "byte_length", "compression", "raw_payload",
 ]
@@ -27,25 +30,43 @@ def with_day(df: DataFrame, ts: str = "ingest_ts") -> DataFrame:
         f"date_format({day}, 'dd') as day")
 
 
-def archive_raw(envelopes: DataFrame, path: str, verify: bool = True) -> None:
-    """Append payloads whose id the archive does not hold yet; nothing is ever overwritten.
+def archive_raw(envelopes: DataFrame, path: str, verify: bool = True, staged: str | None = None) -> DataFrame:
+    """Append payloads whose id the archive does not hold yet; nothing is ever overwritten. Gives the envelopes to go on with.
 
-    Existing ids are looked up only in the day partitions this batch touches. The rebalance
-    hint sizes the files of each day and source and splits the partition of a hot source.
+    The envelopes are written once, to the folder ``staged`` (what it held is replaced) or to a table of their own, and all else
+    reads that: digests and ids are computed once. Existing ids are looked up only in the day partitions this batch touches. The
+    rebalance hint sizes the files of each day and source and splits the partition of a hot source.
     """
     spark = envelopes.sparkSession
-    rows = with_day(envelopes.selectExpr(*ARCHIVE_COLUMNS, "vendor as source")).dropDuplicates(["event_id"])
-    days = [tuple(r) for r in rows.select(*_DAY).distinct().collect()]
-    if path_exists(spark, path):
+    if staged is None:
+        kept = tabled(envelopes)
+    else:
+        envelopes.write.mode("overwrite").parquet(staged)
+        kept = spark.read.schema(envelopes.schema).parquet(staged)
+    days = distinct_days(with_day(kept.select("ingest_ts")))
+    rows = with_day(kept.selectExpr(*ARCHIVE_COLUMNS, "vendor as source")).dropDuplicates(["event_id"])
+    first = not path_exists(spark, path)
+    if not first:
         held = of_days(read_archive(spark, path), days).select("event_id")
         rows = rows.join(held, "event_id", "left_anti")
     rows.hint("rebalance", *_DAY, "source").write.mode("append").partitionBy(*_DAY, "source").parquet(path)
     if verify:
         # What this batch brought, not the whole of its days.
-        kept = of_days(read_archive(spark, path), days).join(envelopes.select("event_id").distinct(), "event_id", "left_semi")
-        bad = verify_integrity(kept).filter("not is_valid").count()
+        brought = of_days(read_archive(spark, path), days)
+        if not first:
+            brought = brought.join(kept.select("event_id").distinct(), "event_id", "left_semi")
+        bad = verify_integrity(brought).filter("not is_valid").count()
         if bad:
             raise OSError(f"raw archive holds {bad} payloads whose digest does not match")
+    return kept
+
+
+def distinct_days(rows: DataFrame) -> list[tuple]:
+    """The days of the rows' year, month and day columns; an error if they are more than ``MOST_DAYS``."""
+    days = [tuple(r) for r in rows.select(*_DAY).distinct().limit(MOST_DAYS + 1).collect()]
+    if len(days) > MOST_DAYS:
+        raise ValueError(f"more than {MOST_DAYS} days: go through the rows by days instead")
+    return days
 
 
 _ARCHIVE_SCHEMA = (

@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.dimensions import broadcast_if_small
-from palisade.sources.archive import of_days, path_exists, read_archive
+from palisade.sources.archive import distinct_days, of_days, path_exists, read_archive
 
 BUCKETS = 64
-#: Days that one lookup may name; more are an error, as their list goes through the driver. (About 270 years.)
-MOST_DAYS = 100_000
 _DAY = ["year", "month", "day"]
 _SCHEMA = "event_id string, year string, month string, day string, bucket int"
 
@@ -23,13 +21,6 @@ def _bucket() -> str:
     return f"cast(pmod(xxhash64(event_id), {BUCKETS}) as int)"
 
 
-def _days(rows: DataFrame) -> list[tuple]:
-    days = [tuple(r) for r in rows.select(*_DAY).distinct().limit(MOST_DAYS + 1).collect()]
-    if len(days) > MOST_DAYS:
-        raise ValueError(f"more than {MOST_DAYS} days: read the archive by days instead")
-    return days
-
-
 def read_index(spark: SparkSession, index: str) -> DataFrame:
     return spark.read.schema(_SCHEMA).parquet(index)
 
@@ -40,7 +31,7 @@ def update_index(spark: SparkSession, archive: str, index: str) -> int:
     if path_exists(spark, index):
         known = read_index(spark, index).groupBy(*_DAY).agg(F.count("*").alias("n"))
         held = held.join(known, [*_DAY, "n"], "left_anti")
-    days = _days(held)
+    days = distinct_days(held)
     if not days:
         return 0
     rows = of_days(read_archive(spark, archive), days).select("event_id", *_DAY).selectExpr("*", f"{_bucket()} as bucket")
@@ -56,4 +47,4 @@ def lookup(spark: SparkSession, archive: str, index: str, ids: DataFrame) -> Dat
     wanted = broadcast_if_small(ids.select("event_id").distinct())
     buckets = [r["bucket"] for r in wanted.selectExpr(f"{_bucket()} as bucket").distinct().collect()]
     placed = read_index(spark, index).filter(F.col("bucket").isin(buckets)).join(wanted, "event_id", "left_semi")
-    return of_days(read_archive(spark, archive), _days(placed)).join(wanted, "event_id", "left_semi")
+    return of_days(read_archive(spark, archive), distinct_days(placed)).join(wanted, "event_id", "left_semi")

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import last_key_wins, lit, strip
 from palisade.operators.dimensions import broadcast_if_small
+from palisade.plans.checkpoints import tabled
+
+#: Files of up to so many bytes are read as one row each, and need no pass that counts lines.
+WHOLE_BYTES = 8 << 20
+#: What ends a line, as in files that are read by line.
+_LINE_END = r"\r\n|\n|\r"
 
 
 def _hinted(df: DataFrame, vendor_hint: str | None, product_hint: str | None, transport: str) -> DataFrame:
@@ -19,23 +25,35 @@ def _hinted(df: DataFrame, vendor_hint: str | None, product_hint: str | None, tr
     )
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    """Stripped, non-blank, non-comment lines with their position, file and line number."""
-    placed = numbered_lines(df.selectExpr("value", "_metadata.file_path as _file", "_metadata.file_block_start as _block"))
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Stripped, non-blank, non-comment lines with their position, file and line number.
+
+    Files are told apart by size when they are listed, so each branch opens its own files only: small ones are split into lines in
+    the scan, one row each; those cut into splits are scanned once for the splits' numbers of lines and once for the lines.
+    """
+    small = spark.read.text(path, wholetext=True).filter(f"_metadata.file_size <= {WHOLE_BYTES}").selectExpr(
+        "_metadata.file_path as _file", f"posexplode(split(value, {lit(_LINE_END)})) as (_n, value)").selectExpr(
+        "value", "concat_ws('#', _file, _n) as source_position")
+    large = spark.read.text(path).filter(f"_metadata.file_size > {WHOLE_BYTES}").selectExpr(
+        "value", "_metadata.file_path as _file", "_metadata.file_block_start as _block")
+    placed = small
+    if not large.isEmpty():
+        placed = small.unionByName(numbered_lines(large))
     return placed.selectExpr(f"{strip('value')} as raw_payload", "source_position").filter(
         "raw_payload != '' and not startswith(raw_payload, '#')")
 
 
+
 def numbered_lines(df: DataFrame) -> DataFrame:
     """Replace ``_file`` and ``_block`` (start of the split) by ``source_position``: file and line number.
 
     A line's place in its split is counted from the split's first row, and the lines of earlier splits are added: the
-    number depends on the file alone, not on split size, cores, or what else is read. The extra pass counts lines; the
-    table that joins has a row for each split.
+    number depends on the file alone, not on split size, cores, or what else is read. One extra pass counts lines into a
+    written table, which has a row for each split.
     """
     rows = df.selectExpr("*", "monotonically_increasing_id() as _n")
-    splits = rows.groupBy("_file", "_block").agg({"_n": "min", "*": "count"}).withColumnsRenamed(
-        {"min(_n)": "_first", "count(1)": "_lines"}).selectExpr(
+    splits = tabled(rows.groupBy("_file", "_block").agg({"_n": "min", "*": "count"}).withColumnsRenamed(
+        {"min(_n)": "_first", "count(1)": "_lines"})).selectExpr(
         "_file as _f", "_block as _b", "_first",
         "sum(_lines) over (partition by _file order by _block) - _lines as _before")
     placed = rows.join(broadcast_if_small(splits), [rows["_file"] == splits["_f"], rows["_block"] == splits["_b"]])
@@ -47,7 +65,7 @@ def read_log_lines(
     spark: SparkSession, path: str, vendor_hint: str | None = None, product_hint: str | None = None
 ) -> DataFrame:
     """Text files by line. Undecodable bytes read as U+FFFD; blank and ``#`` lines are dropped."""
-    return _hinted(_lines(spark.read.text(path)), vendor_hint, product_hint, "file")
+    return _hinted(_lines(spark, path), vendor_hint, product_hint, "file")
 
 
 def read_json_array_files(

@@ -16,15 +16,15 @@ from palisade.sources.archive import archive_raw, path_exists
 from palisade.sources.logs import numbered_lines
 
 
-def archived_first(envelopes: DataFrame, archive: str, dead_letters: str) -> bool:
-    """Archive the payloads; if that fails, every line is a RAW_STORE dead letter and must not be normalised."""
+def archived_first(envelopes: DataFrame, archive: str, staged: str, dead_letters: str) -> DataFrame | None:
+    """Archive the payloads and give the envelopes, read from ``staged``; if that fails, every line is a RAW_STORE dead letter and
+    must not be normalised."""
     try:
-        archive_raw(envelopes, archive)
+        return archive_raw(envelopes, archive, staged=staged)
     except Exception as failure:  # noqa: BLE001
         rows = envelopes.selectExpr("*", "'RAW_STORE' as error_stage", f"array({lit(f'Raw archive failed: {failure}')}) as errors")
         failure_records(rows).write.mode("overwrite").parquet(dead_letters)
-        return False
-    return True
+        return None
 
 
 def retry_due(spark: SparkSession, staging: str, ledger: str, search_sink: Sink, lake_sink: Sink, before: int | None = None) -> int:
@@ -86,9 +86,13 @@ def start(
         if "_block" in batch.columns:
             batch = numbered_lines(batch).filter("raw_payload != ''")
         envelopes = make_envelope(batch, **envelope)
-        if archive is not None and not archived_first(envelopes, archive, f"{dead_letters}/stage=raw/batch={batch_id}"):
-            retry_due(spark, staging, ledger, search_sink, lake_sink, before=batch_id)
-            return
+        if archive is not None:
+            # One folder for all batches: only the current batch's envelopes are needed.
+            kept = archived_first(envelopes, archive, f"{staging}/_envelopes", f"{dead_letters}/stage=raw/batch={batch_id}")
+            if kept is None:
+                retry_due(spark, staging, ledger, search_sink, lake_sink, before=batch_id)
+                return
+            envelopes = kept
         folder = f"{staging}/batch={batch_id}"
         process_envelopes(envelopes, definitions(), archived=archive is not None, **rest).write.mode("overwrite").parquet(folder)
         staged = spark.read.parquet(folder)

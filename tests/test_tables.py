@@ -55,6 +55,44 @@ def test_archive_is_write_once_and_checkable(spark, tmp_path):
     assert archive.read_raw_archive(stored, uris=uris).count() == 1
 
 
+def test_line_ends_are_alike_in_whole_and_split_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "m.log").write_bytes(b"one\r\ntwo\rthree\n\n# note\nfour\xff")
+    (tmp_path / "empty.log").write_bytes(b"")
+
+    def read():
+        return sorted((r.raw_payload, r.source_position.rsplit("#", 1)[1]) for r in logs.read_log_lines(spark, str(tmp_path)).collect())
+
+    whole = read()
+    assert whole == [("four\ufffd", "5"), ("one", "0"), ("three", "2"), ("two", "1")]
+    monkeypatch.setattr(logs, "WHOLE_BYTES", -1)
+    assert read() == whole
+
+
+def test_archive_reads_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    lines = payload_frame(spark, L.ALL)
+    envelopes = make_envelope(lines.mapInArrow(count, lines.schema), position="i")
+    for n in (1, 2):
+        kept = archive.archive_raw(envelopes, str(tmp_path / "raw"), staged=str(tmp_path / "staged"))
+        run(lines, position="i").select("event_id").join(kept, "event_id", "left_anti").count()
+        assert seen.value == n * len(L.ALL)
+    assert archive.read_archive(spark, str(tmp_path / "raw")).count() == kept.count() == len(L.ALL)
+
+
+def test_days_of_a_batch_are_bounded(spark, monkeypatch):
+    days = spark.createDataFrame([("2026", "01", f"{d:02d}") for d in range(1, 5)], "year string, month string, day string")
+    assert len(archive.distinct_days(days)) == 4
+    monkeypatch.setattr(archive, "MOST_DAYS", 3)
+    with pytest.raises(ValueError, match="more than 3 days"):
+        archive.distinct_days(days)
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "x.txt").write_text("hello")
@@ -325,7 +363,7 @@ def test_value_functions(spark):
     assert [r.s for r in text.collect()] == ["a  b c", "x" * 512 + "...", ""]
 
 
-def test_positions_do_not_depend_on_splits_or_other_files(spark, tmp_path):
+def test_positions_do_not_depend_on_splits_or_other_files(spark, tmp_path, monkeypatch):
     folder = tmp_path / "logs"
     folder.mkdir()
     (folder / "b.log").write_text("".join(f"line {i}\n" if i % 7 else "\n" for i in range(3000)))
@@ -335,6 +373,8 @@ def test_positions_do_not_depend_on_splits_or_other_files(spark, tmp_path):
 
     first = positions()
     assert first["line 1"] == "b.log#1" and first["line 2999"] == "b.log#2999"
+    monkeypatch.setattr(logs, "WHOLE_BYTES", 1000)  # now b.log is read by splits, and a.log below whole
+    assert positions() == first
     (folder / "a.log").write_text("other\n" * 10)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
     try:

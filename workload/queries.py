@@ -139,8 +139,8 @@ def provenance(spark, sf_dir):
     """The lineage after a real run: archived, enriched, and delivered to two table sinks."""
     folder = fresh_folder(spark, "provenance")
     envelopes = make_envelope(corpus(spark, sf_dir), position="event_id", ingest_ts="ingest_ts")
-    archive_raw(envelopes, f"{folder}/archive")
-    process_envelopes(envelopes, archived=True, document=False).write.parquet(f"{folder}/staged")
+    kept = archive_raw(envelopes, f"{folder}/archive")
+    process_envelopes(kept, archived=True, document=False).write.parquet(f"{folder}/staged")
     staged = spark.read.parquet(f"{folder}/staged")
     good = with_step(staged.filter("error_stage is null"), "INDEXED_DUAL_SINK")
     deliver_dual(good, lambda df: upsert_events(df, f"{folder}/events", 1), lambda df: df.write.parquet(f"{folder}/lake"), f"{folder}/ledger")
