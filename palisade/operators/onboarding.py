@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fx
-from palisade.functions.text import case, contains_any, lit, matches, strip
+from palisade.functions.text import case, contains_any, fenced, lit, matches, strip
 from palisade.functions.values import stable_uuid
 from palisade.operators.audit import audit_rows
 from palisade.operators.mining import mask_line, mine_templates
@@ -136,6 +136,12 @@ def infer_fields(patterns: DataFrame, samples: DataFrame) -> DataFrame:
 # --- sessions -------------------------------------------------------------------------------
 
 
+def masked_lines(lines: DataFrame, payload: str, order: str, keep: list[str]) -> DataFrame:
+    """seen, the kept columns, masked and line. Fenced, or a join on the masked line would repeat its patterns in filter and key."""
+    slim = lines.selectExpr(f"{order} as seen", f"{payload} as payload", *keep)
+    return fenced(slim, {"masked": mask_line("payload"), "line": strip("payload")}, ["seen", *keep])
+
+
 def onboarding_sessions(
     lines: DataFrame,
     payload: str = "raw_payload",
@@ -149,13 +155,11 @@ def onboarding_sessions(
     frame has these columns.
     """
     templates, assignment = mine_templates(lines, payload, order)
-    placed = lines.selectExpr("*", f"{mask_line(payload)} as masked").join(assignment, "masked")
     patterns = template_patterns(templates)
     hinted = {"vendor": "'Custom-Appliance'", "product": "concat('Device-Model-', template_id)"}
     found = [c for c in hinted if c in lines.columns]
-    distinct = placed.selectExpr(
-        "template", f"{strip(payload)} as line", f"{order} as seen", *found,
-    ).groupBy("template", "line").agg(F.min(F.struct("seen", *found)).alias("first"))
+    placed = masked_lines(lines, payload, order, found).join(assignment, "masked")
+    distinct = placed.groupBy("template", "line").agg(F.min(F.struct("seen", *found)).alias("first"))
     ranked = distinct.selectExpr(
         "*", "row_number() over (partition by template order by first.seen, line) as place").filter(f"place <= {samples}")
     shown = ranked.groupBy("template").agg(

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fx
-from palisade.functions.text import lit, strip
+from palisade.functions.text import lit
 from palisade.functions.values import stable_uuid
-from palisade.operators.mining import Tree, mask_line, mine_templates
-from palisade.operators.onboarding import OPENED, infer_fields, sample_values, template_patterns
+from palisade.operators.mining import Tree, mine_templates
+from palisade.operators.onboarding import OPENED, infer_fields, masked_lines, sample_values, template_patterns
 from palisade.plans.checkpoints import tabled
 
 _PLACED = "tokens int, cluster long, session_id string, part string, template string"
@@ -81,8 +81,7 @@ def merge_sessions(
     grown = tabled(placed.join(templates.select(F.col("template").alias("part"), "size", "first_seen"), "part").groupBy(
         "session_id", "template").agg(F.sum("size").alias("size"), F.min("first_seen").alias("first_seen")).selectExpr(
         f"coalesce(session_id, {stable_uuid('template')}) as session_id", "session_id is null as is_new", "template", "size", "first_seen"))
-    masked = lines.selectExpr(f"{mask_line(payload)} as masked", f"{strip(payload)} as line", f"{order} as seen")
-    distinct = masked.groupBy("masked", "line").agg(F.min("seen").alias("seen")).join(assignment, "masked").join(
+    distinct = masked_lines(lines, payload, order, []).groupBy("masked", "line").agg(F.min("seen").alias("seen")).join(assignment, "masked").join(
         placed.selectExpr("part as template", f"coalesce(session_id, {stable_uuid('template')}) as session_id"), "template").select(
         "session_id", "line", F.lit(1).alias("batch"), "seen")
     touched = sessions.join(grown.select("session_id"), "session_id", "left_semi")
