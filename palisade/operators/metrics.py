@@ -43,7 +43,8 @@ def trailing_rate(events: DataFrame, ts: str, seconds: int = 5) -> DataFrame:
     """At every time with an event: events of the last ``seconds`` (both ends count) and their rate: ts_us, events, eps.
 
     Times are counted first, so a busy instant is one row. The time line is cut into slots; each gets the end of the slot before as
-    context, so that no task orders all events.
+    context, so that no task orders all events. A time's count enters a running sum and leaves it when its window has passed: one
+    ordered run over the slot, however many times a window holds.
     """
     window = seconds * 1_000_000
     width = _SLOT_WINDOWS * window
@@ -52,10 +53,11 @@ def trailing_rate(events: DataFrame, ts: str, seconds: int = 5) -> DataFrame:
     placed = counted.selectExpr("us", "c", f"{slot} as slot").selectExpr(
         "us", "c", f"inline(filter(array(struct(slot, true as own), struct(slot + 1 as slot, false as own)),"
                    f" s -> s.own or us >= (slot + 1) * {width} - {window}))")
-    summed = placed.selectExpr(
-        "us", "own", f"sum(c) over (partition by slot order by us range between {window} preceding and current row) as events")
+    steps = placed.selectExpr(
+        "slot", f"inline(array(struct(us as at, c as step, own), struct(us + {window + 1} as at, -c as step, false as own)))")
+    summed = steps.selectExpr("at", "own", "sum(step) over (partition by slot order by at) as events")
     return summed.filter("own").selectExpr(
-        "us as ts_us", "events", f"round(events / {float(seconds)}D, 1) as eps")
+        "at as ts_us", "events", f"round(events / {float(seconds)}D, 1) as eps")
 
 
 def service_counters(

@@ -119,3 +119,11 @@ def test_publishing_all_sessions(spark):
     none, same, _ = onboarding.publish_pending(sessions, entries, "rev")
     assert none.count() == 0 and same.count() == 2
     found.unpersist()
+
+
+def test_trailing_rate_sums_a_full_window_once(spark):
+    rows = spark.range(5000).selectExpr("timestamp_micros(id * 100) as ts")
+    found = metrics.trailing_rate(rows, "ts", 5)
+    assert [r.events for r in found.orderBy("ts_us").collect()] == list(range(1, 5001))
+    frames = [line for line in _plan(found).splitlines() if "RangeFrame" in line]
+    assert frames and all("unboundedpreceding" in line for line in frames)
