@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _COUNT = re.compile(rb"([1-9][0-9]{0,8}) (?=<)")
+#: Messages, and their bytes, that leave a capture together.
+BATCH_MESSAGES, BATCH_BYTES = 10_000, 4 << 20
 _FRAMES = "raw_payload string, source_position string, transport string, client_ip string"
 
 
@@ -38,15 +40,27 @@ def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def _messages(transport: str):
+    def rows(path: str, client: str, found: list[tuple[int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([m for _, m in found], pa.string()), pa.array([f"{path}#{at}" for at, _ in found], pa.string()),
+             pa.array([transport] * len(found), pa.string()), pa.array([client] * len(found), pa.string())],
+            names=["raw_payload", "source_position", "transport", "client_ip"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, client, content in zip(*(c.to_pylist() for c in batch.columns)):
-                found = [(m.decode("utf-8", "replace").strip(), f"{path}#{at}") for at, m in frames(content or b"")]
-                found = [f for f in found if f[0]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([m for m, _ in found], pa.string()), pa.array([p for _, p in found], pa.string()),
-                     pa.array([transport] * len(found), pa.string()), pa.array([client] * len(found), pa.string())],
-                    names=["raw_payload", "source_position", "transport", "client_ip"])
+            paths, clients, contents = batch.columns
+            for path, client, content in zip(paths.to_pylist(), clients.to_pylist(), contents):
+                found, size = [], 0
+                for at, m in frames(content.as_py() or b""):
+                    text = m.decode("utf-8", "replace").strip()
+                    if text:
+                        found.append((at, text))
+                        size += len(m)
+                    if len(found) >= BATCH_MESSAGES or size >= BATCH_BYTES:
+                        yield rows(path, client, found)
+                        found, size = [], 0
+                if found:
+                    yield rows(path, client, found)
 
     return run
 

@@ -2,6 +2,7 @@
 
 import time
 
+from palisade.sources import captures
 from palisade.sources.captures import frames, read_capture_stream, read_captures
 from palisade.streaming import ingest
 from tests import lines as L
@@ -68,3 +69,13 @@ def test_a_delivery_completes_without_new_lines(spark, tmp_path):
     finally:
         query.stop()
     assert "DELIVERY_COMPLETE" in state() and [c for _, c in taken] == ["192.168.1.9"]
+
+
+def test_a_long_capture_leaves_in_bounded_batches():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["f"]), pa.array(["10.0.0.1"]), pa.array([b"<13>m\n\n" * 25_000], pa.binary())], names=["path", "client", "content"])
+    out = list(captures._messages("tcp")(iter([batch])))
+    assert [b.num_rows for b in out] == [10_000, 10_000, 5_000]
+    assert [out[1]["source_position"][0].as_py(), out[1]["raw_payload"][0].as_py()] == ["f#70000", "<13>m"]

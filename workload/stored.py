@@ -26,6 +26,10 @@ from workload.corpus import appliance_corpus, corpus, edge_corpus, events_table,
 _RUN = dict(position="event_id", ingest_ts="ingest_ts", document=False, enriched=False)
 
 
+#: Frames of one capture.
+_CAPTURE_FRAMES = 50_000
+
+
 def _event_table(spark, sf_dir) -> str:
     """Three batches with a compaction after each of the first two."""
     path = f"{fresh_folder(spark, 'events')}/table"
@@ -81,12 +85,12 @@ def log_files(spark, sf_dir):
 def capture_files(spark, sf_dir):
     """The appliances' lines as sent over 24 connections, every other one octet-counted, and read as captures."""
     folder = fresh_folder(spark, "captures")
-    # Spark writes text files only; a frame's count and its line end make the capture, the folder of a client its connection.
+    # Spark writes text files only; a frame's count and its line end make the capture, the folder of a client its connection. A
+    # connection's captures are closed after so many frames, as collectors close files by size.
     lines = appliance_corpus(spark, sf_dir).selectExpr(
         "appliance", "concat('<13>', raw_payload, ' é') as m", "event_id").selectExpr(
-        "appliance", "if(event_id % 2 = 0, concat(octet_length(m), ' ', m), m) as frame")
-    packed = lines.groupBy("appliance").agg(F.array_join(F.collect_list("frame"), "\n").alias("value")).repartition(24, "appliance")
-    packed.write.partitionBy("appliance").text(folder)
+        "appliance", "if(event_id % 2 = 0, concat(octet_length(m), ' ', m), m) as value")
+    lines.hint("rebalance", "appliance").write.option("maxRecordsPerFile", _CAPTURE_FRAMES).partitionBy("appliance").text(folder)
     return read_captures(spark, folder).groupBy("raw_payload", "transport").agg(
         F.count("*").alias("times"), F.count_distinct("source_position").alias("places"))
 
