@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fx
@@ -39,10 +39,15 @@ def terms_match(column: str, query: str) -> str:
     return f"arrays_overlap(split(lower(coalesce({column}, '')), {lit(_WORD_GAP)}), array({wanted}))"
 
 
-def _beginnings(words: list[str]) -> list[str]:
-    """What every word of the same stem begins with: stemming changes a stem's last two letters at most."""
-    stems = [stem(lit(w)) for w in words]
-    return [f"left({s}, greatest(1, length({s}) - 2))" for s in stems]
+def _stems(words: list[str]) -> list[str]:
+    """The stems of a query's words. As an expression over literals the stemmer would run again for every row."""
+    row = SparkSession.active().range(1).selectExpr(f"array({', '.join(stem(lit(w)) for w in words)}) as stems").first()
+    return row["stems"]
+
+
+def _beginning(stem: str) -> str:
+    """What every word of the stem begins with: stemming changes a stem's last two letters at most."""
+    return stem[:max(1, len(stem) - 2)]
 
 
 def stemmed_phrase_match(column: str, phrase: str) -> str:
@@ -54,11 +59,11 @@ def stemmed_phrase_match(column: str, phrase: str) -> str:
     if not wanted:
         return "false"
     word = r"[\p{L}\p{N}]"
-    parts = f", {lit(word + '*+' + _WORD_GAP)}, ".join(_beginnings(wanted))
-    pattern = f"concat({lit(f'(?<!{word})(?=(')}, {parts}, {lit(f'{word}*+))')})"
-    stems = f"array({', '.join(stem(lit(w)) for w in wanted)})"
+    stems = _stems(wanted)
+    parts = (word + "*+" + _WORD_GAP).join(_beginning(s) for s in stems)
+    pattern = lit(f"(?<!{word})(?=({parts}{word}*+))")
     found = f"regexp_extract_all(lower(coalesce({column}, '')), {pattern}, 1)"
-    return f"exists({found}, c -> transform(split(c, {lit(_WORD_GAP)}), x -> {stem('x')}) = {stems})"
+    return f"exists({found}, c -> transform(split(c, {lit(_WORD_GAP)}), x -> {stem('x')}) = array({', '.join(lit(s) for s in stems)}))"
 
 
 def stemmed_terms_match(column: str, query: str) -> str:

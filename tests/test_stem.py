@@ -6,6 +6,7 @@ import sqlite3
 import pytest
 
 from palisade.functions.stem import STEP_2, STEP_3, STEP_4, stem
+from palisade.operators import search
 from palisade.operators.search import matching
 
 
@@ -47,3 +48,10 @@ def test_stemmed_phrases_and_terms(spark):
     terms = {r.id for r in matching(df, query="ponies refuse", query_mode="terms", stemmed=True).collect()}
     assert terms == {r[0] for r in con.execute("select rowid from t where t match 'ponies OR refuse'")}
     assert matching(df, query="...", stemmed=True).count() == 0
+
+
+def test_the_query_is_stemmed_once(spark):
+    match = search.stemmed_phrase_match("t", "networking activities")
+    assert "networking" not in match and "'network', 'activ'" in match
+    rows = spark.createDataFrame([("a network activity b",), ("network of activity",)], "t string")
+    assert [r.t for r in rows.filter(match).collect()] == ["a network activity b"]

@@ -15,7 +15,7 @@ from palisade.operators.onboarding import (
 from palisade.operators.parse import parse_with
 from palisade.operators.search import matching
 from palisade.operators.sinks import read_lake, write_lake
-from palisade.plans.checkpoints import checkpointed, fresh_folder
+from palisade.plans.checkpoints import checkpointed, fresh_folder, tabled
 from palisade.plans.ingest import run
 from palisade.sources.archive import archive_raw
 from palisade.sources.archiveindex import lookup, update_index
@@ -131,8 +131,9 @@ def dead_letters_listed(spark, sf_dir):
 
 def search_stems(spark, sf_dir):
     """Events whose line or OCSF text holds other forms of the words, by phrase and by term."""
-    good = run(corpus(spark, sf_dir), **(_RUN | {"document": True})).filter("error_stage is null")
-    both = ("raw_payload", "to_json(ocsf)")
+    good = tabled(run(corpus(spark, sf_dir), **(_RUN | {"document": True})).filter("error_stage is null").selectExpr(
+        "source_position", "raw_payload", "to_json(ocsf) as ocsf_text"))
+    both = ("raw_payload", "ocsf_text")
     show = lambda found, name: found.selectExpr("cast(source_position as bigint) as line_id", f"'{name}' as query")
     return show(matching(good, query="networking activities", text_columns=both, stemmed=True), "phrase").union(
         show(matching(good, query="finds deny", query_mode="terms", text_columns=both, stemmed=True), "terms"))
