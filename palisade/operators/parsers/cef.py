@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from palisade import fixed_values as fx
 from palisade.functions.text import (
-    all_matches, case, coalesce, concat, contains_any, is_digits, isin, lit, matches, strip, to_long, truthy,
+    all_matches, captures, case, coalesce, concat, contains_any, is_digits, isin, lit, matches, strip, to_long, truthy,
 )
 from palisade.functions.values import by_floor, by_words
 from palisade.operators.parsers.base import LOWER, RAW, TOKENS, VENDOR, Shape, blocked_id, kv, parser, tok
@@ -12,27 +12,26 @@ from palisade.operators.parsers.base import LOWER, RAW, TOKENS, VENDOR, Shape, b
 # A header part that may hold backslash escapes; possessive, so long parts cannot overflow the stack.
 _PART = r"([^|\\]*+(?:\\[\s\S][^|\\]*+)*+)"
 _ESCAPED_HEADER = "^" + _PART + (r"\|" + _PART) * 6 + r"\|([\s\S]*)$"
-_KEY = "[a-zA-Z0-9_]+"
+# A key from its first letter, in one step: a word without a '=' behind it is looked at once, not from each of its letters.
+_KEY = "(?<![a-zA-Z0-9_])[a-zA-Z0-9_]++"
 
 
 def _header_parts() -> str:
     """Seven header parts and the extension; fewer elements when pipes are missing."""
     event = f"substring({RAW}, instr({RAW}, 'CEF:'))"
-    parts = [f"regexp_extract({event}, {lit(_ESCAPED_HEADER)}, {i})" for i in range(1, 9)]
     escape, pair = lit(r"\\([\s\S])"), lit(r"\\[\s\S]")
-    plain = [f"regexp_replace({p}, {escape}, '$1')" for p in parts[:7]]
-    escaped = case(
-        (matches(event, _ESCAPED_HEADER), f"array({', '.join(plain)}, {parts[7]})"),
-        default=f"split(regexp_replace({event}, {pair}, ''), {lit('[|]')}, 8)",
-    )
+    parts = captures(event, _ESCAPED_HEADER, 8)
+    escaped = coalesce(
+        f"transform({parts}, (p, i) -> if(i < 7, regexp_replace(p, {escape}, '$1'), p))",
+        f"split(regexp_replace({event}, {pair}, ''), {lit('[|]')}, 8)")
     return case((f"contains({event}, {lit(chr(92))})", escaped), default=f"split({event}, {lit('[|]')}, 8)")
 
 
 def _extension_values() -> str:
     """Values of the extension: each runs to the next ``key=`` and is unescaped."""
     text = strip(tok(7))
-    delimiter = lit(rf"\s*{_KEY}=\s*")
-    values = f"slice(split({text}, {delimiter}), 2, greatest(size(split({text}, {delimiter})) - 1, 0))"
+    delimiter = lit(rf"\s*+{_KEY}=\s*+")
+    values = f"slice(split({text}, {delimiter}), 2, {2**30})"
     unescaped = "v"
     for old, new in (("\\=", "="), ("\\|", "|"), ("\\\\", "\\"), ("\\n", "\n")):
         unescaped = f"replace({unescaped}, {lit(old)}, {lit(new)})"

@@ -182,3 +182,10 @@ def test_search_filters_reach_the_scan(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(vendor,Cisco)" in plan and "EqualTo(severity_id,3)" in plan and "raw_payload" not in plan
     assert found.count() == 1
+
+
+def test_cef_values_are_split_once_and_headers_captured_once():
+    from palisade.operators.parsers import cef
+
+    assert cef._extension_values().count("split(") == 2  # one for each way, with and without escapes
+    assert cef._header_parts().count("regexp_replace(p, ") == 1
