@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade import fixed_values as fx
-from palisade.functions.text import lit, strip
+from palisade.functions.text import fenced, lit, strip
 from palisade.plans.checkpoints import tabled
 
 
@@ -228,18 +228,23 @@ def match_template(lines: DataFrame, templates: DataFrame, payload: str = "raw_p
     best = hits.groupBy("masked").agg(
         F.min(F.struct("wild", "template_id", "template")).alias("b")).selectExpr(
         "masked", "b.template_id as template_id", "b.template as template")
-    out = rows.join(best, "masked", "left")
+    out = rows.join(_with_pattern(best), "masked", "left")
     return _with_parameters(out, payload)
 
 
-def _with_parameters(rows: DataFrame, payload: str) -> DataFrame:
-    """Text of the line under each placeholder, by a pattern made from the template in SQL."""
+def _with_pattern(best: DataFrame) -> DataFrame:
+    """The pattern made from each template, and how many placeholders it has: once per distinct masked line."""
     quoted = "regexp_replace(template, '([\\\\\\\\\\\\[\\\\](){}.*+?^$|])', '\\\\\\\\$1')"
     pattern = (
         f"concat('^', regexp_replace(replace({quoted}, '<\\\\*>', '(\\\\S+)'), '<[A-Z]+>', '(.+?)'), '$')")
-    count = "size(regexp_extract_all(template, '<(?:[*]|[A-Z]+)>', 0))"
+    return fenced(best, {
+        "_pattern": pattern, "_count": "size(regexp_extract_all(template, '<(?:[*]|[A-Z]+)>', 0))"}, best.columns)
+
+
+def _with_parameters(rows: DataFrame, payload: str) -> DataFrame:
+    """Text of the line under each placeholder. Lines of a template come one after the other, so its pattern is compiled once a task."""
     values = (
-        f"case when template is not null and {count} > 0 then transform(sequence(1, {count}),"
-        f" i -> regexp_extract({strip(payload)}, {pattern}, i)) when template is not null"
+        f"case when template is not null and _count > 0 then transform(sequence(1, _count),"
+        f" i -> regexp_extract({strip(payload)}, _pattern, i)) when template is not null"
         " then cast(array() as array<string>) end")
-    return rows.selectExpr("*", f"{values} as parameters")
+    return rows.sortWithinPartitions("_pattern").selectExpr("*", f"{values} as parameters").drop("_pattern", "_count")

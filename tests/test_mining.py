@@ -76,3 +76,13 @@ def test_thousands_of_templates_under_their_rarest_tokens(spark):
         "head x of bcd y end": (123, ["x", "y"]), "head x of zzz y end": (5001, ["x", "of", "zzz", "y"]), "a b c": (5002, ["b"]),
         "p q r": (5000, ["p", "q", "r"]), "a q c": (5002, ["q"]), "p b r": (5003, ["p", "r"]), "no template at all fits": (None, None),
         "": (None, None)}
+
+
+def test_lines_of_a_template_come_one_after_the_other(spark):
+    lines = spark.createDataFrame([(f"{w} at {i} from 10.0.0.{i}",) for i in range(4) for w in ("alpha", "beta")], "raw_payload string")
+    templates = spark.createDataFrame([(1, "alpha at <NUM> from <IP>"), (2, "beta at <NUM> from <IP>")], "template_id int, template string")
+    found = mining.match_template(lines, templates)
+    assert found.columns == ["masked", "raw_payload", "template_id", "template", "parameters"]
+    assert {(r.raw_payload, tuple(r.parameters)) for r in found.collect()} == {
+        (f"{w} at {i} from 10.0.0.{i}", (str(i), f"10.0.0.{i}")) for i in range(4) for w in ("alpha", "beta")}
+    assert "Sort [_pattern" in found._jdf.queryExecution().optimizedPlan().toString()
