@@ -69,8 +69,10 @@ def sample_values(lines: DataFrame, keep: int = fx.DISCOVERED_SAMPLES) -> DataFr
     ``lines``: template, pattern, names, line, seen. The grouped minimum and the ranked top-n
     both shrink on the map side, so a template with most of the lines is no hot spot.
     """
-    groups = "transform(sequence(1, size(names)), i -> regexp_extract(line, concat('(?i)', pattern), i))"
-    values = lines.filter("size(names) > 0 and line rlike concat('(?i)', pattern)").selectExpr(
+    # Lines of a template one after the other, or each line's pattern would be compiled anew.
+    groups = "transform(sequence(1, size(names)), i -> regexp_extract(line, _pattern, i))"
+    values = lines.selectExpr("template", "line", "seen", "names", "concat('(?i)', pattern) as _pattern").sortWithinPartitions(
+        "template", "_pattern").filter("size(names) > 0 and line rlike _pattern").selectExpr(
         "template", "seen", f"posexplode({groups}) as (var_index, value)").filter("value != ''")
     first = values.groupBy("template", "var_index", "value").agg(F.min("seen").alias("seen"))
     ranked = first.selectExpr(
