@@ -11,6 +11,7 @@ from palisade.functions.values import stable_uuid
 from palisade.operators.audit import audit_rows
 from palisade.operators.mining import mask_line, mine_templates
 from palisade.operators.parsers import Definition, Rule
+from palisade.plans.checkpoints import tabled
 
 _RULES = "array<struct<field_name:string,target_ocsf_field:string,transform:string,default_value:string>>"
 _VARIABLES = (
@@ -156,8 +157,10 @@ def onboarding_sessions(
     table, which is what a replay reads. Vendor and product come from the first line when the
     frame has these columns.
     """
+    # Tables: a filter on the names would else be worked out from the template of each distinct line, below the grouping.
     templates, assignment = mine_templates(lines, payload, order)
-    patterns = template_patterns(templates)
+    templates = tabled(templates)
+    patterns = tabled(template_patterns(templates))
     hinted = {"vendor": "'Custom-Appliance'", "product": "concat('Device-Model-', template_id)"}
     found = [c for c in hinted if c in lines.columns]
     placed = masked_lines(lines, payload, order, found).join(assignment, "masked")

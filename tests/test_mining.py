@@ -4,7 +4,7 @@ import collections
 
 import pytest
 
-from palisade.operators import mining
+from palisade.operators import mining, onboarding
 
 LETTERS = "translate(cast({} as string), '0123456789', 'abcdefghij')"
 
@@ -86,3 +86,14 @@ def test_lines_of_a_template_come_one_after_the_other(spark):
     assert {(r.raw_payload, tuple(r.parameters)) for r in found.collect()} == {
         (f"{w} at {i} from 10.0.0.{i}", (str(i), f"10.0.0.{i}")) for i in range(4) for w in ("alpha", "beta")}
     assert "Sort [_pattern" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_patterns_are_made_from_templates_not_from_lines(spark):
+    """However many distinct lines a template has: no plan of the sessions holds its pattern's steps above the lines' assignment."""
+    lines = spark.range(50).selectExpr(
+        "concat('door ', translate(cast(id as string), '0123456789', 'abcdefghij'), ' opened by src=10.0.0.', id) as raw_payload",
+        "timestamp_seconds(id) as ingest_ts")
+    sessions = onboarding.onboarding_sessions(lines)
+    plan = sessions._jdf.queryExecution().optimizedPlan().toString()
+    assert "KEY" not in plan and "=<$1>" not in plan and "regexp_extract_all(" not in plan
+    assert sessions.first()["size"] == 50
