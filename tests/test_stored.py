@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from palisade.operators import eventtable, metrics, onboarding
 from palisade.operators.envelope import make_envelope
+from palisade.plans.ingest import run
 from palisade.sources import archive, archiveindex
 from palisade.streaming.windows import sliding_rates
+from workload import stored
+from workload.corpus import corpus
 
 
 def _plan(df):
@@ -127,3 +130,20 @@ def test_trailing_rate_sums_a_full_window_once(spark):
     assert [r.events for r in found.orderBy("ts_us").collect()] == list(range(1, 5001))
     frames = [line for line in _plan(found).splitlines() if "RangeFrame" in line]
     assert frames and all("unboundedpreceding" in line for line in frames)
+
+
+def test_counters_judge_the_corpus_once(spark, tmp_path, monkeypatch):
+    spark.range(120).selectExpr(
+        "id as event_id", "timestampadd(SECOND, cast(id as int), timestamp_ntz'2024-01-01 00:00:00') as ts", "id as user_id",
+        "if(id % 4 = 0, 'error', 'view') as event_type", "id + 0.5D as value", "'{}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    judged = []
+    monkeypatch.setattr(stored, "corpus", lambda *given: judged.append(given) or corpus(*given))
+    row = stored.counters(spark, str(tmp_path)).first()
+    assert len(judged) == 1
+    dead = run(corpus(spark, str(tmp_path)), position="event_id", ingest_ts="ingest_ts", document=False, enriched=False).filter(
+        "error_stage is not null")
+    assert row.total_ingested == 120 and row.total_ingested - row.total_normalized == dead.count()
+    assert row.unresolved_errors_count == dead.filter("raw_payload like '[APPLIANCE%'").count()
+    judged.clear()
+    listed = stored.dead_letters_listed(spark, str(tmp_path)).collect()
+    assert len(judged) == 1 and sum(r.records for r in listed if r.letters == "all") == dead.count()

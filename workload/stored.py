@@ -109,10 +109,9 @@ def json_files(spark, sf_dir):
     return rows.groupBy("raw_payload").agg(F.count("*").alias("times"))
 
 
-def _letters(spark, sf_dir, folder):
-    """Dead letters of the corpus, written, and replayed once where no appliance wrote the line."""
-    dead = checkpointed(run(corpus(spark, sf_dir), **_RUN).filter("error_stage is not null"))
-    record_failures(dead, f"{folder}/letters", "ingest_ts")
+def _letters(spark, judged, folder):
+    """Dead letters of the judged corpus, written, and replayed once where no appliance wrote the line."""
+    record_failures(judged.filter("error_stage is not null"), f"{folder}/letters", "ingest_ts")
     records = spark.read.parquet(f"{folder}/letters")
     chosen = list_errors(records).filter("raw_payload not like '[APPLIANCE%'").select("error_id")
     _, states = replay(records, lambda lines: run(lines, document=False, enriched=False), chosen, "recorded_at")
@@ -122,7 +121,7 @@ def _letters(spark, sf_dir, folder):
 def dead_letters_listed(spark, sf_dir):
     """All states by list_errors, and what is left after clear_resolved."""
     folder = fresh_folder(spark, "letters")
-    _letters(spark, sf_dir, folder)
+    _letters(spark, run(corpus(spark, sf_dir), **_RUN), folder)
     clear_resolved(spark, f"{folder}/letters", f"{folder}/kept")
     counted = lambda path, table: list_errors(spark.read.parquet(path)).groupBy("status", "replay_count").agg(
         F.count("*").alias("records")).selectExpr(f"'{table}' as letters", "*")
@@ -212,11 +211,14 @@ def appliance_parse(spark, sf_dir):
 def counters(spark, sf_dir):
     """The service's counters over the corpus, its dead letters, a catalogue, sessions and a ledger."""
     folder = fresh_folder(spark, "counters")
-    _letters(spark, sf_dir, folder)
+    # The corpus is judged once; the table holds what the dead letters and the counters read.
+    judged = tabled(run(corpus(spark, sf_dir), **_RUN).select(
+        "event_id", "raw_sha256", "raw_payload", "ingest_ts", "parser_used", "error_stage", "errors"))
+    _letters(spark, judged, folder)
     entries, sessions, _ = _catalogue(spark, sf_dir)
     staged = stage(events_table(spark, sf_dir).selectExpr("cast(event_id as string) as event_id"))
     tried = attempt_rows(staged, "event_id % 4 != 0", "event_id % 3 != 0", "created_at", "'down'")
-    return service_counters(run(corpus(spark, sf_dir), **_RUN), spark.read.parquet(f"{folder}/letters"), entries, sessions, staged.union(tried))
+    return service_counters(judged, spark.read.parquet(f"{folder}/letters"), entries, sessions, staged.union(tried))
 
 
 def edge_events(spark, sf_dir):
