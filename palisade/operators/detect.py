@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame
 from palisade import fixed_values as fx
 from palisade.functions.text import apart, case, coalesce, contains_any, fenced, item, last_key_wins, lit, matches, strip
 from palisade.operators.parsers import Definition, ordered_parsers, shape_list
-from palisade.operators.parsers.base import LOWER, OBJ, RAW, json_has
+from palisade.operators.parsers.base import LOWER, MEMBERS, OBJ, RAW, json_has
 
 
 def prepare_lines(df: DataFrame) -> DataFrame:
-    """Working columns of a line: stripped text, lower case, JSON object.
+    """Working columns of a line: stripped text, lower case, JSON object and its members.
 
     The JSON reader stops after the first value, so a braced line is read as the first
     element of an array with a sentinel behind it: trailing text breaks the array.
@@ -22,8 +22,8 @@ def prepare_lines(df: DataFrame) -> DataFrame:
     df = df.selectExpr(
         "*", f"lower({RAW}) as {LOWER}", f"case when {braced} then try_parse_json(concat('[', {RAW}, ',7]')) end as _all")
     complete = "try_variant_get(_all, '$[1]', 'string') = '7'"
-    return df.selectExpr(
-        "*", f"case when {complete} then try_variant_get(_all, '$[0]', 'variant') end as {OBJ}").drop("_all")
+    df = df.selectExpr("*", f"case when {complete} then try_variant_get(_all, '$[0]', 'variant') end as {OBJ}").drop("_all")
+    return df.selectExpr("*", f"try_variant_get({OBJ}, '$', 'map<string,string>') as {MEMBERS}")
 
 
 def _verdict(form: str, vendor: str, product: str, confidence: float) -> str:

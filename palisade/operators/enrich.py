@@ -48,8 +48,7 @@ def _intervals(geo: DataFrame) -> DataFrame:
 def enrich_geo(df: DataFrame, geo: DataFrame | None = None, networks=None, exceptions=None) -> DataFrame:
     """Location and autonomous system of public IPv4 addresses."""
     intervals = default_geo_intervals(df.sparkSession) if geo is None else _intervals(geo)
-    rest = [c for c in df.columns if c != "src_ip"]
-    df = df.selectExpr(*rest, apart("src_ip"), *[f"{ipv4_to_long(f'{s}_ip')} as _{s}" for s in SIDES])
+    df = df.selectExpr("*", *[f"{ipv4_to_long(f'{s}_ip')} as _{s}" for s in SIDES])
     public = [
         f"case when not {is_private(f'_{s}', networks, exceptions)} and not {is_loopback(f'_{s}')}"
         f" then _{s} end as _{s}_public"
@@ -60,6 +59,9 @@ def enrich_geo(df: DataFrame, geo: DataFrame | None = None, networks=None, excep
         number = f"_{side}_public"
         spans = intervals.selectExpr(
             f"bucket as _{side}_bucket", f"low as _{side}_low", f"high as _{side}_high", f"geo as _{side}_geo")
+        # Each lookup in code of its own: two on a wide row, or these with the steps before, are too large for the JIT compiler.
+        # The address is what the lookup needs, so no query's pruning takes this column away.
+        df = df.selectExpr(*[c for c in df.columns if c != number], apart(number))
         df = df.selectExpr("*", f"shiftright({number}, {BUCKET_BITS}) as _{side}_key").join(
             spans,
             (F.col(f"_{side}_key") == F.col(f"_{side}_bucket"))

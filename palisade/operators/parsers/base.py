@@ -8,12 +8,13 @@ parse) sits in one projected column and is computed once per line:
 ``_tok``         array of captured header parts
 ``_keys, _vals`` key=value pairs, merged to the map ``_kv``
 ``_sub``         array of captures taken from a token
-fields           one place per known field, read from the columns above or ``_obj``
+fields           one place per known field, read from the columns above, ``_members`` or ``_obj``
 own              map of further named fields
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -37,6 +38,8 @@ PAIR_NAMES = {name: name for name in SLOTS if name not in NUMBER_ONLY} | {"time_
 
 # Working columns of a line.
 RAW, LOWER, VENDOR, OBJ, TOKENS, PAIRS, SUBS = "_raw", "_lower", "vendor", "_obj", "_tok", "_kv", "_sub"
+# The JSON object's own members as texts: read from the object once, where every path would search it again.
+MEMBERS = "_members"
 
 
 def tok(i: int) -> str:
@@ -56,17 +59,29 @@ def has(name: str) -> str:
     return f"coalesce(map_contains_key({PAIRS}, {lit(name)}), false)"
 
 
-def json(path: str, kind: str = "string") -> str:
-    return f"try_variant_get({OBJ}, {lit(path)}, {lit(kind)})"
+def _member(path: str) -> str | None:
+    """The name of one of the object's own members, null for a deeper path."""
+    found = re.fullmatch(r"\$(?:\.(\w+)|\['([^']+)'\])", path)
+    return found and (found[1] or found[2])
 
 
-def json_token(path: str) -> str:
-    """JSON text of a member: strings keep their quotes, so numbers can be told apart."""
-    return f"to_json({json(path, 'variant')})"
+def _variant(path: str) -> str:
+    return f"try_variant_get({OBJ}, {lit(path)}, 'variant')"
+
+
+def json(path: str) -> str:
+    name = _member(path)
+    return f"try_element_at({MEMBERS}, {lit(name)})" if name else f"try_variant_get({OBJ}, {lit(path)}, 'string')"
 
 
 def json_has(path: str) -> str:
-    return f"({json(path, 'variant')} is not null)"
+    name = _member(path)
+    return f"coalesce(map_contains_key({MEMBERS}, {lit(name)}), false)" if name else f"({_variant(path)} is not null)"
+
+
+def json_token(path: str) -> str:
+    """JSON text of a member: strings keep their quotes, so numbers can be told apart."""
+    return case((json_has(path), f"to_json({_variant(path)})")) if _member(path) else f"to_json({_variant(path)})"
 
 
 def json_truthy(*paths: str) -> str:

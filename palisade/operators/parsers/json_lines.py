@@ -6,7 +6,7 @@ from palisade import fixed_values as fx
 from palisade.functions.text import case, coalesce, concat, contains_any, isin, lit, to_long, truthy
 from palisade.functions.values import lookup
 from palisade.operators.parsers.base import (
-    OBJ, RAW, Shape, blocked_id, has, json, json_has, json_token, json_truthy, kv, parser,
+    MEMBERS, OBJ, RAW, Shape, blocked_id, has, json, json_has, json_token, json_truthy, kv, parser,
 )
 
 BRACED = f"(startswith({RAW}, '{{') and endswith({RAW}, '}}'))"
@@ -171,8 +171,8 @@ GENERIC_JSON = parser(
     BRACED,
     Shape(
         "json",
-        keys=f"map_keys({json('$', 'map<string,string>')})",
-        values=f"map_values({json('$', 'map<string,string>')})",
+        keys=f"map_keys({MEMBERS})",
+        values=f"map_values({MEMBERS})",
         error=_NOT_JSON,
         fields={
             "device_vendor": case((has("vendor"), kv("vendor")), default="'Generic-JSON'"),

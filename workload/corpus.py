@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.functions.text import lit
+from palisade.functions.text import apart, lit
 from palisade.functions.values import plain_utc, utc_timestamp
 
 ASSET_IPS = [
@@ -142,7 +142,7 @@ LINES = {
 
 def _render(events: DataFrame, kind: str, kinds: list[str]) -> DataFrame:
     arms = " ".join(f"when '{name}' then {LINES[name]}" for name in kinds)
-    return facts(events).selectExpr("event_id", f"case {kind} {arms} end as raw_payload", "ts as ingest_ts")
+    return facts(events).selectExpr(apart("event_id"), f"case {kind} {arms} end as raw_payload", "ts as ingest_ts")
 
 
 FIRST_KINDS = [
