@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from palisade.functions.values import utc_date
 from palisade.operators.dimensions import broadcast_if_small
 from palisade.plans.checkpoints import tabled
+from palisade.sources.digests import can_resume, sha256_by_pieces
 
 _DAY = ["year", "month", "day"]
 #: Days that one batch or lookup may name; more are an error, as their list goes through the driver. (About 270 years.)
 MOST_DAYS = 100_000
+#: Bytes of a file that one task reads for its digest.
+PIECE_BYTES = 256 << 20
 ARCHIVE_COLUMNS = [
     "event_id", "ingest_ts", "bucket", "object_key", "raw_sha256", "byte_length", "compression", "raw_payload",
 ]
@@ -131,15 +134,39 @@ def verify_integrity(archive: DataFrame, ids: DataFrame | None = None) -> DataFr
 
 
 def dataset_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Relative path and SHA-256 of every file below a folder (each file must fit in a row)."""
+    """Relative path and SHA-256 of every file below a folder.
+
+    Files of up to ``PIECE_BYTES`` are rows of one pass. Larger ones are read at once, when this is called, by a chain of tasks that take
+    one piece each. That needs files that workers can open by their path; on other file systems each file must fit in a row.
+    """
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.regexp_replace(F.col("path"), F.lit("^file:/+"), F.lit("file:/")).alias("full"), "content"
+    large = _openable(spark, files.filter(F.col("length") > PIECE_BYTES).select("path", "length").collect())
+    if large:
+        files = files.filter(F.col("length") <= PIECE_BYTES)
+    digests = files.select("path", F.sha2("content", 256).alias("sha256"))
+    if large:
+        digests = digests.union(
+            spark.createDataFrame(sha256_by_pieces(spark.sparkContext, large, PIECE_BYTES), "path string, sha256 string"))
+    return digests.select(
+        F.regexp_replace(F.col("path"), F.lit("^file:/+"), F.lit("file:/")).alias("full"), "sha256"
     ).select(
-        F.expr(f"substring(full, length(regexp_replace('{base}', '^file:/+', 'file:/')) + 2)").alias("path"),
-        F.sha2("content", 256).alias("sha256"))
+        F.expr(f"substring(full, length(regexp_replace('{base}', '^file:/+', 'file:/')) + 2)").alias("path"), "sha256")
+
+
+def _openable(spark: SparkSession, listed: list) -> list[tuple[str, str, int]]:
+    """Path, the local or mounted file behind it, and size of listed files; none if one of them is elsewhere."""
+    if not can_resume():
+        return []
+    found = []
+    for row in listed:
+        place = spark._jvm.org.apache.hadoop.fs.Path(row.path)
+        uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(place).toUri()
+        if uri.getScheme() != "file":
+            return []
+        found.append((row.path, uri.getPath(), row.length))
+    return found
 
 
 def verify_manifest(manifest: DataFrame, actual: DataFrame) -> DataFrame:

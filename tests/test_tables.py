@@ -1,5 +1,7 @@
 import datetime
+import hashlib
 import ipaddress
+import random
 from collections import deque
 
 import pytest
@@ -13,7 +15,7 @@ from palisade.operators.enrich import enrich_geo
 from palisade.operators.envelope import make_envelope
 from palisade.operators.parsers import Definition, Rule
 from palisade.plans.ingest import run
-from palisade.sources import archive, logs
+from palisade.sources import archive, digests, logs
 from tests import lines as L
 from tests.conftest import payload_frame
 
@@ -106,6 +108,38 @@ def test_manifest(spark, tmp_path):
     assert {r.path: r.status for r in status.collect()} == {"d/x.txt": "missing", "y.txt": "mismatch"}
 
 
+def test_manifest_of_files_larger_than_a_task_may_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "PIECE_BYTES", 100, raising=False)
+    (tmp_path / "d").mkdir()
+    sizes = {"d/99": 99, "d/100": 100, "101": 101, "d/a %41 b": 199, "200.gz": 200, "d/201": 201, "1000": 1000}
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes(random.Random(size).randbytes(size))
+    expected = {name: hashlib.sha256((tmp_path / name).read_bytes()).hexdigest() for name in sizes}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")
+    try:
+        rows = archive.dataset_manifest(spark, str(tmp_path)).collect()
+        view = spark._jsc.hadoopConfiguration()
+        view.set("fs.viewfs.mounttable.manifest.link./in", f"file://{tmp_path}")
+        seen_from_afar = archive.dataset_manifest(spark, "viewfs://manifest/in").collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert len(rows) == len(seen_from_afar) == len(sizes)
+    assert {r.path: r.sha256 for r in rows} == {r.path: r.sha256 for r in seen_from_afar} == expected
+
+
+def test_piece_of_a_file_is_all_a_task_reads(tmp_path):
+    file = tmp_path / "f"
+    file.write_bytes(b"a" * 250)
+    first = digests._advanced(("k", str(file), 250, 0, None, None), 100)
+    assert first[3] == 100
+    second = digests._advanced(first, 100)
+    assert second[3] == 200
+    assert digests._advanced(second, 100)[3:5] == (250, hashlib.sha256(b"a" * 250).hexdigest())
+    file.write_bytes(b"b" * 251)
+    with pytest.raises(OSError, match="was changed"):
+        digests._advanced(second, 100)
+
+
 def test_lake_holds_each_event_once(spark, tmp_path):
     path = str(tmp_path / "lake")
     good = run(payload_frame(spark, L.ALL), position="i", document=False).filter("error_stage is null")
